@@ -113,7 +113,7 @@ def train(rows: list[tuple[str, list[int], list[int]]], dim: int = 16, epochs: i
             bias -= 0.1 * pace * p
             embed[b] -= pace * 10 * share[:, None] * back
     table = (embed @ layer).astype(np.float32)
-    z = np.array([share @ table[b] + bias for _, b, share in apart])
+    z = np.array([share @ table[b] + bias for _, b, share in apart], np.float64)
     y = np.array([r[0] for r in apart])
 
     def loss(heat: float) -> float:
