@@ -59,3 +59,29 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], out: st
                 yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(cols)], schema=arrow)
 
     return df.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sees to a folder for checkpoints: the one that the session names, or one of the test machine's own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(named)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a result to the shared checkpoint folder and goes on from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+#: Rows up to which a lookup table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table, marked for broadcast only if it has been counted and is small."""
+    return F.broadcast(df) if df.count() <= most else df

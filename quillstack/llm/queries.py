@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, token_counts, toxicity
+from . import language_id, license_scan, mixing, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).docs
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -37,8 +41,65 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_toxicity, op6_token_counts, op8_license_scan, op9_language_id)}
+    return {f.__name__: f for f in (op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
+
+
+#: The same mix in SQL: quotas, swap-or-not shuffles and the documents' places.
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents),
+totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM totals),
+weighed AS (
+  SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
+         2.0::DOUBLE * source_size AS "full" FROM ranked),
+levels AS (
+  SELECT *, "full" / weight AS own,
+         (1.5::DOUBLE * sum(source_size) OVER ()
+          - coalesce(sum("full") OVER (ORDER BY "full" / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY "full" / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+reached AS (
+  SELECT (SELECT level FROM levels WHERE level < own ORDER BY own, rank LIMIT 1) AS level),
+quota AS (
+  SELECT l.source, l.rank, l.source_size,
+         CASE WHEN r.level IS NULL THEN l."full" ELSE least(l."full", r.level * l.weight) END AS target,
+         CAST(ceil(l.source_size / 256.0::DOUBLE) AS BIGINT) AS blocks
+  FROM levels l, reached r),
+planned AS (
+  SELECT *, CASE WHEN blocks > 0 THEN CAST(floor(target / (source_size / blocks::DOUBLE) + 1e-9) AS BIGINT) ELSE 0 END AS slots FROM quota),
+planned2 AS (
+  SELECT *, CASE WHEN blocks > 0 THEN CAST(round(greatest(0.0, target - slots * (source_size / blocks::DOUBLE))) AS BIGINT) ELSE 0 END AS rest FROM planned),
+slot AS (
+  SELECT rank, blocks, slots, rest, unnest(range(0, slots + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS slot FROM planned2),
+mapped AS (
+  SELECT rank, slot, CASE WHEN slot = slots THEN rest END AS words,
+         list_reduce(range(1, 17), lambda x, r:
+           CASE WHEN substr(md5(concat_ws('|', '20', rank, slot // blocks, r,
+                  greatest(x, (('0x' || substr(md5(concat_ws('|', '20', rank, slot // blocks, r)), 1, 12))::BIGINT % blocks + blocks - x) % blocks))), 1, 1) >= '8'
+                THEN (('0x' || substr(md5(concat_ws('|', '20', rank, slot // blocks, r)), 1, 12))::BIGINT % blocks + blocks - x) % blocks
+                ELSE x END, slot % blocks) AS block
+  FROM slot),
+visits AS (
+  SELECT rank, block, count(*) FILTER (WHERE words IS NULL) AS whole, max(words) AS words FROM mapped GROUP BY rank, block),
+placed AS (
+  SELECT s.doc_id, p.rank, s.size, p.source_size, p.target, row_number() OVER () AS nth,
+         coalesce(sum(s.size) OVER (PARTITION BY p.rank ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN planned2 p ON s.source IS NOT DISTINCT FROM p.source),
+cutting AS (
+  SELECT *, unnest(range(CAST(start AS BIGINT) // 256, CAST(greatest(start, start + size - 1) AS BIGINT) // 256 + 1)) AS block FROM placed),
+bits AS (
+  SELECT c.*, v.whole, v.words, greatest(c.start - c.block * 256, 0) AS a, least(c.start + c.size - c.block * 256, 256) AS b
+  FROM cutting c LEFT JOIN visits v ON c.rank = v.rank AND c.block = v.block)
+SELECT doc_id, size, source_size, target,
+       CAST(sum(CASE WHEN size > 0 THEN coalesce(whole * (b - a), 0) + greatest(0, least(b, coalesce(words, 0)) - a) ELSE 0 END) AS BIGINT) AS taken
+FROM bits GROUP BY nth, doc_id, size, source_size, target
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL}
