@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, token_counts, toxicity
+from . import language_id, license_scan, mixing, spotsigs, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.text_of(F.col("signatures")).alias("fingerprint"), spotsigs.text_of(F.col("edited_signatures")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold_of("doc_id", 5) != 0))
@@ -41,7 +51,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
+    return {f.__name__: f for f in (op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
 
 
 #: The same mix in SQL: quotas, swap-or-not shuffles and the documents' places.
