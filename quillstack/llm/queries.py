@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, spotsigs, token_counts, toxicity
+from . import language_id, license_scan, mixing, spotsigs, substring_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
     return found.select(
@@ -51,7 +56,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
 
 
 #: The same mix in SQL: quotas, swap-or-not shuffles and the documents' places.
@@ -111,5 +116,26 @@ FROM bits GROUP BY nth, doc_id, size, source_size, target
 """
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50),
+windows AS (
+  SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS h FROM places),
+firsts AS (
+  SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS g
+  FROM windows JOIN firsts USING (h) WHERE first_id < doc_id GROUP BY doc_id),
+kept AS (
+  SELECT words.doc_id, w, coalesce(len(g), 0) AS n,
+         CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS k
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op7_mixing": OP7_SQL}
