@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, spotsigs, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, license_scan, mixing, spotsigs, substring_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "n_item", "coverage")
 
 
 #: The same mix in SQL: quotas, swap-or-not shuffles and the documents' places.
