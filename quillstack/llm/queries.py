@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, mixing, spotsigs, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).groups
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold_of("doc_id", 5) != 0))
@@ -56,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
