@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, token_counts, toxicity
+from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, suffix_tree, token_counts, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) != 2)
+    return found.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_context")
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
     return found.select(
@@ -60,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_spotsigs, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_tree, op3_spotsigs, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
