@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from . import access, catalog, records, retrieval  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
