@@ -45,7 +45,7 @@ def bad_transitions(log: DataFrame, doc: str, state: str, order: list[str]) -> D
     before = F.lag(state).over(W.partitionBy(doc).orderBy(*order))
     allowed = F.lit(False)
     for old, new in TRANSITIONS.items():
-        came = F.col("__before").isNull() if old is None else F.col("__before") == old
+        came = F.col("__before").eqNullSafe(F.lit(old))
         allowed = allowed | (came & F.col(state).isin(*new) if new else F.lit(False))
     return log.withColumn("__before", before).where(~allowed).withColumnRenamed("__before", "previous")
 
