@@ -99,8 +99,8 @@ class Sequence:
 
     def _triples(self) -> None:
         at = np.flatnonzero(self.place >= 2)
-        known = self.pair_of[at - 1]
-        self.t_at = at[(known >= 0) & (self.p_total[known] >= self.least)]
+        at = at[self.pair_of[at - 1] >= 0]
+        self.t_at = at[self.p_total[self.pair_of[at - 1]] >= self.least]
         keys = wh.runs(self.tokens, 3)[self.t_at - 2] >> np.uint64(32 - self.bits) if len(self.t_at) else np.zeros(0, np.uint64)
         self.t_kinds, self.t, one = self._kinds(keys)
         self.t_first = self.t_at[one]
