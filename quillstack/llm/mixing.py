@@ -21,7 +21,7 @@ from .common import WORD, cut, lookup
 #: Rounds of the shuffle.
 ROUNDS = 16
 #: Slots of a source that one row of the plan opens at first.
-RUN = 4096
+RUN = 1024
 
 
 @dataclass
@@ -79,7 +79,10 @@ def slot_plan(sources: DataFrame, shards: int, seed: int) -> DataFrame:
         .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / RUN))))
         .select("rank", "blocks", "slots", "rest", "total", "run")
     )
-    runs = runs.repartition(F.col("rank"), F.col("run"))
+    # so many partitions by name, as the rows are few and small until they are opened
+    wanted = sources.agg(F.sum("slots")).first()[0] or 0
+    parts = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted // 50_000)
+    runs = runs.repartition(parts, F.col("rank"), F.col("run"))
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("total"), (F.col("run") + 1) * RUN) - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
 
@@ -148,7 +151,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     cutting = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words))))
     cutting = cutting.withColumn("from", F.greatest(F.col("start"), F.col("block") * block_words) - F.col("block") * block_words)
     cutting = cutting.withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.col("block") * block_words)
-    met = cutting.join(visits, ["rank", "block"], "left")
+    # both sides grow with the corpus: the plan's guess of a small side, made before runs are opened, would broadcast one
+    met = cutting.join(visits.hint("merge"), ["rank", "block"], "left")
     words = F.coalesce(F.col("whole") * (F.col("to") - F.col("from")), F.lit(0)) + F.greatest(F.lit(0), F.least(F.col("to"), F.coalesce(F.col("words"), F.lit(0))) - F.col("from"))
     taken = met.groupBy("rank", "leaf", "nth", "doc_id", "size").agg(F.sum(F.when(F.col("size") > 0, words).otherwise(0)).alias("taken"))
     result = taken.join(small.select("rank", "source_size", "target"), "rank").select("doc_id", "size", "source_size", "target", "taken")

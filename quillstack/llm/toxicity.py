@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6
     nt, nc = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(nt / (totals["toxic"] + 1.0)) - F.log(nc / (totals["clean"] + 1.0))
     chosen = counted.where(F.col("toxic") >= support).withColumn("weight", weight)
-    chosen = chosen.withColumn("z", F.col("weight") / F.sqrt(1 / nt + 1 / nc)).where("weight >= 2 and z >= 4")
+    chosen = chosen.withColumn("z", F.col("weight") / F.sqrt(1 / nt + 1 / nc)).where("weight >= 2 and z >= 3")
     rows = chosen.orderBy(F.desc("z"), "term").limit(lexicon).select("term", "weight").collect()
     model = Model({r["term"]: float(r["weight"]) for r in rows})
     if not model.weights:
