@@ -132,12 +132,12 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col
     return rows.join(F.broadcast(known), "__id").select("toxic", "text").repartition(32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6, lexicon: int = 4096, shortest: int = 4, longest: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6, share: float = 0.01, lexicon: int = 4096, shortest: int = 4, longest: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns the lexicon's weights and the curve from labelled rows, about `most` of them at most.
 
     A term's weight is the log of its document rate among toxic texts over
-    that among the others; it enters with `support` toxic texts at least, a
-    weight of 2 and a z-score of 4 at least; the `lexicon` terms of the
+    that among the others; it enters with `support` toxic texts and a `share`
+    of all toxic ones at least, a weight of 2 and a z-score of 3; the `lexicon` terms of the
     largest z-scores stay. Without toxic labels the lexicon is empty.
     """
     sample = _sample(docs, labels, most, id_col, text_col, label_col)
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6
     totals = sample.agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).first()
     nt, nc = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(nt / (totals["toxic"] + 1.0)) - F.log(nc / (totals["clean"] + 1.0))
-    chosen = counted.where(F.col("toxic") >= support).withColumn("weight", weight)
+    chosen = counted.where(F.col("toxic") >= max(support, share * totals["toxic"])).withColumn("weight", weight)
     chosen = chosen.withColumn("z", F.col("weight") / F.sqrt(1 / nt + 1 / nc)).where("weight >= 2 and z >= 3")
     rows = chosen.orderBy(F.desc("z"), "term").limit(lexicon).select("term", "weight").collect()
     model = Model({r["term"]: float(r["weight"]) for r in rows})
