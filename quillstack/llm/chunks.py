@@ -9,10 +9,12 @@ third of all rows weighs no more in its bucket than one row for each chunk.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,30 @@ def ids_of(rows: pa.Table) -> np.ndarray:
     return rows["id"].fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
 
 
-def unpack(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array as compressed bytes, the first bytes of all values first; ascending ones as differences."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return _codec()[0].compress(planes.tobytes())
+
+
+def stretch(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    """The array that was squeezed."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(_codec()[1].decompress(data), np.uint8).reshape(size, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if ascending else values
+
+
+def unpack(column: pa.ChunkedArray, dtype, read: Callable[[bytes, type], np.ndarray] = np.frombuffer) -> tuple[np.ndarray, np.ndarray]:
     """All rows' packed values one after another, and which row each is of."""
-    parts = [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    parts = [read(x, dtype) for x in column.to_pylist()]
     if not parts:
         return np.zeros(0, dtype), np.zeros(0, np.int64)
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .chunks import Chunks, answer, slices, unpack
+from .chunks import Chunks, answer, slices, squeeze, stretch, unpack
 
 #: The token after a text's last word.
 END = np.uint64(0x5EED5EED5EED5EED)
@@ -66,11 +66,11 @@ class Sequence:
         return s[new], kind, order[new]
 
     def _totals(self, level: int, dtype) -> np.ndarray:
-        return unpack(self.got[level]["totals"], dtype)[0] if level in self.got else np.zeros(0, dtype)
+        return unpack(self.got[level]["totals"], dtype, stretch)[0] if level in self.got else np.zeros(0, dtype)
 
     def _owned(self, level: int, sizes: np.ndarray) -> np.ndarray:
         parts = self.got[level]["owned"].to_pylist() if level in self.got else []
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(parts, sizes[sizes > 0], strict=True)]
+        bits = [np.unpackbits(stretch(x, np.uint8), count=n) for x, n in zip(parts, sizes[sizes > 0], strict=True)]
         return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
 
     def _words(self) -> None:
@@ -165,8 +165,8 @@ def _packed(chunk: int, levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarr
         used = range(len(bounds) - 1)  # words go to every bucket: its answer has the bucket's part of the corpus' sizes
         used = used if level == WORDS else np.flatnonzero(np.diff(bounds)).tolist()
         out["bucket"] += list(used)
-        out["values"] += [values[bounds[b] : bounds[b + 1]].tobytes() for b in used]
-        out["counts"] += [counts[bounds[b] : bounds[b + 1]].tobytes() for b in used]
+        out["values"] += [squeeze(values[bounds[b] : bounds[b + 1]], ascending=True) for b in used]
+        out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]].reshape(-1)) for b in used]
         out["level"] += [level] * len(used)
     out["chunk"] = [chunk] * len(out["bucket"])
     return out
@@ -178,8 +178,8 @@ def _answer(rows: pa.Table) -> dict:
     levels = rows["level"].to_numpy()
     for level in np.unique(levels).tolist():
         own = rows.take(np.flatnonzero(levels == level))
-        values, row = unpack(own["values"], np.uint64 if level in (WORDS, ONE) else np.uint32)
-        counts = unpack(own["counts"], np.float64 if level in (ONE, TWO) else np.uint32)[0]
+        values, row = unpack(own["values"], np.uint64 if level in (WORDS, ONE) else np.uint32, lambda x, kind: stretch(x, kind, ascending=True))
+        counts = unpack(own["counts"], np.float64 if level in (ONE, TWO) else np.uint32, stretch)[0]
         counts = counts.reshape(-1, 2) if level in (ONE, TWO) else counts.astype(np.int64)
         order, first = wh.groups(values)
         total = np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
@@ -192,8 +192,8 @@ def _answer(rows: pa.Table) -> dict:
         each = each.astype(np.int64 if level == WORDS else np.float32)
         bounds = slices(row, len(own))
         for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            out["totals"].append(each[a:b].tobytes())
-            out["owned"].append(np.packbits(owner[a:b]).tobytes() if level in (PAIRS, TRIPLES) else b"")
+            out["totals"].append(squeeze(each[a:b]))
+            out["owned"].append(squeeze(np.packbits(owner[a:b])) if level in (PAIRS, TRIPLES) else b"")
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
         out["level"] += [level] * len(own)
@@ -214,7 +214,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = 8, discount:
     probability 1 / (0 + 0 + 1). Other columns are not read.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
-    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=16 << 20, least=96)
+    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=16 << 20, least=48)
     bits = chunks.bits
 
     def sequence(rows: pa.Table, got: pa.Table | None, upto: int) -> Sequence:

@@ -186,7 +186,6 @@ def test_ngram_join(frame, awkward, words):
 
 
 def test_ngram_join_compares_what_leaders_leave(frame, words, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rng = random.Random(9)
     base, rows = rng.choices(words, k=150), []
