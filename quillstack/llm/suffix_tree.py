@@ -38,22 +38,29 @@ class Sequence:
     def __init__(self, rows: pa.Table, got: pa.Table | None, bits: int, least: int, upto: int):
         """upto: the last level that has been answered to everybody (WORDS - 1: none)."""
         self.bits, self.least, self.upto = bits, least, upto
-        words, offsets = wh.hash_words(rows["text"].to_pylist(), lower=True)
-        texts = len(offsets) - 1
-        owner = wh.owners(offsets)
-        self.offsets = offsets + np.arange(texts + 1)
-        self.tokens = np.full(len(words) + texts, END)
-        self.tokens[np.arange(len(words)) + owner] = words
-        self.text = wh.owners(self.offsets)
-        self.train = rows["c0"].to_numpy(zero_copy_only=False).astype(bool)[self.text]
-        self.place = np.arange(len(self.tokens)) - self.offsets[self.text]
         self.got = {}
         if got is not None:
             level, bucket = got["level"].to_numpy(), got["bucket"].to_numpy()
             for k in np.unique(level):
                 at = np.flatnonzero(level == k)
                 self.got[int(k)] = got.take(at[np.argsort(bucket[at])])
+        # one after another, so that what a step needs for itself is free before the next
+        self._tokens(rows)
         self._words()
+        if upto >= WORDS:
+            self._pairs()
+        if upto >= PAIRS:
+            self._triples()
+
+    def _tokens(self, rows: pa.Table) -> None:
+        words, offsets = wh.hash_words(rows["text"].to_pylist(), lower=True)
+        texts = len(offsets) - 1
+        self.offsets = offsets + np.arange(texts + 1)
+        self.tokens = np.full(len(words) + texts, END)
+        self.tokens[np.arange(len(words)) + wh.owners(offsets)] = words
+        text = wh.owners(self.offsets)
+        self.train = rows["c0"].to_numpy(zero_copy_only=False).astype(bool)[text]
+        self.place = (np.arange(len(self.tokens)) - self.offsets[text]).astype(np.int32)
 
     @staticmethod
     def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +68,7 @@ class Sequence:
         order = np.argsort(keys)
         s = keys[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        kind = np.empty(len(keys), np.int64)
+        kind = np.empty(len(keys), np.int32)
         kind[order] = np.cumsum(new) - 1
         return s[new], kind, order[new]
 
@@ -81,10 +88,9 @@ class Sequence:
             self.n = int(self.got[WORDS]["tokens"].to_numpy().sum())
             self.v = int(self.got[WORDS]["kinds"].to_numpy().sum())
             self.root = (self.w_total + 1.0) / (self.n + self.v + 1.0)
-            self._pairs()
 
     def _pairs(self) -> None:
-        at = np.flatnonzero(self.place >= 1)
+        at = np.flatnonzero(self.place >= 1).astype(np.int32)
         self.p_at = at[self.w_total[self.w[at - 1]] >= self.least]
         keys = wh.runs(self.tokens, 2)[self.p_at - 1] >> np.uint64(32 - self.bits) if len(self.p_at) else np.zeros(0, np.uint64)
         self.p_kinds, self.p, one = self._kinds(keys)
@@ -93,12 +99,11 @@ class Sequence:
         self.contexts = np.unique(self.w[self.p_at - 1])  # kinds of words that are contexts here
         if self.upto >= PAIRS:
             self.p_total = self._totals(PAIRS, np.float32).astype(float)
-            self.pair_of = np.full(len(self.tokens), -1)
+            self.pair_of = np.full(len(self.tokens), -1, np.int32)
             self.pair_of[self.p_at] = self.p
-            self._triples()
 
     def _triples(self) -> None:
-        at = np.flatnonzero(self.place >= 2)
+        at = np.flatnonzero(self.place >= 2).astype(np.int32)
         at = at[self.pair_of[at - 1] >= 0]
         self.t_at = at[self.p_total[self.pair_of[at - 1]] >= self.least]
         keys = wh.runs(self.tokens, 3)[self.t_at - 2] >> np.uint64(32 - self.bits) if len(self.t_at) else np.zeros(0, np.uint64)
@@ -142,7 +147,7 @@ class Sequence:
     def log_probabilities(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each token's probability in its state, and the length of that state's context."""
         p = self.root[self.w]
-        length = np.zeros(len(p), np.int64)
+        length = np.zeros(len(p), np.int32)
 
         def descend(at: np.ndarray, kind: np.ndarray, total: np.ndarray, context: np.ndarray, count: np.ndarray, contexts: np.ndarray, level: int) -> None:
             """Goes down to the retained contexts' states."""
@@ -214,7 +219,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = 8, discount:
     probability 1 / (0 + 0 + 1). Other columns are not read.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
-    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=16 << 20, least=48)
+    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=12 << 20, least=48)
     bits = chunks.bits
 
     def sequence(rows: pa.Table, got: pa.Table | None, upto: int) -> Sequence:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -26,21 +25,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=12)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    def powers(b: int) -> np.ndarray:
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        return np.multiply.accumulate(p)
-
-    return powers(base), powers(pow(base, -1, 1 << 64))
+#: The longest powers so far of each base; shorter ones are their beginnings.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n-1 of an odd base and of its inverse, modulo 2**64."""
-    size = 1 << max(10, (n - 1).bit_length())
-    up, down = _powers(base, size)
-    return up[:n], down[:n]
+
+    def make(b: int, size: int) -> np.ndarray:
+        p = np.full(size, b, np.uint64)
+        p[:1] = 1
+        return np.multiply.accumulate(p)
+
+    kept = _POWERS.get(base)
+    if kept is None or len(kept[0]) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        kept = _POWERS[base] = make(base, size), make(pow(base, -1, 1 << 64), size)
+    return kept[0][:n], kept[1][:n]
 
 
 def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
