@@ -30,6 +30,8 @@ END = np.uint64(0x5EED5EED5EED5EED)
 TOLD = "bucket int, chunk int, level int, values binary, counts binary"
 ANSWERED = "chunk int, level int, bucket int, totals binary, owned binary, tokens long, kinds long"
 WORDS, PAIRS, TRIPLES, ONE, TWO = range(5)
+#: Of a context: its continuations' part of the test, and their number. Four bytes each, as every chunk tells one of every context.
+TALLY = np.dtype([("part", np.float32), ("kinds", np.uint32)])
 
 
 class Sequence:
@@ -98,7 +100,7 @@ class Sequence:
         self.p_local = np.bincount(self.p[self.train[self.p_at]], minlength=len(self.p_kinds))
         self.contexts = np.unique(self.w[self.p_at - 1])  # kinds of words that are contexts here
         if self.upto >= PAIRS:
-            self.p_total = self._totals(PAIRS, np.float32).astype(float)
+            self.p_total = self._totals(PAIRS, np.int64).astype(float)
             self.pair_of = np.full(len(self.tokens), -1, np.int32)
             self.pair_of[self.p_at] = self.p
 
@@ -112,7 +114,7 @@ class Sequence:
         self.t_local = np.bincount(self.t[self.train[self.t_at]], minlength=len(self.t_kinds))
         self.pair_contexts = np.unique(self.pair_of[self.t_at - 1])
         if self.upto >= TRIPLES:
-            self.t_total = self._totals(TRIPLES, np.float32).astype(float)
+            self.t_total = self._totals(TRIPLES, np.int64).astype(float)
 
     def cut(self, kinds: np.ndarray) -> np.ndarray:
         """Bounds of the buckets in ascending kinds of pairs or triples (shortened hashes; words are whole ones)."""
@@ -142,7 +144,9 @@ class Sequence:
     @staticmethod
     def _sums(context: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
         """For each context the sum of the parts, and their number: its distinct continuations."""
-        return np.column_stack([np.bincount(context, weights=part, minlength=n), np.bincount(context, minlength=n)])
+        found = np.empty(n, TALLY)
+        found["part"], found["kinds"] = np.bincount(context, weights=part, minlength=n), np.bincount(context, minlength=n)
+        return found
 
     def log_probabilities(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each token's probability in its state, and the length of that state's context."""
@@ -152,7 +156,7 @@ class Sequence:
         def descend(at: np.ndarray, kind: np.ndarray, total: np.ndarray, context: np.ndarray, count: np.ndarray, contexts: np.ndarray, level: int) -> None:
             """Goes down to the retained contexts' states."""
             breadth = np.zeros(len(count))
-            breadth[contexts] = self._totals(level, np.float32)
+            breadth[contexts] = self._totals(level, np.int64)
             use = breadth[context] > 0
             at, kind, context = at[use], kind[use], context[use]
             p[at] = (np.maximum(total[kind] - discount, 0) + discount * breadth[context] * p[at]) / count[context]
@@ -171,7 +175,7 @@ def _packed(chunk: int, levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarr
         used = used if level == WORDS else np.flatnonzero(np.diff(bounds)).tolist()
         out["bucket"] += list(used)
         out["values"] += [squeeze(values[bounds[b] : bounds[b + 1]], ascending=True) for b in used]
-        out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]].reshape(-1)) for b in used]
+        out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]]) for b in used]
         out["level"] += [level] * len(used)
     out["chunk"] = [chunk] * len(out["bucket"])
     return out
@@ -184,17 +188,21 @@ def _answer(rows: pa.Table) -> dict:
     for level in np.unique(levels).tolist():
         own = rows.take(np.flatnonzero(levels == level))
         values, row = unpack(own["values"], np.uint64 if level in (WORDS, ONE) else np.uint32, lambda x, kind: stretch(x, kind, ascending=True))
-        counts = unpack(own["counts"], np.float64 if level in (ONE, TWO) else np.uint32, stretch)[0]
-        counts = counts.reshape(-1, 2) if level in (ONE, TWO) else counts.astype(np.int64)
+        counts = unpack(own["counts"], TALLY if level in (ONE, TWO) else np.uint32, stretch)[0]
         order, first = wh.groups(values)
-        total = np.add.reduceat(counts[order], first, axis=0) if len(first) else counts
+
+        def summed(column: np.ndarray, kind: type) -> np.ndarray:
+            column = column[order].astype(kind)
+            return np.add.reduceat(column, first) if len(first) else column
+
         if level in (ONE, TWO):  # a retained context's distinct continuations; 0 for the others
-            total = np.where(total[:, 0] >= 0, total[:, 1], 0)
-        each = np.empty(len(values), total.dtype)
+            total = np.where(summed(counts["part"], np.float64) >= 0, summed(counts["kinds"], np.int64), 0)
+        else:
+            total = summed(counts, np.int64)
+        each = np.empty(len(values), np.int64)
         each[order] = np.repeat(total, np.diff(np.append(first, len(order))))
         owner = np.zeros(len(values), bool)
         owner[order[first]] = True
-        each = each.astype(np.int64 if level == WORDS else np.float32)
         bounds = slices(row, len(own))
         for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             out["totals"].append(squeeze(each[a:b]))
@@ -219,7 +227,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = 8, discount:
     probability 1 / (0 + 0 + 1). Other columns are not read.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
-    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=12 << 20, least=48)
+    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=14 << 20, least=48)
     bits = chunks.bits
 
     def sequence(rows: pa.Table, got: pa.Table | None, upto: int) -> Sequence:
