@@ -14,7 +14,12 @@
    under 2 t - 1, the triangle inequality of the Jaccard distance rules out a
    link to what the leader settled, and only the unsettled are looked at. No
    pair is taken twice: it belongs to the first band that both share.
-5. Links make groups by label propagation with pointer jumping.
+5. These links make groups by label propagation with pointer jumping. They
+   connect all that belongs together, but leave out pairs of settled documents.
+6. Every linked pair lies within a group, so all pairs of a group that still
+   lacks some are looked at in blocks, whether they share a band or not: sizes,
+   then sketches, then the full sets. The blocks add up each document's links;
+   pairs become rows only for who reads `links`.
 """
 
 from __future__ import annotations
@@ -30,16 +35,18 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .chunks import arrow_schema, squeeze, stretch
-from .common import cut, pieces
+from .common import cut, lookup, pieces
 
 #: Documents in a block of such a comparison.
 BLOCK = 512
+#: Shingles in a block of full sets, and shingles compared at a time.
+VOLUME, WIDTH = 1 << 21, 1 << 15
 
 
 @dataclass
 class Join:
     members: DataFrame  # doc_id, class_id: the smallest id with an equal set; documents without words are their own
-    links: DataFrame  # a, b, jaccard: verified pairs of class representatives
+    links: DataFrame  # a, b, jaccard: all linked pairs of class representatives, made when read
     groups: DataFrame  # doc_id, class_id, group_id, n_links
 
 
@@ -278,6 +285,88 @@ def _unsettled(buckets: DataFrame, picked: DataFrame, sets: DataFrame, threshold
     return packed.groupBy(*by).cogroup(wanted.groupBy(*by)).applyInArrow(exact, "a long, b long, jaccard double")
 
 
+def overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs (positions in sets) of distinct values."""
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    shared = count[code] > 1
+    owner, code = owner[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros(len(pairs), np.int64)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, WIDTH):
+        a, b = np.searchsorted(code, (start, start + WIDTH))
+        flags = np.zeros((len(sets), -(-(int(code[b - 1]) + 1 - start) // 64) * 64), bool)
+        flags[owner[a:b], code[a:b] - start] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        step = max(1, (1 << 20) // bits.shape[1])
+        for k in range(0, len(pairs), step):
+            x, y = pairs[k : k + step].T
+            out[k : k + step] += np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _linked(rows: pa.Table, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids ascending, linked pairs (positions in the ids) and their Jaccard measures, of one pair of blocks."""
+    rows = rows.sort_by("id")
+    ids, own, size = (rows[c].to_numpy() for c in ("id", "own", "n_shingles"))
+    sketch = np.stack([np.frombuffer(v, np.uint8) for v in rows["sketch"].to_pylist()])
+    mixed = rows["x"][0].as_py() != rows["y"][0].as_py()
+    out = [np.zeros((0, 2), np.int64)]
+    for k in range(len(ids) - 1):
+        hit = np.minimum(size[k + 1 :], size[k]) >= threshold * np.maximum(size[k + 1 :], size[k])
+        if mixed:
+            hit &= own[k + 1 :] != own[k]
+        at = k + 1 + np.flatnonzero(hit)
+        at = at[np.count_nonzero(sketch[at] == sketch[k], axis=1) >= (threshold - slack) * sketch.shape[1]]
+        out.append(np.column_stack([np.full(len(at), k), at]))
+    pairs = np.concatenate(out)
+    if not len(pairs):
+        return ids, pairs, np.zeros(0)
+    used, place = np.unique(pairs, return_inverse=True)
+    packed = rows["shingles"].take(pa.array(used)).to_pylist()
+    sets = [stretch(v, np.uint64, ascending=True) for v in packed]
+    sizes = np.array([len(v) for v in sets])
+    place = place.reshape(-1, 2)
+    both = overlaps(sets, place)
+    value = both / (sizes[place].sum(axis=1) - both)
+    return ids, pairs[value >= threshold], value[value >= threshold]
+
+
+def _all_links(labels: DataFrame, links: DataFrame, picked: DataFrame, sets: DataFrame, threshold: float, slack: float) -> tuple[DataFrame, DataFrame]:
+    """class_id, n_links; and a, b, jaccard: all links within the groups that `links` connect.
+
+    A group that has all its pairs among the links is done; the others' documents
+    are dealt to blocks, and each pair of blocks is compared in one task.
+    """
+    placed = labels.join(picked.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    known = links.join(labels.withColumnRenamed("doc_id", "a"), "a")
+    whole = placed.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
+    found = known.groupBy("group_id").agg(F.count("*").alias("found"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / VOLUME)).cast("int")
+    open_ = lookup(cut(whole.join(found, "group_id").where("2 * found < n * (n - 1)").select("group_id", blocks.alias("blocks"))))
+
+    cells = placed.join(open_, "group_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = cells.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("group_id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("doc_id").alias("id"), "n_shingles", "sketch", "shingles")
+    cells = cells.groupBy("group_id", "x", "y")
+    count, pair = arrow_schema(links, "class_id long, n long"), arrow_schema(links, "a long, b long, jaccard double")
+
+    def counts(rows: pa.Table) -> pa.Table:
+        ids, pairs, _ = _linked(rows, threshold, slack)
+        at, n = np.unique(pairs, return_counts=True)
+        return pa.table({"class_id": ids[at], "n": n}, schema=count)
+
+    def rows_of(rows: pa.Table) -> pa.Table:
+        ids, pairs, value = _linked(rows, threshold, slack)
+        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]], "jaccard": value}, schema=pair)
+
+    done = known.join(open_, "group_id", "left_anti").select("a", "b", "jaccard")
+    ends = done.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n"))
+    degree = ends.union(cells.applyInArrow(counts, "class_id long, n long")).groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    return degree, done.union(cells.applyInArrow(rows_of, "a long, b long, jaccard double"))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> Join:
     """Documents whose sets of word n-grams have a Jaccard measure of `threshold` or more.
 
@@ -287,9 +376,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     share a class, and the links are between the classes' smallest ids. Rows
     that share an id must hold the same text. `recall` is the chance at least
     that a pair at the threshold shares a band. Other columns are not read.
-    `n_links` counts the verified links of a document's class that the groups
-    were made from; a group of near copies is a tree around its leaders rather
-    than all of its pairs.
+    `n_links` counts the classes that a document's class is linked to, all of
+    them; the work for it is quadratic in the classes of a group.
     """
     bands, rows = bands_for(threshold, recall)
     slack = 4 * math.sqrt(0.25 / (bands * rows))
@@ -315,7 +403,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     links = led.where(F.col("jaccard") >= threshold).union(_unsettled(judged, picked, sets, threshold, slack))
     links = cut(links.dropDuplicates(["a", "b"]))
     labels = components(links)
-    degree = links.select(F.col("a").alias("class_id")).union(links.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    degree, links = _all_links(labels, links, picked, sets, threshold, slack)
     everyone = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(members, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     groups = everyone.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     groups = groups.select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -195,6 +195,32 @@ def test_ngram_join_compares_what_leaders_leave(frame, words, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in ngram_join.ngram_join(frame(rows)).groups.collect()} == brute_groups(rows)
 
 
+def test_ngram_join_links_all_pairs_of_a_family(frame, words, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "WIDTH", 128)
+    rng = random.Random(10)
+    rows = []
+    for family, (least, most) in enumerate([(1, 1), (0, 3), (1, 1)]):  # near to each other throughout; only in part; in one block
+        base = rng.choices(words, k=200)
+        for k in range(6 if family == 2 else 24):
+            own = list(base)
+            for _ in range(rng.randint(least, most)):
+                own[rng.randrange(200)] = f"edit{family}x{k}"
+            rows.append((100 * family + k, " ".join(own)))
+    rows += [(900, rows[0][1]), (901, "alone among all of them here")]
+    found = ngram_join.ngram_join(frame(rows))
+    sets = {i: shingles(t) for i, t in rows if i != 900}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    # members without an edit are equal: the smallest stands for them
+    classes = {r["doc_id"]: r["class_id"] for r in found.members.collect()}
+    want = {p: v for p, v in like.items() if v >= 0.8 and all(classes[i] == i for i in p)}
+    assert len(want) > 276 + 15
+    got = {(r["a"], r["b"]): r["jaccard"] for r in found.links.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[p], want[p]) for p in want)
+    groups = found.groups.collect()
+    assert {r["doc_id"]: r["n_links"] for r in groups} == {r["doc_id"]: sum(r["class_id"] in p for p in want) for r in groups}
+
+
 def test_ngram_join_of_nothing(frame):
     assert ngram_join.ngram_join(frame([])).groups.count() == 0
     assert [r["group_id"] for r in ngram_join.ngram_join(frame([(3, None)])).groups.collect()] == [3]
