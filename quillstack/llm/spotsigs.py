@@ -7,11 +7,13 @@ fingerprint is its set of signature hashes; likeness is the Jaccard measure.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, lookup
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -22,6 +24,8 @@ ANCHORS = (
     "al como con del el ella entre era esta este la las lo los más no o para pero por se sin su sus y"
 )
 _JOINT = "\x01"
+#: Sets that share a signature, for each salt of it.
+HOT = 1000
 
 
 def anchors() -> list[str]:
@@ -132,3 +136,49 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return edited.select(
         "doc_id", "n_chars", "edited", "signatures", "next_signatures", signatures(F.col("edited")).alias("edited_signatures"),
     )
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): documents whose fingerprints have a Jaccard measure of `threshold` (over 0) or more.
+
+    members: doc_id, class_id, the smallest id with an equal set. pairs: a, b,
+    likeness of class ids, a < b. Sets are partitioned by length; a set meets
+    those of its own and of the next partitions that the threshold lets its
+    length reach, where both have a signature among their rarest: of n
+    signatures, n - ceil(threshold * n) + 1. A pair is taken at the first such
+    signature only. Signatures of more than HOT sets are salted. Rows that
+    share an id count as one document, with the smallest text; null texts
+    count as empty; null ids are left out.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    prints = cut(fingerprints(texts))
+    sets = cut(prints.groupBy("signatures").agg(F.min("doc_id").alias("class_id")).withColumn("size", F.size("signatures")))
+    members = prints.join(sets, "signatures").select("doc_id", "class_id")
+
+    spread = sets.select("class_id", "size", F.explode("signatures").alias("signature"))
+    often = cut(spread.groupBy("signature").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int")))
+    most = often.agg(F.max("salts")).first()[0] or 1
+    known = spread.join(often.where("salts = 1").select("signature", "n", "salts"), "signature")
+    if most > 1:
+        # the few hot ones go to every task, so that their rows need not meet
+        known = known.unionByName(spread.join(lookup(cut(often.where("salts > 1"))), "signature"))
+    rare = known.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "signature", "salts"))).alias("all"))
+    length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1
+    rare = cut(rare.select("class_id", "size", F.slice("all", 1, length).alias("first")))
+
+    def part(size: Column) -> Column:
+        return F.floor(F.log(size) / F.lit(math.log(1 / threshold))).cast("int") if threshold < 1 else size.cast("int")
+
+    entry = rare.select("class_id", "size", F.col("first.signature").alias("prefix"), F.explode("first").alias("e"))
+    entry = entry.select("class_id", "size", "prefix", "e.signature", F.col("e.salts").alias("salts"))
+    reach = F.sequence(part(F.col("size")), part(F.floor(F.col("size") / threshold + 1e-9)))
+    short = entry.select(F.col("class_id").alias("s"), F.col("size").alias("s_size"), F.col("prefix").alias("s_prefix"), "signature", F.pmod(F.xxhash64("class_id"), F.col("salts")).alias("salt"), F.explode(reach).alias("part"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))
+    long = entry.select(F.col("class_id").alias("l"), F.col("size").alias("l_size"), F.col("prefix").alias("l_prefix"), "signature", every.alias("salt"), part(F.col("size")).alias("part"))
+    met = short.join(long, ["signature", "salt", "part"])
+    met = met.where((F.struct("s_size", "s") < F.struct(F.col("l_size").alias("s_size"), F.col("l").alias("s"))) & (F.col("s_size") >= threshold * F.col("l_size") - 1e-9))
+    met = met.where(F.array_intersect("s_prefix", "l_prefix")[0] == F.col("signature")).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
+    own = lambda key: sets.select(F.col("class_id").alias(key), F.col("signatures").alias(f"{key}_set"))
+    both = met.join(own("a"), "a").join(own("b"), "b")
+    pairs = both.select("a", "b", likeness(F.col("a_set"), F.col("b_set")).alias("likeness")).where(F.col("likeness") >= threshold)
+    return members, pairs

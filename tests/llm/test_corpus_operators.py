@@ -145,6 +145,30 @@ def test_spotsigs_of_shared_ids_one_and_none(frame):
     assert sorted((r["doc_id"], r["edited"]) for r in twice) == [(5, "a"), (6, "c")]
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_spotsigs_near_copies(frame, awkward, words, monkeypatch, threshold):
+    monkeypatch.setattr(spotsigs, "HOT", 5)
+    rng = random.Random(13)
+    rows = list(awkward)
+    for family in range(3):
+        base = [f"the {w}" for w in rng.choices(words, k=(8, 16, 60)[family])]
+        for k in range(20):
+            own = base[: len(base) - rng.randint(0, 4)]
+            own[rng.randrange(len(own))] = f"the other{rng.randrange(9)}"
+            rows.append((1000 + 7 * k + 200 * family, " ".join(own)))
+    rows += [(1001, None), (None, rows[-1][1])]
+    docs = frame(rows)
+    members, pairs = spotsigs.near_copies(docs, threshold)
+    sets = {r["doc_id"]: frozenset(r["signatures"]) for r in spotsigs.fingerprints(docs).collect() if r["doc_id"] is not None}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {i: first[v] for i, v in sets.items()}
+    want = {(i, j): len(a & b) / len(a | b) for a, i in first.items() for b, j in first.items() if i < j and a & b and len(a & b) >= threshold * len(a | b)}
+    got = pairs.collect()
+    assert len(got) == len(want) > 30 and {(r["a"], r["b"]): r["likeness"] for r in got} == want
+
+
 def shingles(text, n=5):
     w = split(text)
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
