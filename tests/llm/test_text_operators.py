@@ -131,11 +131,45 @@ def test_language_id(frame, spark):
     assert {r["lang_pred"] for r in language_id.language_id(docs, empty).collect()} == {"und"}
 
 
+def brute_logits(m, text):
+    """Forward pass over a text's runs, one by one."""
+    flat = " ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda x: x[0].lower(), text)).decode("latin-1").split())
+    flat = f" {flat} ".encode("latin-1")
+    total = np.zeros(len(m.langs))
+    for k in range(len(flat)):
+        for n in (3, 4):
+            run = int.from_bytes((flat + b"   ")[k : k + n], "little") + (n == 4)
+            total += m.table[(run * 2654435761) % (1 << 32) >> 17] / language_id.SCALE
+    return total / (2 * len(flat)) + m.bias
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("aB éz.7 ", max_size=40), min_size=1, max_size=8), st.integers(0, 3))
+def test_logits_are_a_texts_own(texts, long):
+    rng = np.random.default_rng(0)
+    m = language_id.Model(["a", "b"], rng.integers(-1 << 20, 1 << 20, (language_id.BUCKETS, 2)).astype(np.int32), np.array([0.25, -1.0]), 1.0, 0.0)
+    raw = [t.encode() for t in texts] + [b"some words " * 7000] * (long == 0)  # the last is over a part's size
+    beside = m.logits(raw)
+    for k, t in enumerate(raw):
+        assert (m.logits([t])[0] == beside[k]).all() and (m.logits([b"x", t, b"other"])[1] == beside[k]).all()
+        if len(t) < 1000:
+            assert np.allclose(beside[k], brute_logits(m, t), rtol=0, atol=1e-9)
+
+
 def test_long_text_has_the_mean_of_its_grams():
     rng = np.random.default_rng(0)
-    m = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
-    text = b"some words " * 30
+    m = language_id.Model(["a", "b"], rng.integers(-1 << 20, 1 << 20, (language_id.BUCKETS, 2)).astype(np.int32), np.zeros(2), 1.0, 0.0)
+    text = b"some words " * 7000
     b, c = language_id.features(text)
-    want = (m.table[b] * np.array(c)[:, None]).sum(axis=0) / sum(c)
-    assert np.allclose(m.logits([b"", text, b"x"])[1], want, atol=0.02)
+    want = (m.table[b].astype(float) * np.array(c)[:, None]).sum(axis=0) / sum(c) / language_id.SCALE
+    assert np.allclose(m.logits([b"", text, b"x"])[1], want, rtol=0, atol=1e-9)
     assert all(a <= b for a, b in pairwise(b))
+
+
+def test_training_follows_the_gradient():
+    """One step of the descent against the loss' slope, by small differences."""
+    rng = np.random.default_rng(3)
+    rows = [(x, *language_id.features(t)) for x, t in (("aa", b"some words of one kind"), ("bb", b"ein paar andere")) for _ in range(12)]
+    m = language_id.train(rows, epochs=8)
+    loss = lambda bias, table: -sum(np.log(language_id.Model(m.langs, table, bias, 1.0, 0.0).scores(language_id.Model(m.langs, table, bias, 1.0, 0.0).logits([t]))[0, k]) for k, t in enumerate((b"some words of one kind", b"ein paar andere")))
+    assert loss(m.bias, m.table) < 0.2 < loss(m.bias, m.table * 0) and loss(m.bias, m.table) < loss(m.bias, rng.permutation(m.table))
