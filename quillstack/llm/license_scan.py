@@ -2,7 +2,8 @@
 
 A template is wording with two kinds of markup: <<opt>> ... <<end>> may be
 left out, and <<var:n>> stands for 0 to n words of any kind. A text matches
-where all the mandatory wording stands exactly, word for word.
+where all the mandatory wording stands exactly, word for word. Of matches one
+within the other the longest counts.
 """
 
 from __future__ import annotations
@@ -22,21 +23,94 @@ TABLE = bytes(
 #: The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public notices as templates, by label.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0 <<opt>>the license<<end>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-name": "released under the <<opt>>new<<end>> <<opt>>2 clause<<end>> <<opt>>3 clause<<end>> bsd license",
-    "cc-by": "licensed under <<opt>>a<<end>> <<opt>>the<<end>> <<opt>>terms of the<<end>> <<opt>>creative commons<<end>> cc by <<opt>>nc<<end>> <<opt>>sa<<end>> <<opt>>nd<<end>> 4 0",
-    "cc-by-nc": "licensed under <<opt>>a<<end>> <<opt>>the<<end>> <<opt>>creative commons<<end>> cc by nc 4 0",
-    "gpl-2.0": "this <<var:6>> is licensed under the <<opt>>terms of the<<end>> gnu general public license version 2",
-    "gpl-3.0": "this <<var:6>> is licensed under the <<opt>>terms of the<<end>> gnu general public license version 3",
-    "gpl-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var:2>> of the license or <<opt>>at your option<<end>> any later version",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit-name": "released under the <<opt>>terms of the<<end>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this <<var:8>> to deal in the software without restriction",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-}
+#: The wording that several public licenses share.
+_AS_IS = """This software is provided by <<var:12>> "as is" and any express or implied warranties, including, but not limited to, the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall <<var:12>> be liable for any direct, indirect,
+    incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use,
+    data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort
+    (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    <<opt>>1<<end>> <<opt>>a<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    <<opt>>2<<end>> <<opt>>b<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution."""
+_ISC = """the software is provided "as is" and <<var:8>> disclaims all warranties with regard to this software including all implied warranties of
+    merchantability and fitness. In no event shall <<var:8>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever
+    resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection
+    with the use or performance of this software."""
+_GNU = """is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the
+    Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
+_GNU_ONLY = """is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License
+    <<opt>>as published by the Free Software Foundation<<end>> version {1}"""
+_UNDER = "under <<opt>>the<<end>> <<opt>>terms of<<end>> <<opt>>the<<end>> <<opt>>a<<end>>"
+_GNU_NAME = f"{_UNDER} GNU {{0}} General Public License <<opt>>version<<end>> {{1}}"
+_GNU_SHORT = f"{_UNDER} GNU {{0}} General Public License v{{1}}"
+_CC_CODE = f"{_UNDER} <<opt>>creative commons<<end>> cc {{0}} <<opt>>license<<end>> {{2}}"
+_CC_NAME = f"{_UNDER} <<opt>>creative commons<<end>> attribution {{1}} {{2}} <<opt>>international<<end>> <<opt>>unported<<end>>"
+
+#: Public license texts, notices and names as templates, by label; a label's templates are alternatives.
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "apache-2.0": (f"licensed {_UNDER} Apache License, <<opt>>version<<end>> 2.0 <<opt>>the license<<end>>",),
+    "apache-2.0-notice": (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at <<var:12>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+        and limitations under the License.""",
+    ),
+    "bsd-2-clause": (f"{_BSD} {_AS_IS}",),
+    "bsd-3-clause": (
+        f"{_BSD} <<opt>>3<<end>> <<opt>>c<<end>> Neither the name of <<var:12>> nor the names of <<var:4>> contributors may be used to endorse or promote products "
+        f"derived from this software without specific prior written permission. {_AS_IS}",
+    ),
+    "bsd-name": (f"{_UNDER} <<opt>>new<<end>> <<opt>>simplified<<end>> <<opt>>2 clause<<end>> <<opt>>3 clause<<end>> BSD <<opt>>2 clause<<end>> <<opt>>3 clause<<end>> license",),
+    "boost-1.0": (
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by
+        this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software,
+        and to permit third-parties to whom the Software is furnished to do so""",
+    ),
+    **{
+        f"cc-{code.replace(' ', '-')}": tuple(form.format(code, name, version) for form in (_CC_CODE, _CC_NAME) for version in ("4 0", "3 0", "2 0"))
+        for code, name in (("by", ""), ("by sa", "sharealike"), ("by nd", "noderivatives"), ("by nc", "noncommercial"), ("by nc sa", "noncommercial sharealike"), ("by nc nd", "noncommercial noderivatives"))
+    },
+    "cc0-1.0": (f"{_UNDER} <<opt>>creative commons<<end>> cc0 1 0 <<opt>>universal<<end>>", f"{_UNDER} creative commons zero <<opt>>v<<end>> 1 0 <<opt>>universal<<end>>"),
+    **{
+        f"{short}-{version}{tail}": tuple(form.format(name, version.removesuffix(".0")) for form in forms)
+        for short, name, versions in (("gpl", "", ("2.0", "3.0")), ("lgpl", "lesser", ("2.1", "3.0")), ("agpl", "affero", ("3.0",)))
+        for version in versions
+        for tail, forms in (("", (_GNU_ONLY, _GNU_NAME, _GNU_SHORT)), ("-or-later", (_GNU, *(f"{form} or <<opt>>at your option<<end>> <<opt>>any<<end>> later" for form in (_GNU_NAME, _GNU_SHORT)))))
+    },
+    "isc": (
+        f"""Permission to use, copy, modify, and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. {_ISC}""",
+    ),
+    "0bsd": (f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC}",),
+    "mit-name": (f"{_UNDER} MIT license",),
+    "mit-text": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var:10>> to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<opt>>(including the next paragraph)<<end>>
+        shall be included in all copies or substantial portions of the Software. The software is provided "as is", without warranty of any kind, express or implied,
+        including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall <<var:10>> be liable for
+        any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use
+        or other dealings in the software.""",
+    ),
+    "mpl-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+        one at <<var:8>>""",
+        f"{_UNDER} Mozilla Public License <<opt>>version<<end>> <<opt>>v<<end>> 2 0",
+    ),
+    "unlicense": (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ),
+    "zlib": (
+        """This software is provided 'as-is', without any express or implied warranty. In no event will <<var:8>> be held liable for any damages arising from the use of
+        this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+        freely, subject to the following restrictions: <<opt>>1<<end>> The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<opt>>2<<end>> Altered source
+        versions must be plainly marked as such, and must not be misrepresented as being the original software. <<opt>>3<<end>> This notice may not be removed or altered from any
+        source distribution.""",
+    ),
+}
 
 _MARK = re.compile(r"<<(opt|end|var:\d+)>>")
 
@@ -49,15 +123,15 @@ class TokenAutomaton:
     the template that ends there.
     """
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.edges: list[dict[bytes, list[int]]] = []
         self.loose: list[list[int]] = []
         self.empty: list[list[int]] = []
         self.labels: dict[int, str] = {}
-        self.words: dict[int, int] = {}
         self.first: dict[bytes, list[int]] = {}
-        for label, template in sorted(templates.items()):
-            self._add(label, template)
+        for label, forms in sorted(templates.items()):
+            for template in forms:
+                self._add(label, template)
         self.closed = [self._closure(s) for s in range(len(self.edges))]
 
     def _state(self) -> int:
@@ -105,7 +179,7 @@ class TokenAutomaton:
         return tuple(sorted(seen))
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, str]]:
-        """(first word, word after the last, label) of each accepted place, in order."""
+        """(first word, word after the last, label) of each accepted place that is within no other, in order."""
         found = []
         for i, w in enumerate(words):
             if w not in self.first:
@@ -118,10 +192,15 @@ class TokenAutomaton:
                 step = {t for s in now for t in (*self.edges[s].get(words[j], ()), *self.loose[s])}
                 now = {t for s in step for t in self.closed[s]}
                 j += 1
-        return sorted(set(found))
+        kept, reached = [], -1
+        for i, j, label in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
+            if j > reached or kept and (i, j) == kept[-1][:2]:
+                kept.append((i, j, label))
+                reached = j
+        return kept
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, phrases: dict[str, str] | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_words, the base phrases' places and labels, and the accepted template spans.
 
     Words are runs of 0-9, a-z and anything beyond ASCII, after A-Z are
@@ -137,7 +216,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
         base = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
         # texts without the last word of any phrase or a telling word of a template need no closer look
         last = {p[-1] for p, _ in base}
-        tell = {max(re.sub(r"<<opt>>.*?<<end>>|<<.*?>>", " ", t).encode().translate(TABLE).split(), key=len) for t in templates.values()}
+        tell = {max(re.sub(r"<<opt>>.*?<<end>>|<<.*?>>", " ", t).encode().translate(TABLE).split(), key=len) for forms in templates.values() for t in forms}
         probe = re.compile(b"|".join(sorted(map(re.escape, last | tell))))
 
         def rows(texts: list) -> list:

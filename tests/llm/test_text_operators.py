@@ -70,18 +70,75 @@ def test_license_scan(frame):
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
     assert rows[1]["labels"] == "mit,mit-name" and rows[2]["labels"] == "apache,mit,mit-name"
-    assert rows[5]["labels"] == "gpl,gpl-3.0" and rows[7]["labels"] == "cc-by,cc-by-nc" and rows[7]["base_labels"] == ""
+    assert rows[5]["labels"] == "gpl,gpl-3.0" and rows[7]["labels"] == "cc-by-nc" and rows[7]["base_labels"] == ""
     assert rows[9]["labels"] == "" and rows[9]["score"] == 0.0 and rows[8]["n_base"] == 3
 
 
 def test_template_markup():
-    a = license_scan.TokenAutomaton({"t": "start <<opt>>maybe so<<end>> middle <<var:2>> end"})
+    a = license_scan.TokenAutomaton({"t": ("start <<opt>>maybe so<<end>> middle <<var:2>> end",)})
     places = lambda t: a.matches(t.encode().split())
     assert places("x start middle end") == [(1, 4, "t")]
     assert places("start maybe so middle one two end") == [(0, 7, "t")]
     assert places("start maybe middle end") == [] and places("start middle one two three end") == []
 
 
+def ends(parts, words, i):
+    """Places where a template's parts can end, from place i on, by trying everything."""
+    if not parts:
+        return {i}
+    kind, value = parts[0]
+    if kind == "opt":
+        return ends(value + parts[1:], words, i) | ends(parts[1:], words, i)
+    if kind == "var":
+        return set().union(*(ends(parts[1:], words, i + n) for n in range(value + 1) if i + n <= len(words)))
+    return ends(parts[1:], words, i + 1) if i < len(words) and words[i] == value else set()
+
+
+def parsed(template):
+    stack = [[]]
+    for w in re.findall(r"<<[^>]*>>|[^\s<>]+", template):
+        if w == "<<opt>>":
+            stack.append([])
+        elif w == "<<end>>":
+            inner = stack.pop()
+            stack[-1].append(("opt", inner))
+        elif w.startswith("<<var:"):
+            stack[-1].append(("var", int(w[6:-2])))
+        else:
+            stack[-1].append(("word", w))
+    return stack[0]
+
+
+TEMPLATES = [("p", ("a <<opt>>b <<opt>>c<<end>><<end>> a", "c <<var:2>> b")), ("q", ("a <<var:1>> c a",)), ("r", ("<<opt>>b<<end>> a b",))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14))
+def test_automaton_accepts_as_by_trial(words):
+    every = {(i, j, x) for x, forms in TEMPLATES for f in forms for i in range(len(words)) for j in ends(parsed(f), words, i) if j > i}
+    want = sorted(s for s in every if not any(o[0] <= s[0] and s[1] <= o[1] and o[:2] != s[:2] for o in every))
+    assert license_scan.TokenAutomaton(dict(TEMPLATES)).matches([w.encode() for w in words]) == want
+
+
+WORDINGS = [
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"), ("a Creative Commons text, under the Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"),
+    ("licensed under CC BY 4.0", "cc-by"), ("under the terms of the GNU Lesser General Public License v2.1 or later", "gpl,lgpl-2.1-or-later"),
+    ("under the GNU Affero General Public License, version 3", "agpl-3.0,gpl"), ("released under the 3-clause BSD license", "bsd-name"),
+    (" ".join(license_scan.TEMPLATES["mit-text"]).replace("<<var:10>>", "this software and its files").replace("<<opt>>", "").replace("<<end>>", ""), "mit-text"),
+    ("the general public license may be read under a tree", "gpl"),
+]
+
+
+def test_license_wordings(frame):
+    found = {r["doc_id"]: r for r in license_scan.license_scan(frame(list(enumerate(t for t, _ in WORDINGS)))).collect()}
+    for k, (text, labels) in enumerate(WORDINGS):
+        assert found[k]["labels"] == labels, text
+    everything = [" ".join(re.sub(r"<<var:\d+>>", "some name", re.sub(r"<<opt>>|<<end>>", " ", f)).split()) for forms in license_scan.TEMPLATES.values() for f in forms]
+    got = license_scan.license_scan(frame(list(enumerate(everything)))).where("score < 1").count()
+    assert got == 0  # each template accepts its own wording, with all that is optional
+    assert license_scan.license_scan(frame([])).count() == 0
+
+
 def test_toxicity(spark, frame, words):
     rng = random.Random(1)
     rows, labels = [], []
