@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pieces
+from .common import cut, map_texts, pieces
 
 #: Letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -70,7 +70,7 @@ def fold(text: str) -> str:
 
 def terms(words: set[str], shortest: int, longest: int) -> set[str]:
     """'word ' for the words and 'beginning' for their beginnings of these lengths."""
-    found = {f"{w} " for w in words if len(w) <= 40}
+    found = {f"{w} " for w in words}
     for n in range(shortest, longest + 1):
         found.update(w[:n] for w in words if len(w) > n)
     return found
@@ -132,13 +132,14 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col
     return rows.join(F.broadcast(known), "__id").select("toxic", "text").repartition(32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6, share: float = 0.01, lexicon: int = 4096, shortest: int = 4, longest: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6, shortest: int = 4, longest: int = 7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns the lexicon's weights and the curve from labelled rows, about `most` of them at most.
 
     A term's weight is the log of its document rate among toxic texts over
-    that among the others; it enters with `support` toxic texts and a `share`
-    of all toxic ones at least, a weight of 2 and a z-score of 3; the `lexicon` terms of the
-    largest z-scores stay. Without toxic labels the lexicon is empty.
+    that among the others. It enters with `support` toxic texts at least, a weight of
+    2 and a z-score of 3, or of sqrt(2 ln n) if n terms with that support make more
+    chance finds likely. All such terms enter; the sample bounds their number.
+    Without toxic labels the lexicon is empty.
     """
     sample = _sample(docs, labels, most, id_col, text_col, label_col)
 
@@ -159,10 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, support: int = 6
     totals = sample.agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).first()
     nt, nc = F.col("toxic") + 0.5, F.col("clean") + 0.5
     weight = F.log(nt / (totals["toxic"] + 1.0)) - F.log(nc / (totals["clean"] + 1.0))
-    chosen = counted.where(F.col("toxic") >= max(support, share * totals["toxic"])).withColumn("weight", weight)
-    chosen = chosen.withColumn("z", F.col("weight") / F.sqrt(1 / nt + 1 / nc)).where("weight >= 2 and z >= 3")
-    rows = chosen.orderBy(F.desc("z"), "term").limit(lexicon).select("term", "weight").collect()
-    model = Model({r["term"]: float(r["weight"]) for r in rows})
+    # counted once: the candidates are few beside the terms
+    chosen = cut(counted.where(F.col("toxic") >= support).withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / nt + 1 / nc)))
+    bound = max(3.0, math.sqrt(2 * math.log(max(1, chosen.count()))))
+    rows = chosen.where((F.col("weight") >= 2) & (F.col("z") >= bound)).select("term", "weight").collect()
+    model = Model({r["term"]: float(r["weight"]) for r in sorted(rows)})
     if not model.weights:
         return model
     shared = model
@@ -195,7 +197,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     Null and empty texts hold no term and score as such. Equal texts score
     alike; repeated rows are each scored; other columns are not read. The
-    model's size is bounded by the lexicon's.
+    model's size is bounded by that of the sample it was fitted on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
