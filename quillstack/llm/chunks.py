@@ -32,7 +32,7 @@ class Chunks:
         self.bits = max(8, (-(-total // (4 << 20))).bit_length())
         self.carry = carry
         self.rows = docs.select(
-            F.pmod(F.xxhash64(id_col), F.lit(self.count)).cast("int").alias("chunk"),
+            F.pmod(F.xxhash64(id_col, F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(self.count)).cast("int").alias("chunk"),  # null ids by their texts
             F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
             *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
         )

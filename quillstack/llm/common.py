@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,15 +63,35 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], out: st
     return df.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Sees to a folder for checkpoints: the one that the session names, or one of the test machine's own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names. Only a session on one machine (tests) may do without a name."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """(docs, the column that tells its rows apart and sorts as the ids do).
+
+    That is the id itself, unless some id is null or repeated: then rows are
+    numbered in the order of the ids, null ones last, and written so that the
+    numbers stay.
+    """
+    odd = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        return docs, id_col
+    return cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn("__row", F.monotonically_increasing_id())), "__row"
 
 
 def cut(df: DataFrame) -> DataFrame:

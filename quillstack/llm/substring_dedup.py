@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     have no words and an empty `kept`; documents of fewer than `window` words
     keep all. Rows that share an id do not count as copies of each other; of
     equal texts the one with the smallest id stays whole. Null ids come after
-    all others. Columns that are not carried are not read.
+    all others and count as one id. Columns that are not carried are not read.
     """
     chunks = Chunks(docs, id_col, text_col, carry)
     answers = extend(chunks, index_and_probe(chunks, window), window)

@@ -162,6 +162,43 @@ def test_toxicity(spark, frame, words):
     assert toxicity.toxicity(frame([]), model).count() == 0
 
 
+def test_toxicity_weights_and_features(spark, frame, words):
+    """Every term's weight, both features of every text and the curve's optimum, recomputed plainly."""
+    rng = random.Random(4)
+    slurs = ["badword", "badwords", "uglyname", "meanie" * 9]
+    rows = [(i, " ".join(rng.choices(words, k=20) + rng.choices(slurs, k=2) * (i % 3 == 0) + ["badword"] * (i % 40 == 1))) for i in range(240)]
+    rows += [(300, None), (301, rows[0][1])]
+    labels = {i: int(i % 3 == 0) for i, _ in rows}
+    docs = frame(rows)
+    model = toxicity.fit(docs, spark.createDataFrame([*labels.items(), (7777, 1), (5, None)], "doc_id long, toxic int"))
+    found = {i: {f"{w} " for w in (t or "").lower().split()} | {w[:n] for w in (t or "").lower().split() for n in range(4, 8) if len(w) > n} for i, t in rows}
+    toxic, clean = ([i for i in labels if labels[i] == y] for y in (1, 0))
+    want, candidates = {}, 0
+    for t in set().union(*found.values()):
+        a, b = (sum(t in found[i] for i in ids) for ids in (toxic, clean))
+        if a >= 6:
+            candidates += 1
+            w = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
+            want[t] = (w, w / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    want = {t: w for t, (w, z) in want.items() if w >= 2 and z >= max(3, np.sqrt(2 * np.log(candidates)))}
+    assert set(model.weights) == set(want) >= {"badword ", "uglyname ", slurs[3] + " "}
+    assert all(abs(model.weights[t] - want[t]) < 1e-9 for t in want)
+
+    def features(text):
+        ws = (text or "").lower().split()
+        total = sum(max([0.0, *(w for t, w in want.items() if (x + " ").startswith(t))]) for x in ws)
+        return np.log1p(total), np.log1p(100 * total / max(1, len(ws)))
+
+    x, y = np.array([features(t) for _, t in rows]), np.array([labels[i] for i, _ in rows])
+    m = model.ready()
+    assert np.allclose([m.features(toxicity.fold(t or "")) for _, t in rows], x, atol=1e-9)
+    p = 1 / (1 + np.exp(-(model.curve[0] + x @ np.array(model.curve[1:]))))
+    slope = np.array([(p - y).sum() + 1e-3 * model.curve[0], *(x.T @ (p - y) + np.array(model.curve[1:]))])
+    assert np.abs(slope).max() < 1e-4
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    assert all(abs(scores[i] - v) < 1e-9 for (i, _), v in zip(rows, p, strict=True))
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Scуm, 1d10t! m0r0n 21.178 $$$ Ｔrash") == " scym idiot moron 21 178 trash "
     m = toxicity.Model({"trash ": 2.0, "scum": 3.0}).ready()
