@@ -16,31 +16,49 @@ from pyspark.sql import functions as F
 from quillstack.llm import common, decontamination, mixing, ngram_join, substring_dedup, toxicity
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under private names, which no operator's results clash with, and the way back."""
+    names = {c: f"__doc_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    return docs.withColumnsRenamed(names), {new: c for c, new in names.items()}
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """docs without the rows named in `gone` (its column `row`)."""
+    return docs.join(gone.select(row).distinct(), row, "left_anti").select(*columns)
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; learns from the labels outside fold 0."""
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(common.fold_of("doc_id", 5) != 0))
-    return toxicity.toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    plain, back = _apart(docs)
+    return toxicity.toxicity(plain, model, keep=tuple(plain.columns)).where("predicted = 0").withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    copies = ngram_join.ngram_join(docs).groups.where("doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document with the smallest id of each group of near copies; of rows that share an id, one."""
+    rows, row = common.numbered(docs)
+    groups = ngram_join.ngram_join(rows, id_col=row).groups
+    return _without(rows, row, groups.where("doc_id <> group_id").select(F.col("doc_id").alias(row)), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that a document with a smaller id has; other texts stay as they are."""
-    found = substring_dedup.substring_dedup(docs, carry=("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    plain, back = _apart(docs)
+    found = substring_dedup.substring_dedup(plain.withColumn("__doc_text", F.col("text")), carry=("__doc_text", *(c for c in plain.columns if c not in ("doc_id", "text"))))
+    shorter = F.col("n_removed") > 0
+    new = {"__doc_text": F.when(shorter, F.col("kept")).otherwise(F.col("__doc_text"))}
+    for private, c in back.items():
+        if c == "n_chars":
+            new[private] = F.when(shorter, F.length("kept").cast("long")).otherwise(F.col(private))
+    return found.withColumns(new).select("doc_id", F.col("__doc_text").alias("text"), *(c for c in plain.columns if c not in ("doc_id", "text"))).withColumnsRenamed(back).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that cover half of a benchmark item or more."""
-    found = decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows, row = common.numbered(docs)
+    found = decontamination.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), id_col=row)
+    return _without(rows, row, found.select(F.col("doc_id").alias(row)), docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +80,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage keeps is written to the shared folder that spark.checkpoint.dir names."""
+    """All stages over documents.
+
+    What a stage keeps is written to the shared folder that spark.checkpoint.dir
+    names, and deleted when the next one's result has been written; only the last stage's input stays.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    common.checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            common.remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
