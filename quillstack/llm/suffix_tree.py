@@ -1,221 +1,383 @@
 """LM scoring by a probabilistic suffix tree.
 
-States are contexts of none, one or two tokens. A context is considered from
-`least` training occurrences on, and retained if its next-token distribution
-diverges from its suffix's: the log likelihood ratio of its continuations
-against the suffix state's, less half the log of its count for each distinct
-continuation, is not negative. A token is scored in the state of the longest
-retained suffix of what stands before it; a state's counts are discounted, and
-what that frees goes to its suffix state's distribution, down to the root's
+States are contexts of 0 to `depth` tokens. A context is considered from
+`least` training occurrences on; it holds the continuations that follow it `keep` times
+or more, and is retained if these diverge from its suffix's: the log likelihood
+ratio of its held continuations against the suffix state's, less half the log of its
+count for each of them, is not negative. A token is scored in the state of the longest
+retained suffix of what stands before it; a state's held counts are discounted, and
+all that is not held goes to its suffix state's distribution, down to the root's
 add-one distribution.
 
-Counts are exact sums over the whole training corpus. The tree is never in
-one place: each chunk of documents tells its distinct n-grams and their counts
-to buckets and is answered with the corpus' counts for just these, level by
-level, so that what a chunk holds is bounded by its own text.
+Counts are sums over the whole training corpus. The tree is never in
+one place: documents are read once, in chunks of some megabytes, which are kept as
+packed numbers. Level by level a chunk tells its distinct n-grams and their counts
+to buckets of hashes and is answered with the corpus' counts for just these, so
+that what a chunk holds is bounded by its own text. An n-gram is told only if the
+n-grams within it are frequent enough to let it matter.
+
+Chunks and buckets both grow with the corpus, so that telling each bucket directly
+would take rows that grow with the square of it. Beyond DIRECT buckets, chunks
+tell DISTRICTS districts instead; a relay takes what a group of chunks tells a district, adds it up,
+asks the district's buckets and answers its chunks. Groups have as many chunks
+as districts have buckets, so that a chunk costs 2 * DISTRICTS rows a level
+at any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .chunks import Chunks, answer, slices, squeeze, stretch, unpack
+from .chunks import arrow_schema, slices, squeeze, stretch
+from .common import cut
 
 #: The token after a text's last word.
 END = np.uint64(0x5EED5EED5EED5EED)
-TOLD = "bucket int, chunk int, level int, values binary, counts binary"
-ANSWERED = "chunk int, level int, bucket int, totals binary, owned binary, tokens long, kinds long"
-WORDS, PAIRS, TRIPLES, ONE, TWO = range(5)
-#: Of a context: its continuations' part of the test, and their number. Four bytes each, as every chunk tells one of every context.
-TALLY = np.dtype([("part", np.float32), ("kinds", np.uint32)])
-
-
-class Sequence:
-    """A chunk's tokens and, as far as it has been answered, what the corpus knows of its n-grams."""
+#: Bytes of text in a chunk, and in what a bucket stands for, about.
+CHUNK, BUCKET = 14 << 20, 4 << 20
+#: Buckets that chunks tell directly; beyond, they tell so many districts.
+DIRECT, DISTRICTS = 4096, 256
+STATE = "chunk long, ids array<long>, sizes binary, train binary, kinds binary, codes binary, told long"
+TOLD = "bucket int, chunk long, level int, keys binary, counts binary"
+ANSWERED = "chunk long, level int, bucket int, totals binary, owned binary, kinds long"
+#: Of a context: its held continuations' part of the test, their number and the sum of their counts.
+TALLY = np.dtype([("part", np.float32), ("kinds", np.uint32), ("held", np.uint64)])
+#: Of a retained context; zeros for others.
+STANDING = np.dtype([("kinds", np.uint32), ("held", np.uint64)])
+
+
+@dataclass(frozen=True)
+class Tree:
+    """What decides the tree; `tokens` and `kinds`: the training corpus' tokens and distinct ones."""
+
+    depth: int
+    least: int
+    keep: int
+    discount: float
+    bits: int  # of the number of buckets
+    district_bits: int  # of the number of districts; 0: buckets are told directly
+    tokens: int = 0
+    kinds: int = 0
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys ascending, and each place's among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    kind = np.empty(len(keys), np.int32)
+    kind[order] = np.cumsum(new, dtype=np.int32) - 1
+    return s[new], kind
+
+
+def encode(chunk: int, ids: list, texts: list[bytes | None], train: list[bool]) -> dict:
+    """One row of STATE: the tokens as places in the chunk's distinct ones."""
+    words, offsets = wh.hash_words(texts, lower=True)
+    tokens = np.full(len(words) + len(texts), END)
+    tokens[np.arange(len(words)) + wh.owners(offsets)] = words
+    sizes = np.diff(offsets) + 1
+    kinds, codes = distinct(tokens)
+    return {
+        "chunk": [chunk], "ids": [ids], "sizes": [squeeze(sizes.astype(np.uint32))], "train": [np.packbits(train).tobytes()],
+        "kinds": [squeeze(kinds, ascending=True)], "codes": [squeeze(codes.astype(np.uint32))], "told": [int(sizes[np.array(train, bool)].sum())],
+    }
+
+
+class Chunk:
+    """A chunk's tokens and, as far as it has been answered, what the corpus knows of its n-grams.
+
+    Of level n: `keys[n]` are the distinct n-grams, `kind[n]` is the place among them of the
+    n-gram that ends at each token (-1: not asked for), `total[n]` are their counts.
+    """
 
-    def __init__(self, rows: pa.Table, got: pa.Table | None, bits: int, least: int, upto: int):
-        """upto: the last level that has been answered to everybody (WORDS - 1: none)."""
-        self.bits, self.least, self.upto = bits, least, upto
-        self.got = {}
-        if got is not None:
+    def __init__(self, state: pa.Table, got: pa.Table | None, tree: Tree, upto: int):
+        """upto: the last level of n-grams that has been answered (0: none)."""
+        self.tree, self.got = tree, {}
+        if got is not None and len(got):
             level, bucket = got["level"].to_numpy(), got["bucket"].to_numpy()
             for k in np.unique(level):
                 at = np.flatnonzero(level == k)
                 self.got[int(k)] = got.take(at[np.argsort(bucket[at])])
-        # one after another, so that what a step needs for itself is free before the next
-        self._tokens(rows)
-        self._words()
-        if upto >= WORDS:
-            self._pairs()
-        if upto >= PAIRS:
-            self._triples()
-
-    def _tokens(self, rows: pa.Table) -> None:
-        words, offsets = wh.hash_words(rows["text"].to_pylist(), lower=True)
-        texts = len(offsets) - 1
-        self.offsets = offsets + np.arange(texts + 1)
-        self.tokens = np.full(len(words) + texts, END)
-        self.tokens[np.arange(len(words)) + wh.owners(offsets)] = words
-        text = wh.owners(self.offsets)
-        self.train = rows["c0"].to_numpy(zero_copy_only=False).astype(bool)[text]
-        self.place = (np.arange(len(self.tokens)) - self.offsets[text]).astype(np.int32)
-
-    @staticmethod
-    def _kinds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys ascending, the kind of each place, and one place of each kind."""
-        order = np.argsort(keys)
-        s = keys[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        kind = np.empty(len(keys), np.int32)
-        kind[order] = np.cumsum(new) - 1
-        return s[new], kind, order[new]
+        self.id, self.ids = state["chunk"][0].as_py(), state["ids"][0].as_py()
+        sizes = stretch(state["sizes"][0].as_py(), np.uint32).astype(np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        train = np.unpackbits(np.frombuffer(state["train"][0].as_py(), np.uint8), count=len(sizes)).astype(bool)
+        self.train = np.repeat(train, sizes)
+        place = np.arange(self.offsets[-1]) - np.repeat(self.offsets[:-1], sizes)
+        self.keys = {1: stretch(state["kinds"][0].as_py(), np.uint64, ascending=True)}
+        self.kind = {1: stretch(state["codes"][0].as_py(), np.uint32).astype(np.int32)}
+        self.total: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        self.context_at = {2: np.flatnonzero(place >= 1)}  # tokens that have a context of n - 1 tokens
+        self.hash = self.keys[1][self.kind[1]]  # of the n-gram of the last level that ends at each token
+        if upto >= 1:
+            self.total[1] = self._totals(1, np.int64)
+            for n in range(2, upto + 1):
+                self._level(n)
+                self.total[n] = self._totals(n, np.int64)
+            if upto <= tree.depth:
+                self._level(upto + 1)
 
     def _totals(self, level: int, dtype) -> np.ndarray:
-        return unpack(self.got[level]["totals"], dtype, stretch)[0] if level in self.got else np.zeros(0, dtype)
+        parts = [stretch(x, dtype) for x in self.got[level]["totals"].to_pylist()] if level in self.got else []
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
-    def _owned(self, level: int, sizes: np.ndarray) -> np.ndarray:
-        parts = self.got[level]["owned"].to_pylist() if level in self.got else []
-        bits = [np.unpackbits(stretch(x, np.uint8), count=n) for x, n in zip(parts, sizes[sizes > 0], strict=True)]
+    def _owned(self, n: int) -> np.ndarray:
+        sizes = np.diff(self.bounds(self.keys[n]))
+        parts = self.got[n]["owned"].to_pylist() if n in self.got else []
+        bits = [np.unpackbits(stretch(x, np.uint8), count=k) for x, k in zip(parts, sizes[sizes > 0], strict=True)]
         return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
 
-    def _words(self) -> None:
-        self.w_kinds, self.w, _ = self._kinds(self.tokens)
-        self.w_local = np.bincount(self.w[self.train], minlength=len(self.w_kinds))
-        if self.upto >= WORDS:
-            self.w_total = self._totals(WORDS, np.int64)
-            self.n = int(self.got[WORDS]["tokens"].to_numpy().sum())
-            self.v = int(self.got[WORDS]["kinds"].to_numpy().sum())
-            self.root = (self.w_total + 1.0) / (self.n + self.v + 1.0)
-
-    def _pairs(self) -> None:
-        at = np.flatnonzero(self.place >= 1).astype(np.int32)
-        self.p_at = at[self.w_total[self.w[at - 1]] >= self.least]
-        keys = wh.runs(self.tokens, 2)[self.p_at - 1] >> np.uint64(32 - self.bits) if len(self.p_at) else np.zeros(0, np.uint64)
-        self.p_kinds, self.p, one = self._kinds(keys)
-        self.p_first = self.p_at[one]
-        self.p_local = np.bincount(self.p[self.train[self.p_at]], minlength=len(self.p_kinds))
-        self.contexts = np.unique(self.w[self.p_at - 1])  # kinds of words that are contexts here
-        if self.upto >= PAIRS:
-            self.p_total = self._totals(PAIRS, np.int64).astype(float)
-            self.pair_of = np.full(len(self.tokens), -1, np.int32)
-            self.pair_of[self.p_at] = self.p
-
-    def _triples(self) -> None:
-        at = np.flatnonzero(self.place >= 2).astype(np.int32)
-        at = at[self.pair_of[at - 1] >= 0]
-        self.t_at = at[self.p_total[self.pair_of[at - 1]] >= self.least]
-        keys = wh.runs(self.tokens, 3)[self.t_at - 2] >> np.uint64(32 - self.bits) if len(self.t_at) else np.zeros(0, np.uint64)
-        self.t_kinds, self.t, one = self._kinds(keys)
-        self.t_first = self.t_at[one]
-        self.t_local = np.bincount(self.t[self.train[self.t_at]], minlength=len(self.t_kinds))
-        self.pair_contexts = np.unique(self.pair_of[self.t_at - 1])
-        if self.upto >= TRIPLES:
-            self.t_total = self._totals(TRIPLES, np.int64).astype(float)
-
-    def cut(self, kinds: np.ndarray) -> np.ndarray:
-        """Bounds of the buckets in ascending kinds of pairs or triples (shortened hashes; words are whole ones)."""
-        return slices((kinds >> np.uint64(32)).astype(np.int64), 1 << self.bits)
-
-    def owned(self, level: int, kinds: np.ndarray) -> np.ndarray:
-        return self._owned(level, np.diff(self.cut(kinds)))
-
-    def divergence_one(self) -> np.ndarray:
-        """For each word that is a context here, its owned continuations' part of the test."""
-        mine = self.owned(PAIRS, self.p_kinds) & (self.p_total > 0)
-        at, n = self.p_first[mine], self.p_total[mine]
-        count = self.w_total[self.w[at - 1]]
-        part = n * np.log(n / count / self.root[self.w[at]]) - 0.5 * np.log(count)
-        return self._sums(self.w[at - 1], part, len(self.w_kinds))[self.contexts]
-
-    def divergence_two(self) -> np.ndarray:
-        """The same for each pair that is a context here, against its last word's distribution."""
-        mine = self.owned(TRIPLES, self.t_kinds) & (self.t_total > 0)
-        at, n = self.t_first[mine], self.t_total[mine]
-        context = self.pair_of[at - 1]
-        count = self.p_total[context]
-        suffix = np.maximum(self.p_total[self.pair_of[at]], n) / self.w_total[self.w[at - 1]]
-        part = n * np.log(n / count / suffix) - 0.5 * np.log(count)
-        return self._sums(context, part, len(self.p_kinds))[self.pair_contexts]
-
-    @staticmethod
-    def _sums(context: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
-        """For each context the sum of the parts, and their number: its distinct continuations."""
-        found = np.empty(n, TALLY)
-        found["part"], found["kinds"] = np.bincount(context, weights=part, minlength=n), np.bincount(context, minlength=n)
+    def _level(self, n: int) -> None:
+        """Finds the n-grams to ask for: their context is considered, and its last n - 1 tokens are held by some state."""
+        before = self.kind[n - 1]
+        often = np.append(self.total[n - 1], 0)[before]  # of the (n - 1)-gram that ends at each token; the last one is for what was not asked for
+        at = self.context_at[n]
+        self.context_at[n] = at = at[often[at - 1] >= self.tree.least]
+        here = np.zeros(len(before), bool)
+        here[at] = True
+        self.context_at[n + 1] = at[here[at - 1]]
+        at = at[often[at] >= self.tree.keep]
+        hashes = wh.mix(self.hash[at - 1] * np.uint64(wh.FIRST) + self.keys[1][self.kind[1][at]])
+        # the bucket's bits and 32 more tell n-grams apart
+        self.keys[n], kind = distinct(hashes & ~np.uint64((1 << (32 - self.tree.bits)) - 1))
+        self.kind[n] = np.full(len(before), -1, np.int32)
+        self.kind[n][at] = kind
+        self.at[n] = at
+        self.hash = np.zeros(len(before), np.uint64)
+        self.hash[at] = hashes
+
+    def counts(self, n: int) -> np.ndarray:
+        """Training occurrences in this chunk of each n-gram."""
+        at = self.at[n] if n > 1 else np.arange(len(self.train))
+        at = at[self.train[at]]
+        return np.bincount(self.kind[n][at], minlength=len(self.keys[n])).astype(np.uint64)
+
+    def bounds(self, keys: np.ndarray) -> np.ndarray:
+        """Bounds of the buckets, or of the districts, in ascending keys."""
+        bits = self.tree.district_bits or self.tree.bits
+        return slices((keys >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
+
+    def contexts(self, n: int) -> np.ndarray:
+        """Kinds of (n - 1)-grams that are considered contexts here."""
+        return np.unique(self.kind[n - 1][self.context_at[n] - 1])
+
+    def tallies(self, n: int) -> np.ndarray:
+        """TALLY of each of contexts(n), from the held n-grams that this chunk answers for."""
+        first = np.empty(len(self.keys[n]), np.int64)
+        first[self.kind[n][self.at[n]]] = self.at[n]
+        held = self._owned(n) & (self.total[n] >= self.tree.keep)
+        at, count = first[held], self.total[n][held].astype(float)
+        context = self.kind[n - 1][at - 1]
+        whole = self.total[n - 1][context]
+        if n == 2:
+            suffix = self.root()[self.kind[1][at]]
+        else:
+            suffix = np.maximum(self.total[n - 1][self.kind[n - 1][at]], count) / self.total[n - 2][self.kind[n - 2][at - 1]]
+        part = count * np.log(count / whole / suffix) - 0.5 * np.log(whole)
+        wanted, size = self.contexts(n), len(self.keys[n - 1])
+        found = np.empty(len(wanted), TALLY)
+        found["part"], found["kinds"] = np.bincount(context, weights=part, minlength=size)[wanted], np.bincount(context, minlength=size)[wanted]
+        found["held"] = np.bincount(context, weights=count, minlength=size)[wanted].astype(np.uint64)
         return found
 
-    def log_probabilities(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    def root(self) -> np.ndarray:
+        """Each distinct token's probability in the root."""
+        return (self.total[1] + 1.0) / (self.tree.tokens + self.tree.kinds + 1.0)
+
+    def log_probabilities(self) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each token's probability in its state, and the length of that state's context."""
-        p = self.root[self.w]
-        length = np.zeros(len(p), np.int32)
-
-        def descend(at: np.ndarray, kind: np.ndarray, total: np.ndarray, context: np.ndarray, count: np.ndarray, contexts: np.ndarray, level: int) -> None:
-            """Goes down to the retained contexts' states."""
-            breadth = np.zeros(len(count))
-            breadth[contexts] = self._totals(level, np.int64)
-            use = breadth[context] > 0
-            at, kind, context = at[use], kind[use], context[use]
-            p[at] = (np.maximum(total[kind] - discount, 0) + discount * breadth[context] * p[at]) / count[context]
-            length[at] = 1 if level == ONE else 2
-
-        descend(self.p_at, self.p, self.p_total, self.w[self.p_at - 1], self.w_total, self.contexts, ONE)
-        descend(self.t_at, self.t, self.t_total, self.pair_of[self.t_at - 1], self.p_total, self.pair_contexts, TWO)
+        p = self.root()[self.kind[1]]
+        length, discount = np.zeros(len(p), np.int32), self.tree.discount
+        for n in range(2, self.tree.depth + 2):
+            standing = np.zeros(len(self.keys[n - 1]), STANDING)
+            standing[self.contexts(n)] = self._totals(-n, STANDING)
+            at = self.context_at[n]
+            context = self.kind[n - 1][at - 1]
+            use = standing["kinds"][context] > 0
+            at, context = at[use], context[use]
+            kind = self.kind[n][at]
+            count = np.where(kind >= 0, self.total[n][kind], 0) if len(self.keys[n]) else np.zeros(len(at))
+            count = np.where(count >= self.tree.keep, count - discount, 0.0)
+            whole, own = self.total[n - 1][context].astype(float), standing[context]
+            p[at] = (count + (whole - own["held"] + discount * own["kinds"]) * p[at]) / whole
+            length[at] = n - 1
         return np.log10(p), length
 
-
-def _packed(chunk: int, levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> dict:
-    """Rows of TOLD from (level, bounds of buckets, values, counts)."""
-    out: dict = {"bucket": [], "chunk": [], "level": [], "values": [], "counts": []}
-    for level, bounds, values, counts in levels:
-        used = range(len(bounds) - 1)  # words go to every bucket: its answer has the bucket's part of the corpus' sizes
-        used = used if level == WORDS else np.flatnonzero(np.diff(bounds)).tolist()
-        out["bucket"] += list(used)
-        out["values"] += [squeeze(values[bounds[b] : bounds[b + 1]], ascending=True) for b in used]
-        out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]]) for b in used]
-        out["level"] += [level] * len(used)
-    out["chunk"] = [chunk] * len(out["bucket"])
-    return out
-
-
-def _answer(rows: pa.Table) -> dict:
-    """Each chunk's values get their totals over all chunks, in the order in which it told them."""
-    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "tokens": [], "kinds": []}
+    def told(self, levels: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
+        """Rows of TOLD from (level, keys, what is told of each)."""
+        out: dict = {"bucket": [], "level": [], "keys": [], "counts": []}
+        for level, keys, counts in levels:
+            bounds = self.bounds(keys)
+            used = np.flatnonzero(np.diff(bounds)).tolist()
+            out["bucket"] += used
+            out["keys"] += [squeeze(keys[bounds[b] : bounds[b + 1]], ascending=True) for b in used]
+            out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]]) for b in used]
+            out["level"] += [level] * len(used)
+        out["chunk"] = [self.id] * len(out["bucket"])
+        return out
+
+    def asks(self, n: int) -> dict:
+        """What is told when the levels under n have been answered: n-grams of n tokens and the contexts of those before."""
+        levels = [(n, self.keys[n], self.counts(n))] if n <= self.tree.depth + 1 else []
+        if n > 2:
+            levels.append((1 - n, self.keys[n - 2][self.contexts(n - 1)], self.tallies(n - 1)))
+        return self.told(levels)
+
+
+def _merged(rows: pa.Table, kind: np.dtype | type) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the rows' arrays, all keys and counts, an order that sorts the keys, starts of equal ones in it, and each one's key's place among the distinct."""
+    keys = [stretch(x, np.uint64, ascending=True) for x in rows["keys"].to_pylist()]
+    sizes = [len(x) for x in keys]
+    keys = np.concatenate(keys)
+    counts = np.concatenate([stretch(x, kind) for x in rows["counts"].to_pylist()])
+    order, first = wh.groups(keys)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return sizes, keys, counts, order, first, which
+
+
+def _sums(counts: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    if counts.dtype == TALLY:
+        out = np.empty(len(first), TALLY)
+        for name, kind in (("part", np.float64), ("kinds", np.uint32), ("held", np.uint64)):
+            out[name] = np.add.reduceat(counts[name][order].astype(kind), first)
+        return out
+    return np.add.reduceat(counts[order], first)
+
+
+def _by_level(rows: pa.Table) -> Iterator[tuple[int, pa.Table]]:
     levels = rows["level"].to_numpy()
     for level in np.unique(levels).tolist():
         own = rows.take(np.flatnonzero(levels == level))
-        values, row = unpack(own["values"], np.uint64 if level in (WORDS, ONE) else np.uint32, lambda x, kind: stretch(x, kind, ascending=True))
-        counts = unpack(own["counts"], TALLY if level in (ONE, TWO) else np.uint32, stretch)[0]
-        order, first = wh.groups(values)
+        yield level, own.sort_by([("chunk", "ascending"), ("bucket", "ascending")])
 
-        def summed(column: np.ndarray, kind: type) -> np.ndarray:
-            column = column[order].astype(kind)
-            return np.add.reduceat(column, first) if len(first) else column
 
-        if level in (ONE, TWO):  # a retained context's distinct continuations; 0 for the others
-            total = np.where(summed(counts["part"], np.float64) >= 0, summed(counts["kinds"], np.int64), 0)
+def _answer(rows: pa.Table) -> dict:
+    """A bucket's answers: each asker's keys get their totals over all, in the order in which they were told; one asker owns each."""
+    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "kinds": []}
+    for level, own in _by_level(rows):
+        sizes, _, counts, order, first, which = _merged(own, TALLY if level < 0 else np.uint64)
+        total = _sums(counts, order, first)
+        if level < 0:
+            good = total["part"] >= 0
+            answers = np.zeros(len(total), STANDING)
+            answers["kinds"], answers["held"] = np.where(good, total["kinds"], 0), np.where(good, total["held"], 0)
         else:
-            total = summed(counts, np.int64)
-        each = np.empty(len(values), np.int64)
-        each[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-        owner = np.zeros(len(values), bool)
+            answers = total.astype(np.int64)
+        owner = np.zeros(len(which), bool)
         owner[order[first]] = True
-        bounds = slices(row, len(own))
-        for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            out["totals"].append(squeeze(each[a:b]))
-            out["owned"].append(squeeze(np.packbits(owner[a:b])) if level in (PAIRS, TRIPLES) else b"")
+        ends = np.cumsum(sizes)
+        for a, b in zip(ends - sizes, ends, strict=True):
+            out["totals"].append(squeeze(answers[which[a:b]]))
+            out["owned"].append(squeeze(np.packbits(owner[a:b])) if level > 1 else b"")
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
         out["level"] += [level] * len(own)
-        out["tokens"] += [int(total.sum()) if level == WORDS else 0] * len(own)
-        out["kinds"] += [int((total > 0).sum()) if level == WORDS else 0] * len(own)
+        out["kinds"] += [int((answers > 0).sum()) if level == 1 else 0] + [0] * (len(own) - 1)
+    return out
+
+
+def _relay_asks(rows: pa.Table, bits: int) -> dict:
+    """A relay's own rows of TOLD: its chunks' keys and sums, to the buckets of its district."""
+    out: dict = {"bucket": [], "chunk": [], "level": [], "keys": [], "counts": []}
+    for level, own in _by_level(rows):
+        _, keys, counts, order, first, _ = _merged(own, TALLY if level < 0 else np.uint64)
+        keys, counts = keys[order][first], _sums(counts, order, first)
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        start = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(start[1:], len(bucket))
+        out["bucket"] += bucket[start].tolist()
+        out["keys"] += [squeeze(keys[a:b], ascending=True) for a, b in zip(start, ends, strict=True)]
+        out["counts"] += [squeeze(counts[a:b]) for a, b in zip(start, ends, strict=True)]
+        out["level"] += [level] * len(start)
+    out["chunk"] = [rows["relay"][0].as_py()] * len(out["bucket"])
     return out
 
 
-def suffix_tree_scores(docs: DataFrame, train: Column, least: int = 8, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _relay_answers(rows: pa.Table, got: pa.Table) -> dict:
+    """What the buckets told a relay, dealt out to its chunks."""
+    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "kinds": []}
+    if not len(rows):
+        return out
+    answered = dict(_by_level(got))
+    for level, own in _by_level(rows):
+        sizes, _, _, order, first, which = _merged(own, TALLY if level < 0 else np.uint64)
+        answers = [stretch(x, STANDING if level < 0 else np.int64) for x in answered[level]["totals"].to_pylist()]
+        lengths, answers = [len(x) for x in answers], np.concatenate(answers)
+        owner = np.zeros(len(which), bool)
+        if level > 1:  # what the relay owns, the first of its chunks does
+            owned = [np.unpackbits(stretch(x, np.uint8), count=n) for x, n in zip(answered[level]["owned"].to_pylist(), lengths, strict=True)]
+            owner[order[first]] = np.concatenate(owned).astype(bool)
+        ends = np.cumsum(sizes)
+        for a, b in zip(ends - sizes, ends, strict=True):
+            out["totals"].append(squeeze(answers[which[a:b]]))
+            out["owned"].append(squeeze(np.packbits(owner[a:b])) if level > 1 else b"")
+        out["chunk"] += own["chunk"].to_pylist()
+        out["bucket"] += own["bucket"].to_pylist()
+        out["level"] += [level] * len(own)
+        out["kinds"] += [sum(answered[level]["kinds"].to_pylist())] + [0] * (len(own) - 1)
+    return out
+
+
+def exchange(told: DataFrame, tree: Tree, count: int, parts: int) -> DataFrame:
+    """What the corpus answers to what chunks told: rows of ANSWERED, dealt by chunk."""
+    answered = arrow_schema(told, ANSWERED)
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket").applyInArrow(lambda t: pa.table(_answer(t), schema=answered), ANSWERED)
+
+    if not tree.district_bits:
+        return asked(told).repartition(parts, "chunk")
+    groups = max(1, count >> (tree.bits - tree.district_bits))
+    relays = told.withColumn("relay", F.col("bucket").cast("long") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups))).repartition(parts, "relay")
+    telling = arrow_schema(told, TOLD)
+    bits = tree.bits
+    asks = relays.groupBy("relay").applyInArrow(lambda t: pa.table(_relay_asks(t, bits), schema=telling), TOLD)
+    answers = asked(asks).withColumnRenamed("chunk", "relay").withColumn("chunk", F.col("relay")).repartition(parts, "relay")
+    found = relays.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(lambda t, got: pa.table(_relay_answers(t, got), schema=answered), ANSWERED)
+    return found.repartition(parts, "chunk")
+
+
+def states(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """STATE of the chunks: rows of one input partition, one after another, up to chunk_bytes of text or one text."""
+    schema = arrow_schema(docs, STATE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        ids, texts, trained, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal chunk, ids, texts, trained, size
+            if ids:
+                yield from pa.table(encode(chunk, ids, texts, trained), schema=schema).to_batches()
+                chunk += 1
+            ids, texts, trained, size = [], [], [], 0
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size + len(row[1] or b"") > chunk_bytes:
+                    yield from flush()
+                ids.append(row[0])
+                texts.append(row[1])
+                trained.append(row[2])
+                size += len(row[1] or b"")
+        yield from flush()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return rows.mapInArrow(run, STATE)
+
+
+def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: int = 8, keep: int = 1, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, direct: int = DIRECT, districts: int = DISTRICTS) -> DataFrame:
     """Scores every whole text with a tree learned from the rows for which `train` holds.
 
     A-Z are lower-cased; tokens are the runs of anything but ASCII white space
@@ -225,55 +387,66 @@ def suffix_tree_scores(docs: DataFrame, train: Column, least: int = 8, discount:
     empty texts are one end token. Equal texts score alike; rows that share an
     id are separate texts. Without training rows every token has the root's
     probability 1 / (0 + 0 + 1). Other columns are not read.
+
+    Tokens are told apart by 64-bit hashes, longer n-grams by 32 bits and as
+    many more as there are bits in the number of buckets, which grows with the corpus (40 at least).
+    Contexts are of 0 to `depth` tokens. Executors with more memory may take larger chunks and buckets.
     """
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("__train"))
-    chunks = Chunks(held, "doc_id", "text", ("__train",), chunk_bytes=14 << 20, least=48)
-    bits = chunks.bits
-
-    def sequence(rows: pa.Table, got: pa.Table | None, upto: int) -> Sequence:
-        return Sequence(rows, got, bits, least, upto)
-
-    def chunk_of(rows: pa.Table) -> int:
-        return rows["chunk"][0].as_py()
-
-    def word_bounds(kinds: np.ndarray) -> np.ndarray:
-        return slices((kinds >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
-
-    def tell_words(rows: pa.Table) -> dict:
-        s = sequence(rows, None, WORDS - 1)
-        return _packed(chunk_of(rows), [(WORDS, word_bounds(s.w_kinds), s.w_kinds, s.w_local.astype(np.uint32))])
-
-    def tell_pairs(rows: pa.Table, got: pa.Table) -> dict:
-        s = sequence(rows, got, WORDS)
-        return _packed(chunk_of(rows), [(PAIRS, s.cut(s.p_kinds), s.p_kinds.astype(np.uint32), s.p_local.astype(np.uint32))])
-
-    def tell_triples(rows: pa.Table, got: pa.Table) -> dict:
-        s = sequence(rows, got, PAIRS)
-        kinds = s.w_kinds[s.contexts]
-        return _packed(chunk_of(rows), [
-            (TRIPLES, s.cut(s.t_kinds), s.t_kinds.astype(np.uint32), s.t_local.astype(np.uint32)),
-            (ONE, word_bounds(kinds), kinds, s.divergence_one()),
-        ])
-
-    def tell_two(rows: pa.Table, got: pa.Table) -> dict:
-        s = sequence(rows, got, TRIPLES)
-        kinds = s.p_kinds[s.pair_contexts]
-        return _packed(chunk_of(rows), [(TWO, s.cut(kinds), kinds.astype(np.uint32), s.divergence_two())])
-
-    def score(rows: pa.Table, got: pa.Table) -> dict:
-        s = sequence(rows, got, TRIPLES)
-        value, length = s.log_probabilities(discount)
-        start = s.offsets[:-1]
-        return {
-            "id": rows["id"], "n_tokens": np.diff(s.offsets),
-            "n_known": np.add.reduceat((s.w_total[s.w] > 0).astype(np.int64), start),
-            "train_tokens": np.full(len(start), s.n, np.int64),
-            "base_score": np.add.reduceat(np.log10(s.root[s.w]), start), "score": np.add.reduceat(value, start),
-            "mean_context": np.add.reduceat(length, start) / np.diff(s.offsets),
-        }
-
-    answers = answer(chunks.tell(tell_words, TOLD), _answer, ANSWERED)
-    for tell in (tell_pairs, tell_triples, tell_two):
-        answers = answers.union(answer(chunks.tell(tell, TOLD, answers), _answer, ANSWERED))
-    found = chunks.tell(score, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_context double", answers)
-    return found.withColumnRenamed("id", id_col)
+    if not 1 <= depth or keep > least:
+        raise ValueError("depth must be 1 or more, and keep at most least")
+    state = cut(states(docs, train, id_col, text_col, chunk_bytes))
+    sizes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    sums = state.agg(F.count("*"), F.sum("told")).first()
+    bits = min(32, max(8, (-(-sizes // bucket_bytes)).bit_length()))
+    via = (districts - 1).bit_length() if 1 << bits > direct else 0
+    return scores_of(state, Tree(depth, least, keep, discount, bits, via, sums[1] or 0), sums[0]).withColumnRenamed("id", id_col)
+
+
+def tell_words(state: DataFrame, tree: Tree) -> DataFrame:
+    """Rows of TOLD of the first level: needs no answers, so no chunk has to be moved."""
+    schema = arrow_schema(state, TOLD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c = Chunk(pa.Table.from_batches([batch.slice(k, 1)]), None, tree, 0)
+                yield from pa.table(c.told([(1, c.keys[1], c.counts(1))]), schema=schema).to_batches()
+
+    return state.mapInArrow(run, TOLD)
+
+
+def tell(state: DataFrame, answers: DataFrame, tree: Tree, n: int) -> DataFrame:
+    """Rows of TOLD once the levels under n have been answered."""
+    schema = arrow_schema(state, TOLD)
+
+    def run(rows: pa.Table, got: pa.Table) -> pa.Table:
+        return pa.table(Chunk(rows, got, tree, n - 1).asks(n), schema=schema)
+
+    return state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, TOLD)
+
+
+def scores_of(state: DataFrame, tree: Tree, count: int) -> DataFrame:
+    """The texts' scores from the chunks' states."""
+    # so many chunks a partition; chunks and answers are dealt alike, each once
+    parts = max(1, min(count, 20_000))
+    words = cut(exchange(tell_words(state, tree), tree, count, parts))
+    tree = replace(tree, kinds=words.agg(F.sum("kinds")).first()[0] or 0)
+    state, answers = state.repartition(parts, "chunk"), words.repartition(parts, "chunk")
+    for n in range(2, tree.depth + 3):
+        answers = answers.union(exchange(tell(state, answers, tree, n), tree, count, parts))
+    out = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_context double"
+    schema = arrow_schema(state, out)
+
+    def score(rows: pa.Table, got: pa.Table) -> pa.Table:
+        c = Chunk(rows, got, tree, tree.depth + 1)
+        value, length = c.log_probabilities()
+        start, sizes = c.offsets[:-1], np.diff(c.offsets)
+        return pa.table({
+            "id": pa.array(c.ids, pa.int64()), "n_tokens": sizes,
+            "n_known": np.add.reduceat((c.total[1][c.kind[1]] > 0).astype(np.int64), start),
+            "train_tokens": np.full(len(start), tree.tokens, np.int64),
+            "base_score": np.add.reduceat(np.log10(c.root()[c.kind[1]]), start), "score": np.add.reduceat(value, start),
+            "mean_context": np.add.reduceat(length, start) / sizes,
+        }, schema=schema)
+
+    return state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)

@@ -47,7 +47,7 @@ def few(monkeypatch):
     """Few chunks, to keep the tests short."""
     import functools
 
-    from quillstack.llm import chunks, substring_dedup, suffix_tree
+    from quillstack.llm import chunks, substring_dedup
 
-    for module in (substring_dedup, suffix_tree):
+    for module in (substring_dedup,):
         monkeypatch.setattr(module, "Chunks", lambda *a, **k: functools.partial(chunks.Chunks)(*a, **(k | {"least": 3})))

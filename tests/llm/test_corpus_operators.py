@@ -45,60 +45,105 @@ def test_substring_dedup_of_nothing_and_of_shared_ids(frame, few):
     assert "source" in rows[0]
 
 
-def brute_tree(rows, trained, least, discount):
+def brute_tree(rows, trained, depth, least, keep, discount):
     end = b"\0"
     tokens = {i: [w.encode().lower() for w in split(t)] + [end] for i, t in rows}
-    c, c2, c3 = Counter(), Counter(), Counter()
+    c = [Counter() for _ in range(depth + 2)]  # c[n]: n-grams
     for i in trained:
-        t = tokens[i]
-        c.update(t)
-        c2.update(zip(t, t[1:], strict=False))
-        c3.update(zip(t, t[1:], t[2:], strict=False))
-    n, v = sum(c.values()), len(c)
-    root = lambda w: (c[w] + 1) / (n + v + 1)
-    d1, d2 = defaultdict(float), defaultdict(float)
-    for (a, b), k in c2.items():
-        if c[a] >= least:
-            d1[a] += k * math.log(k / c[a] / root(b)) - 0.5 * math.log(c[a])
-    for (a, b, w), k in c3.items():
-        if c2[a, b] >= least:
-            d2[a, b] += k * math.log(k / c2[a, b] / (c2[b, w] / c[b])) - 0.5 * math.log(c2[a, b])
-    n1, n2 = Counter(a for a, _ in c2), Counter((a, b) for a, b, _ in c3)
+        for n in range(1, depth + 2):
+            c[n].update(zip(*(tokens[i][k:] for k in range(n)), strict=False))
+    n, v = sum(c[1].values()), len(c[1])
+    root = lambda w: (c[1][w,] + 1) / (n + v + 1)
+    states = {}
+    for k in range(2, depth + 2):
+        parts, kinds, held = defaultdict(float), Counter(), Counter()
+        for g, x in c[k].items():
+            s = g[:-1]
+            if c[k - 1][s] >= least and x >= keep:
+                suffix = root(g[-1]) if k == 2 else c[k - 1][g[1:]] / c[k - 2][s[1:]]
+                parts[s] += x * math.log(x / c[k - 1][s] / suffix) - 0.5 * math.log(c[k - 1][s])
+                kinds[s] += 1
+                held[s] += x
+        states |= {s: (kinds[s], held[s]) for s in parts if parts[s] >= 0}
     out = {}
     for i, t in tokens.items():
         base = score = 0.0
+        length = 0
         for k, w in enumerate(t):
-            p = root(w)
+            p, longest = root(w), 0
             base += math.log10(p)
-            if k >= 1 and d1.get(a := t[k - 1], -1) >= 0:
-                p = (max(c2[a, w] - discount, 0) + discount * n1[a] * p) / c[a]
-            if k >= 2 and d2.get(q := (t[k - 2], t[k - 1]), -1) >= 0:
-                p = (max(c3[(*q, w)] - discount, 0) + discount * n2[q] * p) / c2[q]
+            for m in range(1, min(depth, k) + 1):
+                s = tuple(t[k - m : k])
+                if s in states:
+                    kinds, held = states[s]
+                    x, whole = c[m + 1][(*s, w)], c[m][s]
+                    p = ((x - discount if x >= keep else 0) + (whole - held + discount * kinds) * p) / whole
+                    longest = m
             score += math.log10(p)
-        out[i] = (len(t), sum(c[w] > 0 for w in t), n, base, score)
+            length += longest
+        out[i] = (len(t), sum(c[1][w,] > 0 for w in t), n, base, score, length / len(t))
     return out
 
 
-@pytest.mark.parametrize("learn", [True, False])
-def test_suffix_tree(frame, awkward, few, learn):
-    rows = [*awkward, (500, "One ONE one"), (501, awkward[4][1].upper())]
-    trained = [i for i, _ in rows if i % 3] if learn else []
-    train = (F.col("doc_id") % 3 != 0) & F.lit(learn)
-    found = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(frame(rows), train, least=4).collect()}
-    want = brute_tree(rows, trained, 4, 0.7)
-    assert set(found) == set(want)
-    for i, (n, known, total, base, score) in want.items():
-        r = found[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert math.isclose(r["base_score"], base, abs_tol=1e-6) and math.isclose(r["score"], score, rel_tol=1e-5, abs_tol=1e-6)
+@pytest.mark.parametrize(("learn", "depth", "keep", "relayed"), [(True, 3, 1, False), (True, 3, 2, True), (True, 1, 1, False), (True, 4, 1, True), (False, 3, 1, False)])
+def test_suffix_tree(frame, awkward, learn, depth, keep, relayed):
+    rows = [*awkward, (500, "One ONE one"), (501, awkward[4][1].upper()), (None, "one two"), (5, "one")]
+    trained = [i for i, _ in rows if i is not None and i % 3] if learn else []
+    docs = frame(rows)
+    numbers = {(i, t): k for k, (i, t) in enumerate(rows)}
+    docs = docs.withColumn("n", F.monotonically_increasing_id()).coalesce(2)
+    few = {"chunk_bytes": 3000} | ({"direct": 2, "districts": 4} if relayed else {})
+    got = suffix_tree.suffix_tree_scores(docs, (F.col("doc_id") % 3 != 0) & F.lit(learn), depth, least=4, keep=keep, **few)
+    keyed = [(k, t) for (i, t), k in numbers.items()]
+    want = brute_tree(keyed, [k for (i, _), k in numbers.items() if i in trained], depth, 4, keep, 0.7)
+    found, expected = defaultdict(list), defaultdict(list)
+    for r in got.collect():
+        found[r["doc_id"]].append((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 4), round(r["mean_context"], 5)))
+    for (i, _), k in numbers.items():
+        n, known, total, base, score, length = want[k]
+        expected[i].append((n, known, total, round(base, 5), round(score, 4), round(length, 5)))
+    for i in expected:
+        for a, b in zip(sorted(found[i]), sorted(expected[i]), strict=True):
+            assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-5, atol=2e-4), i
+    assert set(found) == set(expected)
     if learn:
-        assert found[5]["score"] > found[5]["base_score"] and found[501]["score"] == found[6]["score"]
+        assert found[6][0][4] > found[6][0][3] and found[501][0][4] == found[6][0][4]
 
 
-def test_suffix_tree_of_nothing(frame, few):
+def test_suffix_tree_of_nothing(frame):
     assert suffix_tree.suffix_tree_scores(frame([]), F.lit(True)).count() == 0
 
 
+def test_suffix_tree_messages_grow_with_the_corpus(spark, frame):
+    """Four times the chunks and the buckets: about four times the rows, not sixteen, as relays stand between."""
+    rng = random.Random(3)
+    told = {}
+
+    def hop_of(bits):
+        schema = suffix_tree.arrow_schema(frame([]), suffix_tree.TOLD)
+        return lambda t: suffix_tree.pa.table(suffix_tree._relay_asks(t, bits), schema=schema)
+
+    for size in (1, 4):
+        rows = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(300))) for k in range(24 * size)]
+        docs = frame(rows, clash=False).coalesce(1)
+        state = suffix_tree.states(docs, F.lit(True), "doc_id", "text", 4000).cache()
+        count = state.count()
+        for via in (0, 4):
+            tree = suffix_tree.Tree(2, 4, 2, 0.7, 7 + (size == 4) * 2, via, 1)
+            words = suffix_tree.tell_words(state, tree)
+            answers = suffix_tree.exchange(words, tree, count, 4)
+            if via:
+                groups = max(1, count >> (tree.bits - via))
+                relays = words.withColumn("relay", F.col("bucket").cast("long") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+                hop = relays.groupBy("relay").applyInArrow(hop_of(tree.bits), suffix_tree.TOLD)
+                told[size, via] = words.count() + hop.count()
+            else:
+                told[size, via] = words.count()
+            assert answers.agg(F.sum("kinds")).first()[0] == len({w for _, t in rows for w in t.split()}) + 1
+        state.unpersist()
+    assert told[4, 0] > 8 * told[1, 0] and told[4, 4] < 5.5 * told[1, 4] and told[4, 4] < told[4, 0]
+
+
 def chains(text):
     """A text's chains by plain steps; a text without one has itself."""
     words = re.sub(r"[^\w]+|_", " ", (text or "").lower()).split()
