@@ -2,8 +2,10 @@
 
 Each source's documents, in a pseudorandom order, form one stream of words
 that is cut into blocks of a fixed length. Each source's quota is a number of
-slots; a slot's shard is drawn at random, so that the source counts of a shard
-are multinomial draws whose sums meet the quotas. Slot n of a source takes
+slots. Output shards are filled one after another: each of a shard's places draws a source
+by the quotas, so that a shard's source counts are a multinomial draw. What a source draws beyond its quota
+is left out, and the last shard takes what is missing, so that quotas are met exactly. A shard's count opens
+the source's next slots; slot n of a source takes
 block perm(n mod blocks) in epoch n div blocks; perm is a swap-or-not shuffle,
 which maps an index to an index and needs no table.
 """
@@ -20,13 +22,16 @@ from .common import WORD, cut, lookup
 
 #: Rounds of the shuffle.
 ROUNDS = 16
-#: Slots of a source that one row of the plan opens at first.
+#: Slots that one row of the plan opens.
 RUN = 1024
+#: Parts of the range of quotas in which a draw looks for its source.
+CELLS = 1024
 
 
 @dataclass
 class Mixture:
     sources: DataFrame  # source, rank, weight, source_size, blocks, target, slots (whole blocks), rest (words of one more)
+    counts: DataFrame  # shard, rank, start (the source's first slot there), n: the draws that decide the slots
     slots: DataFrame  # rank, slot, epoch, block, words (null: the whole block), shard
     docs: DataFrame  # doc_id, size, source_size, target, taken
 
@@ -66,43 +71,59 @@ def draw(parts: list, digits: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, digits), 16, 10).cast("long")
 
 
-def slot_plan(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+def shard_counts(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """shard, rank, start, n: a multinomial draw of sources for each shard, held to the quotas.
+
+    Draws are counted before they are shuffled. A draw finds its source in its
+    cell of the range of quotas, which few sources share.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    last = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    width, places = max(1, -(-total // CELLS)), max(1, -(-total // shards))
+    ranges = sources.where("slots > 0").select("rank", "slots", F.coalesce(F.sum("slots").over(last), F.lit(0)).alias("low"))
+    cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("low") + F.col("slots") - 1) / width))))
+    places_ = spark.range(0, total, 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000))
+    drawn = places_.select(F.floor(F.col("id") / places).alias("shard"), (draw([F.lit(seed), F.lit("draw"), F.col("id")], 12) % max(1, total)).alias("u"))
+    found = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(lookup(cut(cells)), "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("slots")))
+    counts = cut(found.groupBy("shard", "rank").agg(F.count("*").alias("n")))
+    got = counts.groupBy("rank").agg(F.sum("n").alias("got"))
+    missing = sources.join(got, "rank", "left").select(F.lit(shards - 1).cast("long").alias("shard"), "rank", (F.col("slots") - F.coalesce("got", F.lit(0))).alias("n")).where("n > 0")
+    counts = counts.union(missing).groupBy("shard", "rank").agg(F.sum("n").alias("n")).join(sources.select("rank", "slots"), "rank")
+    so_far = F.sum("n").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
+    held = counts.withColumn("after", F.least(so_far, "slots")).withColumn("start", F.least(so_far - F.col("n"), "slots"))
+    return held.select("shard", "rank", "start", (F.col("after") - F.col("start")).alias("n")).where("n > 0")
+
+
+def slot_plan(sources: DataFrame, counts: DataFrame, shards: int, seed: int) -> DataFrame:
     """One row a slot: its epoch, block, words and shard.
 
-    Sources open into runs of slots first and runs into slots after a
-    shuffle, so that a large source's slots are made by many tasks.
+    A shard's count opens into runs of slots first and runs into slots after a
+    shuffle, so that a large source's slots are made by many tasks. A source's
+    rest, a part of a block, is a slot of the last shard.
     """
-    total = F.col("slots") + F.when(F.col("rest") > 0, 1).otherwise(0)
-    runs = (
-        sources.withColumn("total", total)
-        .where("total > 0")
-        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / RUN))))
-        .select("rank", "blocks", "slots", "rest", "total", "run")
-    )
+    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    runs = runs.select("rank", "shard", (F.col("start") + F.col("run") * RUN).alias("first"), (F.col("start") + F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1).alias("last"))
+    rest = sources.where("rest > 0").select("rank", F.lit(shards - 1).cast("long").alias("shard"), F.col("slots").alias("first"), F.col("slots").alias("last"))
     # so many partitions by name, as the rows are few and small until they are opened
     wanted = sources.agg(F.sum("slots")).first()[0] or 0
     parts = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted // 50_000)
-    runs = runs.repartition(parts, F.col("rank"), F.col("run"))
-    slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("total"), (F.col("run") + 1) * RUN) - 1)))
-    slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
+    opened = runs.union(rest).repartition(parts, "rank", "first").select("rank", "shard", F.explode(F.sequence("first", "last")).alias("slot"))
+    # what the shuffle's rounds draw depends on source and epoch only
+    epochs = sources.where("blocks > 0").select("rank", "blocks", "slots", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / F.col("blocks")))).alias("epoch"))
+    keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: draw([F.lit(seed), F.col("rank"), F.col("epoch"), r], 12) % F.col("blocks"))
+    rounds = lookup(cut(epochs.withColumn("keys", keys)))
+    blocks = lookup(cut(sources.where("blocks > 0").select("rank", F.col("blocks").alias("__blocks"))))
+    slots = opened.join(blocks, "rank").withColumn("epoch", F.floor(F.col("slot") / F.col("__blocks"))).join(rounds, ["rank", "epoch"])
 
     def turn(x: Column, r: Column) -> Column:
         n = F.col("blocks")
-        other = (draw([F.lit(seed), F.col("rank"), F.col("epoch"), r], 12) % n + n - x) % n
+        other = (F.get("keys", r - 1) + n - x) % n
         swap = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rank").cast("string"), F.col("epoch").cast("string"), r.cast("string"), F.greatest(x, other).cast("string"))), 1, 1) >= F.lit("8")
         return F.when(swap, other).otherwise(x)
 
     block = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("slot") % F.col("blocks"), turn)
-    return slots.select(
-        "rank", "slot", "epoch", block.alias("block"),
-        F.when(F.col("slot") == F.col("slots"), F.col("rest")).alias("words"),
-        F.pmod(F.xxhash64(F.lit(seed), "rank", "slot"), F.lit(shards)).alias("shard"),
-    )
-
-
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """Slots of each source in each shard: the multinomial draws."""
-    return slots.groupBy("shard", "rank").agg(F.count("*").alias("slots"))
+    return slots.select("rank", "slot", "epoch", block.alias("block"), F.when(F.col("slot") == F.col("slots"), F.col("rest")).alias("words"), "shard")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 256, shards: int = 64, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mixture:
@@ -114,6 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     taken at most ceil(most) times. Ties in the pseudorandom order are broken by
     id and size, so equal rows are exchangeable; rows that share an id are
     separate documents. Other columns are not read. Empty input gives no rows.
+    `counts` says how many slots of each source a shard takes, `slots` which blocks.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -145,7 +167,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     placed = ranked.withColumn("start", running("size", in_leaf)).withColumn("nth", F.row_number().over(in_leaf))  # (leaf, nth) tells equal rows apart
     placed = placed.join(leaves, ["rank", "leaf"]).select("doc_id", "rank", "size", "leaf", "nth", (F.col("start") + F.col("at")).alias("start"))
 
-    slots = slot_plan(sources, shards, seed)
+    counts = shard_counts(sources, shards, seed)
+    slots = slot_plan(sources, counts, shards, seed)
     visits = slots.groupBy("rank", "block").agg(F.count_if(F.col("words").isNull()).alias("whole"), F.max("words").alias("words"))
     last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
     cutting = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words))))
@@ -156,4 +179,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     words = F.coalesce(F.col("whole") * (F.col("to") - F.col("from")), F.lit(0)) + F.greatest(F.lit(0), F.least(F.col("to"), F.coalesce(F.col("words"), F.lit(0))) - F.col("from"))
     taken = met.groupBy("rank", "leaf", "nth", "doc_id", "size").agg(F.sum(F.when(F.col("size") > 0, words).otherwise(0)).alias("taken"))
     result = taken.join(small.select("rank", "source_size", "target"), "rank").select("doc_id", "size", "source_size", "target", "taken")
-    return Mixture(sources, slots, result)
+    return Mixture(sources, counts, slots, result)

@@ -73,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_matched", "n_item", "coverage")
 
 
-#: The same mix in SQL: quotas, swap-or-not shuffles and the documents' places.
+#: The same mix in SQL: quotas, the shards' draws, swap-or-not shuffles and the documents' places.
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -103,8 +103,28 @@ planned AS (
   SELECT *, CASE WHEN blocks > 0 THEN CAST(floor(target / (source_size / blocks::DOUBLE) + 1e-9) AS BIGINT) ELSE 0 END AS slots FROM quota),
 planned2 AS (
   SELECT *, CASE WHEN blocks > 0 THEN CAST(round(greatest(0.0, target - slots * (source_size / blocks::DOUBLE))) AS BIGINT) ELSE 0 END AS rest FROM planned),
+ranges AS (
+  SELECT rank, slots, coalesce(sum(slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM planned2 WHERE slots > 0),
+whole AS (
+  SELECT CAST(coalesce(sum(slots), 0) AS BIGINT) AS n FROM planned2),
+places AS (
+  SELECT n, unnest(range(0, n)) AS place FROM whole),
+drawn AS (
+  SELECT place // ((n + 63) // 64) AS shard, ('0x' || substr(md5(concat_ws('|', '20', 'draw', place)), 1, 12))::BIGINT % n AS u FROM places),
+counted AS (
+  SELECT shard, rank, count(*) AS n FROM drawn JOIN ranges ON u >= low AND u < low + slots GROUP BY shard, rank),
+topped AS (
+  SELECT shard, rank, sum(n) AS n FROM (
+    SELECT shard, rank, n FROM counted
+    UNION ALL SELECT 63, p.rank, p.slots - coalesce(g.n, 0) FROM planned2 p LEFT JOIN (SELECT rank, sum(n) AS n FROM counted GROUP BY rank) g ON p.rank = g.rank
+              WHERE p.slots > coalesce(g.n, 0)) GROUP BY shard, rank),
+summed AS (
+  SELECT rank, shard, n, sum(n) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM topped),
+opened AS (
+  SELECT s.rank, unnest(range(CAST(least(s.after - s.n, p.slots) AS BIGINT), CAST(least(s.after, p.slots) AS BIGINT))) AS slot FROM summed s JOIN planned2 p ON s.rank = p.rank
+  UNION ALL SELECT rank, slots FROM planned2 WHERE rest > 0),
 slot AS (
-  SELECT rank, blocks, slots, rest, unnest(range(0, slots + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS slot FROM planned2),
+  SELECT o.rank, blocks, slots, rest, slot FROM opened o JOIN planned2 p ON o.rank = p.rank),
 mapped AS (
   SELECT rank, slot, CASE WHEN slot = slots THEN rest END AS words,
          list_reduce(range(1, 17), lambda x, r:

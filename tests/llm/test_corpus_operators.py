@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -341,8 +342,18 @@ def test_mixing(spark, words):
         by_size[source_size, target] += taken
     for (n, target), taken in by_size.items():
         assert abs(taken - target) <= 256, (n, target, taken)
-    counts = mixing.shard_counts(found.slots)
-    assert counts.agg(F.sum("slots")).first()[0] == found.slots.count()
+    quota = {r["rank"]: r["slots"] for r in plan.values() if r["slots"]}
+    total, line = sum(quota.values()), [k for k in sorted(quota) for _ in range(quota[k])]
+    draws, left = [Counter() for _ in range(64)], Counter(quota)
+    for k in range(total):  # each place draws; beyond its quota a source gets nothing, and the last shard takes what is missing
+        rank = line[int(hashlib.md5(f"20|draw|{k}".encode()).hexdigest()[:12], 16) % total]
+        if left[rank]:
+            draws[k // -(-total // 64)][rank] += 1
+            left[rank] -= 1
+    draws[63].update({k: n for k, n in left.items() if n})
+    assert {(r["shard"], r["rank"]): r["n"] for r in found.counts.collect()} == {(k, x): n for k, c in enumerate(draws) for x, n in c.items()}
+    shards = Counter((r["shard"], r["rank"]) for r in found.slots.where("words is null").collect())
+    assert shards == {(k, x): n for k, c in enumerate(draws) for x, n in c.items()}
     blocks = {(r["rank"], r["epoch"]): set() for r in found.slots.collect()}
     for r in found.slots.collect():  # a permutation gives no index twice
         assert r["block"] not in blocks[r["rank"], r["epoch"]]
