@@ -193,10 +193,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours; every other round then
     jumps to that label's own. Labels are written each round, so lineage stays
-    short; the edges stay partitioned in the cache.
+    short. The edges of a document with very many are not brought together: labels
+    join them, which Spark splits where a key is hot, and minima are taken before the shuffle.
     """
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.distinct()).repartition("b").persist()
+    edges = cut(edges.distinct())
     labels = cut(edges.groupBy(F.col("b").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("group_id")))
     turn = 0
     while True:
@@ -210,7 +211,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc_id", F.col("new_id").alias("group_id"))
         turn += 1
         if not changed:
-            edges.unpersist()
             return labels
 
 
@@ -374,7 +374,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     fewer than n words has one shingle, of all of them. Null texts and texts
     without a word have none and link to nothing. Equal sets are copies: they
     share a class, and the links are between the classes' smallest ids. Rows
-    that share an id must hold the same text. `recall` is the chance at least
+    that share an id must hold the same text; rows without an id are left to themselves (common.numbered gives ids). `recall` is the chance at least
     that a pair at the threshold shares a band. Other columns are not read.
     `n_links` counts the classes that a document's class is linked to, all of
     them; the work for it is quadratic in the classes of a group.
@@ -384,7 +384,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     grey = max(0.0, 2 * threshold - 1)  # under it, the triangle inequality settles a failed pair
     profiles = cut(_profiles(docs.where(F.col(id_col).isNotNull()), id_col, text_col, n, bands, rows))
     some = profiles.where("n_shingles > 0")
-    firsts = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the join below is one of two plain shuffles, in which a hot class can be split
+    firsts = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("class_id")))
     members = cut(some.join(firsts, ["s1", "s2", "n_shingles"]).select("doc_id", "class_id").distinct())
     leads = members.where("doc_id = class_id").select("doc_id")
 
