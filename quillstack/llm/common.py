@@ -81,17 +81,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(docs, the column that tells its rows apart and sorts as the ids do).
 
     That is the id itself, unless some id is null or repeated: then rows are
-    numbered in the order of the ids, null ones last, and written so that the
+    numbered in the order of the ids, null ones last, and of the texts, and written so that the
     numbers stay.
     """
     odd = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(id_col).isNull())
     if odd.isEmpty():
         return docs, id_col
-    return cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn("__row", F.monotonically_increasing_id())), "__row"
+    return cut(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn("__row", F.monotonically_increasing_id())), "__row"
 
 
 def cut(df: DataFrame) -> DataFrame:

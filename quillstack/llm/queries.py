@@ -30,8 +30,7 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.text_of(F.col("signatures")).alias("fingerprint"), spotsigs.text_of(F.col("edited_signatures")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
-        spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), "near_next", "class_id", "n_links", "near_id",
     )
 
 

@@ -3,6 +3,9 @@
 A spot is a run of common words (anchors); its signature is the run, the
 content word after it and the content word after that one. A document's
 fingerprint is its set of signature hashes; likeness is the Jaccard measure.
+Near copies are found among all fingerprints: these are partitioned by set
+length, meet only where a length can reach the threshold and their first
+signatures have one in common, and are compared in blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, lookup
+from .common import cut, numbered
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -24,17 +27,19 @@ ANCHORS = (
     "al como con del el ella entre era esta este la las lo los más no o para pero por se sin su sus y"
 )
 _JOINT = "\x01"
-#: Sets that share a signature, for each salt of it.
-HOT = 1000
+#: Fingerprints in a block of the comparison.
+BLOCK = 1024
 
 
 def anchors() -> list[str]:
     return sorted(set(ANCHORS.split()))
 
 
-def flat(text: Column) -> Column:
-    """Lower-cased words with one space around each."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def segments(text: Column) -> Column:
+    """Lower-cased words, each anchor joined to the word after it, so that one segment is a run of anchors and a content word."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    ended = F.transform(words, lambda w: F.concat(w, F.when(w.isin(anchors()), F.lit(_JOINT)).otherwise(F.lit(" "))))
+    return F.trim(F.array_join(ended, ""), F.lit(f" {_JOINT}"))
 
 
 def signatures(text: Column) -> Column:
@@ -43,8 +48,6 @@ def signatures(text: Column) -> Column:
     A text with words but without a whole chain has one signature, of all its
     words; a null text or one without a letter or digit has none.
     """
-    # each anchor joins the word after it, so that one segment is a run of anchors and a content word
-    joined = F.regexp_replace(flat(text), f"(?<= )({'|'.join(anchors())}) ", f"$1{_JOINT}")
 
     def chains(words: Column) -> Column:
         def chain(x: Column, i: Column) -> Column:
@@ -53,10 +56,13 @@ def signatures(text: Column) -> Column:
 
         return F.array_distinct(F.filter(F.transform(words, chain), lambda h: h.isNotNull()))
 
-    # the one-element array binds the segments to a lambda's variable: they are made once, not for each access
-    found = F.transform(F.array(F.split(F.trim(joined), " ")), chains)[0]
-    whole = F.when(F.trim(joined) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(joined)))
-    return F.transform(F.array(found), lambda s: F.when(F.size(s) > 0, F.array_sort(s)).otherwise(whole))[0]
+    def found(joined: Column) -> Column:
+        some = F.transform(F.array(F.split(joined, " ")), chains)[0]
+        whole = F.when(joined == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(joined)))
+        return F.transform(F.array(some), lambda s: F.when(F.size(s) > 0, F.array_sort(s)).otherwise(whole))[0]
+
+    # one-element arrays bind a value to a lambda's variable: it is made once, not for each access
+    return F.transform(F.array(segments(text)), found)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,76 +115,85 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col)).alias("signatures"))
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's signatures against those of its edited text and of the next document.
+def edited_likeness(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text's signatures against those of its edited text, of the next document, and of all documents.
 
-    The edited text has the last half of the code points (rounded down)
-    replaced by as many, or all, of the next document's first ones. Rows that
-    share an id count as one document, with the smallest text; a sole
-    document is its own next. Null texts count as empty; null ids are left
-    out; other columns are not read.
+    doc_id, n_chars, edited, signatures, edited_signatures, near_next (likeness to the
+    next document), and of near_copies: class_id, n_links, near_id. The edited text has the last half of the code points (rounded down)
+    replaced by as many, or all, of the next document's first ones. Next is
+    by ascending id; null ids come last, and rows that share an id follow each other by their texts; a
+    sole document is its own next. Null texts count as empty; every row is kept; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    ids = cut(texts.select("doc_id", F.length("text").cast("long").alias("n_chars")))
-    once = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not once.isEmpty():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = cut(texts.select("doc_id", F.length("text").cast("long").alias("n_chars")))
-    known = texts.withColumn("signatures", signatures(F.col("text"))).join(cut(neighbours(ids)), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts, row = numbered(rows, "doc_id", "text")
+    texts = texts.select(F.col(row).alias("row"), "doc_id", "text")
+    prints = cut(texts.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), signatures(F.col("text")).alias("signatures")))
+    order = cut(neighbours(prints.select(F.col("row").alias("doc_id"), "n_chars"))).withColumnRenamed("doc_id", "row")
+    near = near_copies(prints.select("row", "doc_id", "signatures"), threshold)
+
+    known = texts.drop("doc_id").join(order, "row")
     half = F.floor(F.col("n_chars") / 2)
-    heads = known.select(
-        F.col("previous_id").alias("doc_id"),
-        F.expr("substring(text, 1, cast(floor(previous_chars / 2) as int))").alias("head"),
-        F.col("signatures").alias("next_signatures"),
-    )
-    kept = known.select("doc_id", "n_chars", "text", "signatures", half.alias("half"))
-    edited = kept.join(heads, "doc_id").withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - half as int))"), "head"))
-    return edited.select(
-        "doc_id", "n_chars", "edited", "signatures", "next_signatures", signatures(F.col("edited")).alias("edited_signatures"),
+    heads = known.select(F.col("previous_id").alias("row"), F.expr("substring(text, 1, cast(floor(previous_chars / 2) as int))").alias("head"))
+    kept = known.select("row", "next_id", half.alias("half"), F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("start"))
+    edited = kept.join(heads, "row").select("row", "next_id", F.concat("start", "head").alias("edited"))
+    edited = edited.join(prints.drop("doc_id"), "row").join(near, "row")
+    following = prints.join(order.select("row", F.col("previous_id").alias("before")), "row").select(F.col("before").alias("row"), F.col("signatures").alias("next_signatures"))
+    found = edited.join(following, "row").select(
+        "row", "n_chars", "edited", "signatures", signatures(F.col("edited")).alias("edited_signatures"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), "class_id", "n_links", "near_id",
     )
+    if row == "doc_id":
+        return found.withColumnRenamed("row", "doc_id")
+    return found.join(prints.select("row", "doc_id"), "row").drop("row")
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): documents whose fingerprints have a Jaccard measure of `threshold` (over 0) or more.
+def near_copies(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """row, class_id, n_links, near_id of each row of prints (row, doc_id, signatures; rows are distinct).
 
-    members: doc_id, class_id, the smallest id with an equal set. pairs: a, b,
-    likeness of class ids, a < b. Sets are partitioned by length; a set meets
-    those of its own and of the next partitions that the threshold lets its
-    length reach, where both have a signature among their rarest: of n
-    signatures, n - ceil(threshold * n) + 1. A pair is taken at the first such
-    signature only. Signatures of more than HOT sets are salted. Rows that
-    share an id count as one document, with the smallest text; null texts
-    count as empty; null ids are left out.
+    class_id: the smallest id with an equal set (null only if all its ids are). n_links: how many other
+    classes have a Jaccard measure of `threshold` (over 0) or more to it; near_id: the smallest of their ids.
+    Sets are partitioned by length; a set is at home in its own
+    partition and a guest in those after it that the threshold lets its length reach. Two sets meet at
+    the first signature that both have among their smallest: of n, n - ceil(threshold * n) + 1.
+    What meets at a signature is compared in blocks, so that no pair becomes a row.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    prints = cut(fingerprints(texts))
-    sets = cut(prints.groupBy("signatures").agg(F.min("doc_id").alias("class_id")).withColumn("size", F.size("signatures")))
-    members = prints.join(sets, "signatures").select("doc_id", "class_id")
-
-    spread = sets.select("class_id", "size", F.explode("signatures").alias("signature"))
-    often = cut(spread.groupBy("signature").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int")))
-    most = often.agg(F.max("salts")).first()[0] or 1
-    known = spread.join(often.where("salts = 1").select("signature", "n", "salts"), "signature")
-    if most > 1:
-        # the few hot ones go to every task, so that their rows need not meet
-        known = known.unionByName(spread.join(lookup(cut(often.where("salts > 1"))), "signature"))
-    rare = known.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "signature", "salts"))).alias("all"))
-    length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1
-    rare = cut(rare.select("class_id", "size", F.slice("all", 1, length).alias("first")))
+    key = [F.xxhash64("signatures").alias("h1"), F.xxhash64(F.lit(1), F.reverse("signatures")).alias("h2")]
+    keyed = prints.select("row", "doc_id", *key)
+    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("lead"), F.count("*").alias("n")))
+    members = keyed.join(firsts, ["h1", "h2"]).select("row", "class_id", "lead")
+    sets = cut(prints.join(firsts.select(F.col("lead").alias("row"), "class_id"), "row").where(F.size("signatures") > 0).select(F.col("row").alias("c"), "class_id", F.size("signatures").alias("size"), "signatures"))
 
     def part(size: Column) -> Column:
-        return F.floor(F.log(size) / F.lit(math.log(1 / threshold))).cast("int") if threshold < 1 else size.cast("int")
+        return F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / threshold))).cast("int") if threshold < 1 else size.cast("int")
 
-    entry = rare.select("class_id", "size", F.col("first.signature").alias("prefix"), F.explode("first").alias("e"))
-    entry = entry.select("class_id", "size", "prefix", "e.signature", F.col("e.salts").alias("salts"))
+    length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1
+    entry = sets.select("c", "size", F.explode(F.slice("signatures", 1, length)).alias("signature"))
+    common = entry.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     reach = F.sequence(part(F.col("size")), part(F.floor(F.col("size") / threshold + 1e-9)))
-    short = entry.select(F.col("class_id").alias("s"), F.col("size").alias("s_size"), F.col("prefix").alias("s_prefix"), "signature", F.pmod(F.xxhash64("class_id"), F.col("salts")).alias("salt"), F.explode(reach).alias("part"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))
-    long = entry.select(F.col("class_id").alias("l"), F.col("size").alias("l_size"), F.col("prefix").alias("l_prefix"), "signature", every.alias("salt"), part(F.col("size")).alias("part"))
-    met = short.join(long, ["signature", "salt", "part"])
-    met = met.where((F.struct("s_size", "s") < F.struct(F.col("l_size").alias("s_size"), F.col("l").alias("s"))) & (F.col("s_size") >= threshold * F.col("l_size") - 1e-9))
-    met = met.where(F.array_intersect("s_prefix", "l_prefix")[0] == F.col("signature")).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
-    own = lambda key: sets.select(F.col("class_id").alias(key), F.col("signatures").alias(f"{key}_set"))
-    both = met.join(own("a"), "a").join(own("b"), "b")
-    pairs = both.select("a", "b", likeness(F.col("a_set"), F.col("b_set")).alias("likeness")).where(F.col("likeness") >= threshold)
-    return members, pairs
+    placed = cut(entry.join(common, "signature", "left_semi").select("c", "signature", F.posexplode(reach).alias("guest", "part")))
+    cells = cut(placed.groupBy("signature", "part").agg(F.count("*").alias("n"), F.count_if(F.col("guest") == 0).alias("home")).where("n > 1 and home > 0").select("signature", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = placed.join(cells, ["signature", "part"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    item = F.struct("c", "class_id", "size", "own", (F.col("guest") > 0).alias("guest"), "signatures")
+    groups = dealt.groupBy("signature", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(item).alias("items")).where(F.size("items") > 1)
+
+    def first(a: Column) -> Column:
+        n = a["size"]
+        return F.slice(a["signatures"], 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
+
+    def linked(a: Column) -> Column:
+        def near(b: Column) -> Column:
+            small, large = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+            shared = F.size(F.array_intersect(a["signatures"], b["signatures"]))
+            return (
+                (a["c"] != b["c"]) & ~(a["guest"] & b["guest"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
+                & (small >= threshold * large - 1e-9) & (F.get(F.array_intersect(first(a), first(b)), F.lit(0)) == F.col("signature"))
+                & F.transform(F.array(shared), lambda n: n >= threshold * (small + large - n) - 1e-9)[0]
+            )
+
+        close = F.transform(F.filter("items", near), lambda b: b["class_id"])
+        return F.transform(F.array(close), lambda ids: F.struct(a["c"].alias("lead"), F.size(ids).cast("long").alias("n"), F.array_min(ids).alias("near")))[0]
+
+    some = groups.select(F.inline(F.filter(F.transform("items", linked), lambda r: r["n"] > 0)))
+    links = some.groupBy("lead").agg(F.sum("n").alias("n_links"), F.min("near").alias("near_id"))
+    return members.join(cut(links), "lead", "left").select("row", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "near_id")

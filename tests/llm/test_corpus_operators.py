@@ -176,11 +176,10 @@ def test_spotsigs(frame):
         edited = text[i][: len(text[i]) - half] + after[:half]
         r = found[i]
         assert (r["n_chars"], r["edited"]) == (len(text[i]), edited)
-        a, b, c = (set(r[n]) for n in ("signatures", "edited_signatures", "next_signatures"))
+        a, b = (set(r[n]) for n in ("signatures", "edited_signatures"))
         assert len(a) == len(chains(text[i])) and len(b) == len(chains(edited))
-        assert measure(a, b) == measure(chains(text[i]), chains(edited)) and measure(a, c) == measure(chains(text[i]), chains(after))
-    near = spotsigs.edited_likeness(frame(TEXTS)).select("doc_id", spotsigs.likeness(F.col("signatures"), F.col("next_signatures")).alias("x"))
-    assert {r["doc_id"]: r["x"] for r in near.collect()}[4] == 1.0
+        assert measure(a, b) == measure(chains(text[i]), chains(edited)) and r["near_next"] == measure(chains(text[i]), chains(after))
+    assert found[4]["near_next"] == 1.0 and found[7]["class_id"] == 4 and found[7]["n_links"] == 0
 
 
 def test_spotsigs_of_shared_ids_one_and_none(frame):
@@ -188,12 +187,14 @@ def test_spotsigs_of_shared_ids_one_and_none(frame):
     alone = spotsigs.edited_likeness(frame([(5, "abcd")])).collect()
     assert [(r["doc_id"], r["edited"]) for r in alone] == [(5, "abab")]
     twice = spotsigs.edited_likeness(frame([(5, "b"), (5, "a"), (6, "c")])).collect()
-    assert sorted((r["doc_id"], r["edited"]) for r in twice) == [(5, "a"), (6, "c")]
+    assert sorted((r["doc_id"], r["edited"]) for r in twice) == [(5, "a"), (5, "b"), (6, "c")]
+    every = spotsigs.edited_likeness(frame([(None, "zzzz"), (5, "b word"), (5, "a word"), (6, None), (None, "zzzz"), (1, "cccc")])).collect()
+    assert sorted((r["doc_id"] or 99, r["edited"], r["class_id"] or 99) for r in every) == [(1, "cca ", 1), (5, "a wb w", 5), (5, "b w", 5), (6, "", 6), (99, "zzcc", 99), (99, "zzzz", 99)]
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.5])
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
 def test_spotsigs_near_copies(frame, awkward, words, monkeypatch, threshold):
-    monkeypatch.setattr(spotsigs, "HOT", 5)
+    monkeypatch.setattr(spotsigs, "BLOCK", 8)
     rng = random.Random(13)
     rows = list(awkward)
     for family in range(3):
@@ -202,17 +203,23 @@ def test_spotsigs_near_copies(frame, awkward, words, monkeypatch, threshold):
             own = base[: len(base) - rng.randint(0, 4)]
             own[rng.randrange(len(own))] = f"the other{rng.randrange(9)}"
             rows.append((1000 + 7 * k + 200 * family, " ".join(own)))
+    rows += [(2000 + k, "the " + " the ".join(rng.choices(words, k=rng.randint(2, 30)))) for k in range(800)]
     rows += [(1001, None), (None, rows[-1][1])]
     docs = frame(rows)
-    members, pairs = spotsigs.near_copies(docs, threshold)
-    sets = {r["doc_id"]: frozenset(r["signatures"]) for r in spotsigs.fingerprints(docs).collect() if r["doc_id"] is not None}
+    prints = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", spotsigs.signatures(F.col("text")).alias("signatures")).cache()
+    sets = {r["row"]: (r["doc_id"], frozenset(r["signatures"])) for r in prints.collect()}
+    assert len(sets) > 900
     first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {i: first[v] for i, v in sets.items()}
-    want = {(i, j): len(a & b) / len(a | b) for a, i in first.items() for b, j in first.items() if i < j and a & b and len(a & b) >= threshold * len(a | b)}
-    got = pairs.collect()
-    assert len(got) == len(want) > 30 and {(r["a"], r["b"]): r["likeness"] for r in got} == want
+    for i, v in sorted(sets.values(), key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(v, i)
+    near = defaultdict(list)
+    for a, i in first.items():
+        for b, j in first.items():
+            if a != b and a & b and len(a & b) >= threshold * len(a | b):
+                near[a].append(j)
+    want = {r: (first[v], len(near[v]), min(near[v], default=None)) for r, (_, v) in sets.items()}
+    got = {r["row"]: (r["class_id"], r["n_links"], r["near_id"]) for r in spotsigs.near_copies(prints, threshold).collect()}
+    assert got == want and (threshold == 1 or sum(n for _, n, _ in want.values()) > 60)
 
 
 def shingles(text, n=5):
