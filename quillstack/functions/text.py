@@ -60,6 +60,18 @@ def iso_date(value: Column) -> Column:
     return F.try_to_date(value, "yyyy-MM-dd")
 
 
+def iso_timestamp(value: Column) -> Column:
+    """'2026-07-09T10:00:00Z', with a fraction or an offset if given -> timestamp; null if it is none."""
+    known = F.regexp_like(value, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)?$"))
+    return F.when(known, F.try_to_timestamp(value))
+
+
+def needs_ocr(source_type: Column, pages: Column) -> Column:
+    """Whether a document's text has to come from OCR: an image, or a PDF none of whose pages has text."""
+    blank = ~F.exists(F.coalesce(pages, F.array().cast("array<struct<page_number:int,text:string>>")), lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) != "")
+    return F.coalesce((source_type == "image") | ((source_type == "pdf") & blank), F.lit(False))
+
+
 def clamp(x: Column) -> Column:
     """Into 0 to 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))

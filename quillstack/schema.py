@@ -28,6 +28,12 @@ TABLES: dict[str, str] = {
     "audit_logs": "id string, document_id string, user_id string, action string, details string, logged_at timestamp",
 }
 
+#: Tables of the engine's own beside the model's: the unit of citation, and files that made no document.
+OWN: dict[str, str] = {
+    "pages": "document_id string, page_number int, text string",
+    "rejects": "storage_path string, reason string, detail string",
+}
+
 #: The one record that every parser makes and every consumer reads.
 CONTRACT = (
     "document_id string, source_type string, storage_path string, ocr_applied boolean, "
@@ -54,4 +60,4 @@ ACTIONS = ("upload", "view", "download", "delete", "permission_change")
 
 def struct(name: str) -> StructType:
     """Schema of one table, or of 'contract'."""
-    return StructType.fromDDL(CONTRACT if name == "contract" else TABLES[name])
+    return StructType.fromDDL(CONTRACT if name == "contract" else (TABLES | OWN)[name])

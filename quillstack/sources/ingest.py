@@ -28,55 +28,66 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(struct("contract")).json(path)
 
 
-def validate(uploads: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def validate(uploads: DataFrame, max_bytes: int = MAX_BYTES, min_bytes: int = 1) -> DataFrame:
     """With `reason`: null if accepted, else why not."""
     kind = extension(F.col("filename"))
     reason = (
         F.when(kind.isNull() | ~F.coalesce(kind.isin(*FORMATS), F.lit(False)), "type")
         .when(F.col("size_bytes") > max_bytes, "too_large")
         .when(F.col("size_bytes") == 0, "empty")
+        .when(F.col("size_bytes") < min_bytes, "too_small")
     )
     return uploads.withColumn("reason", reason)
 
 
 def parse(uploads: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Accepted files with pages and error: 'unsupported', or what the parser raised. Files are independent, so each task streams its own."""
+    """Accepted files with pages, the confidence of each page that came from OCR, and error: 'unsupported', or what the parser raised.
+
+    An OCR engine is a registered parser whose pages have a confidence.
+    Files are independent, so each task streams its own.
+    """
     known = PARSERS | (parsers or {})
-    schema = "storage_path string, filename string, size_bytes long, created_at timestamp, checksum string, uploaded_by string, folder string, pages array<struct<page_number:int,text:string>>, error string"
+    schema = "storage_path string, filename string, size_bytes long, created_at timestamp, checksum string, uploaded_by string, folder string, pages array<struct<page_number:int,text:string>>, confidence array<double>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages, errors = [], []
+            pages, confidence, errors = [], [], []
             for name, content in zip(batch["filename"], batch["content"], strict=True):
                 try:
-                    found = known[name.rpartition(".")[2].lower()](bytes(content))
-                    pages.append([{"page_number": n, "text": t} for n, t in found])
-                    errors.append(None)
+                    found, error = known[name.rpartition(".")[2].lower()](bytes(content)), None
                 except Unsupported:
-                    pages.append([])
-                    errors.append("unsupported")
+                    found, error = [], "unsupported"
                 except Exception as e:  # a broken file is a result, not a failed job
-                    pages.append([])
-                    errors.append(f"{type(e).__name__}: {e}"[:200])
-            yield batch.drop(columns="content").assign(pages=pages, error=errors)
+                    found, error = [], f"{type(e).__name__}: {e}"[:200]
+                pages.append([{"page_number": p[0], "text": p[1]} for p in found])
+                confidence.append([p[2] if len(p) > 2 else None for p in found])
+                errors.append(error)
+            yield batch.drop(columns="content").assign(pages=pages, confidence=confidence, error=errors)
 
     ready = uploads.select("storage_path", "filename", "size_bytes", "created_at", F.sha2("content", 256).alias("checksum"), "uploaded_by", "folder", "content")
     return ready.mapInPandas(run, schema)
 
 
 def normalize(parsed: DataFrame) -> DataFrame:
-    """Parsed files as records; ids follow from the bytes' checksum and the path, so a retry makes the same ones."""
+    """Parsed files as records; ids follow from the bytes' checksum and the path, so a retry makes the same ones. ocr_applied: whether some page has a confidence."""
     kinds = F.create_map(*(F.lit(x) for k, (kind, _) in FORMATS.items() for x in (k, kind)))
     types = F.create_map(*(F.lit(x) for k, (_, mime) in FORMATS.items() for x in (k, mime)))
     kind = extension(F.col("filename"))
     return parsed.where("error is null").select(
         F.sha2(F.concat_ws("|", "checksum", "storage_path"), 256).alias("document_id"),
-        kinds[kind].alias("source_type"), "storage_path", F.lit(False).alias("ocr_applied"), "pages",
+        kinds[kind].alias("source_type"), "storage_path", F.exists("confidence", lambda c: c.isNotNull()).alias("ocr_applied"), "pages",
         F.struct("filename", types[kind].alias("mime_type"), "size_bytes", "uploaded_by", "folder", "created_at").alias("metadata"),
-        "checksum",
+        "checksum", "confidence",
     )
 
 
+def rejects(checked: DataFrame, parsed: DataFrame, homeless: DataFrame) -> DataFrame:
+    """storage_path, reason, detail of every file that made no document: refused, not parsed, or in an unknown folder."""
+    refused = checked.where("reason is not null").select("storage_path", F.lit("refused").alias("reason"), F.col("reason").alias("detail"))
+    broken = parsed.where("error is not null").select("storage_path", F.lit("not_parsed"), F.col("error"))
+    return refused.union(broken).union(homeless.select("storage_path", F.lit("unknown_folder"), F.col("metadata.folder")))
+
+
 def catalog_rows(found: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, document_metadata, rejected): a record whose folder name is not known is rejected. folders: id, name."""
     known = folders.select(F.col("id").alias("folder_id"), F.col("name").alias("__name")).dropDuplicates(["__name"])
@@ -98,6 +109,13 @@ def page_rows(found: DataFrame) -> DataFrame:
     return found.select("document_id", F.inline("pages"))
 
 
+def ocr_rows(found: DataFrame) -> DataFrame:
+    """Rows of ocr_results: the pages that have a confidence."""
+    pages = found.select("document_id", F.inline(F.arrays_zip("pages", "confidence")), F.col("metadata.created_at").alias("processed_at")).where("confidence is not null")
+    key = F.concat_ws("|", F.lit("ocr"), "document_id", "pages.page_number")
+    return pages.select(F.sha2(key, 256).alias("id"), "document_id", "pages.page_number", F.col("pages.text").alias("extracted_text"), F.col("confidence").alias("confidence_score"), "processed_at")
+
+
 def chunk_rows(pages: DataFrame, size: int = 200, step: int = 160) -> DataFrame:
     """document_id, page_number, chunk_index, chunk."""
     return pages.select("document_id", "page_number", F.posexplode(chunks(F.col("text"), size, step)).alias("chunk_index", "chunk"))

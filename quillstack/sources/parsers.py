@@ -1,4 +1,4 @@
-"""One parser for each format; all give pages of (page_number, text).
+"""One parser for each format; all give pages of (page_number, text) or, from OCR, (page_number, text, confidence).
 
 A parser is a small function from a file's bytes to its pages. New formats are
 added to the registry; consumers never look at the format. Formats whose
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-Pages = list[tuple[int, str]]
+Pages = list[tuple[int, str] | tuple[int, str, float]]
 Parser = Callable[[bytes], Pages]
 
 

@@ -21,10 +21,27 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(struct(table)).parquet(f"{root}/{table}")
 
 
+def present(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """A declared table, or None if nothing was ever appended to it."""
+    try:
+        return read(spark, root, table)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def append_new(df: DataFrame, root: str, table: str, keys: list[str]) -> None:
+    """Appends the rows whose keys are not in the table, one for each key: a batch that is tried again adds nothing twice."""
+    there = present(df.sparkSession, root, table)
+    rows = df.dropDuplicates(keys)
+    append(rows if there is None else rows.join(there.select(*keys), keys, "left_anti"), root, table)
+
+
 def put_bytes(files: DataFrame, root: str) -> None:
     """Adds raw files, keyed by storage_path; a path that is there already is not written again."""
     spark, target = files.sparkSession, f"{root}/raw"
-    rows = files.select("storage_path", "content")
+    rows = files.select("storage_path", "content").dropDuplicates(["storage_path"])
     try:
         rows = rows.join(spark.read.parquet(target).select("storage_path"), "storage_path", "left_anti")
     except Exception as e:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import ingest, sinks
+from ..sources.parsers import Parser
 
 
 def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -62,11 +63,12 @@ def job_states(log: DataFrame) -> DataFrame:
     return log.groupBy("document_id", "job_type").applyInPandasWithState(step, out, "status string, attempts long, rejected long", "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest_stream(spark: SparkSession, incoming: str, root: str, folders: DataFrame, checkpoint: str, uploaded_by: str, folder: str) -> StreamingQuery:
-    """Takes in all new files once and ends: bytes, catalog rows, pages and audit rows of each micro-batch.
+def ingest_stream(spark: SparkSession, incoming: str, root: str, folders: DataFrame, checkpoint: str, uploaded_by: str, folder: str, parsers: dict[str, Parser] | None = None) -> StreamingQuery:
+    """Takes in all new files once and ends: bytes, pages, OCR results, metadata, audit rows, rejects and catalog rows of each micro-batch.
 
-    Bytes come first and the catalog's row is the commit point: a batch that
-    is tried again appends only what is not there, by the document's id.
+    Ids follow from the content, and each sink takes only rows whose keys it
+    lacks, so that a batch which broke off between two of them can be tried
+    again. The catalog's row comes last: a document is there when all else is.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(incoming)
@@ -76,24 +78,19 @@ def ingest_stream(spark: SparkSession, incoming: str, root: str, folders: DataFr
             F.col("path").alias("storage_path"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("created_at"), "content", F.lit(uploaded_by).alias("uploaded_by"), F.lit(folder).alias("folder"),
         )
-        accepted = ingest.validate(uploads).where("reason is null").drop("reason").persist()
-        found = ingest.normalize(ingest.parse(accepted)).persist()
-        try:
-            known = sinks.read(spark, root, "documents").select(F.col("id").alias("document_id"))
-            found_new = found.join(known, "document_id", "left_anti")
-            found_new.limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            found_new = found
-        new = found_new.persist()
+        checked = ingest.validate(uploads).persist()
+        accepted = checked.where("reason is null").drop("reason")
+        parsed = ingest.parse(accepted, parsers).persist()
+        docs, meta, homeless = ingest.catalog_rows(ingest.normalize(parsed), folders)
+        housed = ingest.normalize(parsed).join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
         sinks.put_bytes(accepted, root)
-        docs, meta, _ = ingest.catalog_rows(new, folders)
-        ingest.page_rows(new).write.mode("append").parquet(f"{root}/pages")
-        sinks.append(meta, root, "document_metadata")
-        sinks.append(ingest.upload_audit(docs), root, "audit_logs")
-        sinks.append(docs, root, "documents")
-        for df in (new, found, accepted):
+        sinks.append_new(ingest.page_rows(housed), root, "pages", ["document_id", "page_number"])
+        sinks.append_new(ingest.ocr_rows(housed), root, "ocr_results", ["id"])
+        sinks.append_new(meta, root, "document_metadata", ["id"])
+        sinks.append_new(ingest.upload_audit(docs), root, "audit_logs", ["id"])
+        sinks.append_new(ingest.rejects(checked, parsed, homeless), root, "rejects", ["storage_path", "reason"])
+        sinks.append_new(docs, root, "documents", ["id"])
+        for df in (parsed, checked):
             df.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

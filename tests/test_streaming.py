@@ -45,3 +45,37 @@ def test_upload_stream_is_idempotent(spark, tmp_path):
     assert sinks.read(spark, root, "documents").count() == 2
     assert sinks.read(spark, root, "audit_logs").where(F.col("action") == "upload").count() == 2
     assert sinks.get_bytes(spark, root).count() == 2
+
+
+def test_upload_that_breaks_off_is_tried_again(spark, tmp_path, monkeypatch):
+    incoming, root = tmp_path / "in", str(tmp_path / "lake")
+    incoming.mkdir()
+    for name, body in {"a.txt": b"one two", "b.exe": b"x", "c.docx": b"no zip", "d.pdf": b"%PDF", "e.png": b"scanned words"}.items():
+        (incoming / name).write_bytes(body)
+    folders = spark.createDataFrame([("f-1", "Inbox")], "id string, name string")
+    plain, broken = sinks.append_new, []
+    scan = lambda content: [(1, content.decode(), 0.75)]
+
+    def breaks(df, root, table, keys):
+        if table not in broken:
+            broken.append(table)
+            raise RuntimeError(f"no {table}")
+        plain(df, root, table, keys)
+
+    monkeypatch.setattr(sinks, "append_new", breaks)
+    for attempt in range(9):  # each attempt breaks off at the next sink, until none is left
+        q = pipelines.ingest_stream(spark, str(incoming), root, folders, str(tmp_path / "c"), "u-1", "Inbox", {"png": scan})
+        try:
+            q.awaitTermination(120)
+            break
+        except Exception as e:
+            assert "no " in str(e)
+    assert broken == ["pages", "ocr_results", "document_metadata", "audit_logs", "rejects", "documents"] and attempt == 6
+    read = lambda t: sinks.read(spark, root, t)
+    assert {t: read(t).count() for t in broken} == {"pages": 2, "ocr_results": 1, "document_metadata": 2, "audit_logs": 2, "rejects": 3, "documents": 2}
+    assert {(r["storage_path"][-5:], r["reason"]) for r in read("rejects").collect()} == {("b.exe", "refused"), ("docx"[-5:].rjust(5, "."), "not_parsed"), ("d.pdf", "not_parsed")}
+    assert [(r["extracted_text"], r["confidence_score"]) for r in read("ocr_results").collect()] == [("scanned words", 0.75)]
+    assert {r["ocr_applied"] for r in read("document_metadata").collect()} == {True, False} and sinks.get_bytes(spark, root).count() == 4
+    q = pipelines.ingest_stream(spark, str(incoming), root, folders.where("false"), str(tmp_path / "other"), "u-1", "Inbox")
+    q.awaitTermination(120)
+    assert read("rejects").where("reason = 'unknown_folder'").count() == 1 and read("documents").count() == 2
