@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.answering import Answerer
 from .functions.embedding import embed
 from .operators import guard, retrieval
 from .sources import ingest as source
+from .sources.parsers import Parser
 
 
-def ingest(spark: SparkSession, path: str, uploaded_by: str, folder: str) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, path: str, uploaded_by: str, folder: str, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejected files with their reason) of all files under a path."""
     uploads = source.files(spark, path).withColumns({"uploaded_by": F.lit(uploaded_by), "folder": F.lit(folder)})
     checked = source.validate(uploads)
-    parsed = source.parse(checked.where("reason is null"))
+    parsed = source.parse(checked.where("reason is null"), parsers)
     refused = checked.where("reason is not null").select("storage_path", "reason")
     return source.normalize(parsed), refused.union(parsed.where("error is not null").select("storage_path", "error"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, docs: DataFrame, effective: DataFrame, user_id: str, k: int = 5) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, docs: DataFrame, effective: DataFrame, user_id: str, k: int = 5, answerer: Callable[[], Answerer] | None = None) -> DataFrame:
     """query_id, answer, cited. questions: query_id, text; chunks: document_id, page_number, chunk_index, chunk.
 
     Only chunks of documents that the user may see are ranked; effective is
-    the user's folders (guard.effective_folders).
+    the user's folders (guard.effective_folders). The answerer is that of retrieval.answers.
     """
     seen = guard.visible_or_owned(guard.not_deleted(docs), effective, F.lit(user_id)).select(F.col("id").alias("document_id"))
     allowed = chunks.join(seen, "document_id", "left_semi")
     key = F.concat_ws("/", "document_id", "page_number", "chunk_index")
     corpus = allowed.select(key.alias("vec_id"), embed(F.col("chunk")).alias("embedding"))
     asked = questions.select("query_id", embed(F.col("text")).alias("embedding"))
-    hits = retrieval.top_k(asked, corpus, k)
-    text = allowed.select(key.alias("vec_id"), "document_id", "page_number", F.col("chunk").alias("text"))
-    found = hits.join(text, "vec_id")
-    first = F.array_join(F.slice(F.split(F.min_by("text", "rank"), r"(?<=[.!?])\s+"), 1, 2), " ")
-    cited = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id", "page_number", "score"))), lambda x: F.struct(x["document_id"], x["page_number"], x["score"]))
-    return found.groupBy("query_id").agg(first.alias("answer"), cited.alias("cited"))
+    # a chunk's key takes its document's place until the citation is made: several chunks of a page may be hits
+    hits = retrieval.top_k(asked, corpus, k).join(allowed.select(key.alias("vec_id"), "page_number"), "vec_id")
+    hits = hits.select("query_id", "rank", "score", F.col("vec_id").alias("document_id"), "page_number")
+    found = retrieval.answers(hits, allowed.select(key.alias("document_id"), "page_number", F.col("chunk").alias("text")), questions, answerer)
+    document = lambda x: F.regexp_extract(x["document_id"], r"^(.*)/[^/]*/[^/]*$", 1).alias("document_id")
+    return found.withColumn("cited", F.transform("cited", lambda x: F.struct(document(x), x["page_number"].alias("page_number"), x["score"].alias("score"))))

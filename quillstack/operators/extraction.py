@@ -44,6 +44,14 @@ def document_confidence(fields: DataFrame, key: str, hundredths: str) -> DataFra
     return fields.groupBy(key).agg((F.min(hundredths).cast("double") / 100).alias("min_confidence"), (total / (n * 100)).alias("avg_confidence"))
 
 
+def ocr_confidence(results: DataFrame, document: str = "document_id", confidence: str = "confidence_score") -> DataFrame:
+    """Pages, least and mean OCR confidence of each document; the mean is of whole ten-thousandths, so that sums are exact."""
+    parts = F.round(F.col(confidence) * 10_000).cast("long")
+    return results.groupBy(document).agg(
+        F.count("*").alias("n_pages"), (F.min(parts).cast("double") / 10_000).alias("min_confidence"), (F.sum(parts).cast("double") / (F.count(parts).cast("double") * 10_000)).alias("avg_confidence"),
+    )
+
+
 def review_queue(fields: DataFrame, confidence: str, verified: str, threshold: float) -> DataFrame:
     """Fields under the threshold that nobody has verified."""
     return fields.where((F.col(confidence) < threshold) & ~F.col(verified))

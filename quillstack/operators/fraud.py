@@ -19,6 +19,31 @@ def duplicate_flags(docs: DataFrame, checksum: str, key: str) -> DataFrame:
     return docs.join(groups, checksum).select(key, (F.col("__n") > 1).alias("is_duplicate"), (F.col(key) == F.col("__first")).alias("is_first"))
 
 
+#: Words of a passage that are looked for, and bytes of passages up to which they are broadcast.
+WINDOW, PASSAGE_BYTES = 5, 64 << 20
+
+
+def known_passages(docs: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str) -> DataFrame:
+    """key, item: the documents that contain a passage, character for character.
+
+    The words of a passage but its first and last are whole words of whatever
+    contains it; the first WINDOW of them, which every such document has as well, make the candidates. Passages of fewer words are
+    looked for in every document. Null and empty passages are in none.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    known = passages.select(F.col(item).alias("__item"), F.col(passage).alias("__passage")).where(F.length("__passage") > 0).withColumn("__words", words(F.col("__passage")))
+    size = known.agg(F.sum(F.octet_length("__passage"))).first()[0] or 0
+    deal = F.broadcast if size <= PASSAGE_BYTES else lambda df: df
+    # a passage that begins or ends at a white space has whole words there; leaving them out does no harm
+    long = known.where(F.size("__words") >= WINDOW + 2).select("__item", "__passage", F.xxhash64(F.slice("__words", 2, WINDOW)).alias("__window"))
+    short = known.where(F.size("__words") < WINDOW + 2).select("__item", "__passage")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    windows = F.transform(F.array(words(F.col("__text"))), lambda ws: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - WINDOW + 1)), lambda k: F.xxhash64(F.slice(ws, k, WINDOW)))))[0]
+    near = rows.select("__key", "__text", F.explode(windows).alias("__window")).join(deal(long), "__window").where(F.contains("__text", F.col("__passage"))).select("__key", "__item")
+    few = rows.join(deal(short), F.contains(F.col("__text"), F.col("__passage"))).select("__key", "__item")
+    return near.union(few).select(F.col("__key").alias(key), F.col("__item").alias(item))
+
+
 def metadata_mismatch(children: DataFrame, docs: DataFrame, key: str, child_when: str, when: str) -> DataFrame:
     """Children dated before their document."""
     return children.join(docs.select(key, when), key).where(F.col(child_when) < F.col(when))

@@ -21,24 +21,22 @@ def folder_tree(folders: DataFrame, max_depth: int = 100) -> DataFrame:
 
     A folder tree is small beside the documents; the recursion runs in Spark.
     """
-    folders.select("id", "parent_folder_id").createOrReplaceTempView("__folders")
     return folders.sparkSession.sql(f"""
         WITH RECURSIVE tree(root, id, depth) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT id, id, 0 FROM __folders WHERE parent_folder_id IS NULL
+            SELECT id, id, 0 FROM {{folders}} WHERE parent_folder_id IS NULL
             UNION ALL
-            SELECT t.root, f.id, t.depth + 1 FROM tree t JOIN __folders f ON f.parent_folder_id = t.id)
-        SELECT root, id, CAST(depth AS BIGINT) AS depth FROM tree""")
+            SELECT t.root, f.id, t.depth + 1 FROM tree t JOIN {{folders}} f ON f.parent_folder_id = t.id)
+        SELECT root, id, CAST(depth AS BIGINT) AS depth FROM tree""", folders=folders.select("id", "parent_folder_id"))
 
 
 def descendants(folders: DataFrame, max_depth: int = 100) -> DataFrame:
     """ancestor, id: every folder under each folder, itself included."""
-    folders.select("id", "parent_folder_id").createOrReplaceTempView("__folders")
     return folders.sparkSession.sql(f"""
         WITH RECURSIVE below(ancestor, id) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT id, id FROM __folders
+            SELECT id, id FROM {{folders}}
             UNION ALL
-            SELECT b.ancestor, f.id FROM below b JOIN __folders f ON f.parent_folder_id = b.id)
-        SELECT ancestor, id FROM below""")
+            SELECT b.ancestor, f.id FROM below b JOIN {{folders}} f ON f.parent_folder_id = b.id)
+        SELECT ancestor, id FROM below""", folders=folders.select("id", "parent_folder_id"))
 
 
 def effective_folders(user_roles: DataFrame, grants: DataFrame, folders: DataFrame, required: str = "read") -> DataFrame:
