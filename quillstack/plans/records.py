@@ -70,7 +70,7 @@ def review_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checksums(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.checksum(F.col("text")).alias("checksum"), "n_chars", F.length("text").alias("length"))
+    return table(spark, d, "documents").select("doc_id", T.checksum(F.col("text")).alias("checksum"))
 
 
 @query("SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -92,14 +92,53 @@ def metadata_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return fraud.metadata_mismatch(table(spark, d, "lineitem"), docs, "l_orderkey", "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query(f"""SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN is_duplicate THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN later THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN mismatch THEN 0.2::DOUBLE ELSE 0 END)) AS risk_score,
-    '{{"duplicate":' || is_duplicate || ',"later_copy":' || later || ',"size_mismatch":' || mismatch || '}}' AS details
-    FROM (SELECT *, is_duplicate AND NOT is_first AS later FROM ({_FLAGS.format(", n_chars <> length(text) AS mismatch")}))""")
+_KNOWN = "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return fraud.known_passages(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query(_KNOWN)
+def known_passage_match(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d).distinct()
+
+
+@query(f"""SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN is_duplicate THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN known THEN 0.5::DOUBLE ELSE 0 END)) AS risk_score,
+    '{{"duplicate":' || is_duplicate || ',"known_passage":' || known || '}}' AS details
+    FROM (SELECT f.*, k.doc_id IS NOT NULL AS known FROM ({_FLAGS.format("")}) f LEFT JOIN (SELECT DISTINCT doc_id FROM ({_KNOWN})) k ON f.doc_id = k.doc_id)""")
 def risk_score(spark: SparkSession, d: str) -> DataFrame:
-    docs = _checksums(spark, d)
-    found = fraud.duplicate_flags(docs, "checksum", "doc_id").join(docs.select("doc_id", (F.col("n_chars") != F.col("length")).alias("mismatch")), "doc_id")
-    checks = {"duplicate": (F.col("is_duplicate"), 0.5), "later_copy": (F.col("is_duplicate") & ~F.col("is_first"), 0.3), "size_mismatch": (F.col("mismatch"), 0.2)}
-    return fraud.risk(found, checks).select("doc_id", "risk_score", "details")
+    known = _passages(spark, d).select("doc_id", F.lit(True).alias("known")).distinct()
+    found = fraud.duplicate_flags(_checksums(spark, d), "checksum", "doc_id").join(known, "doc_id", "left")
+    return fraud.risk(found, {"duplicate": (F.col("is_duplicate"), 0.5), "known_passage": (F.coalesce("known", F.lit(False)), 0.5)}).select("doc_id", "risk_score", "details")
+
+
+def _ocr_results(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as scanned documents, turns as their pages; a page's confidence is of its text's length."""
+    score = (F.length("text") % 10_000).cast("double") / 10_000
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("page_number"), F.col("text").alias("extracted_text"), score.alias("confidence_score"))
+
+
+@query("""SELECT conv_id AS document_id, count(*) AS n_pages, min(length(text) % 10000)::DOUBLE / 10000 AS min_confidence,
+    sum(length(text) % 10000)::DOUBLE / (count(*)::DOUBLE * 10000) AS avg_confidence FROM conversations GROUP BY conv_id""")
+def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.ocr_confidence(_ocr_results(spark, d))
+
+
+@query("""SELECT doc_id, lang = 'fr' OR (lang = 'de' AND doc_id % 2 = 0) AS needs_ocr FROM documents""")
+def needs_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as images, PDFs (every other one without a layer of text) and texts, by language."""
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("lang") == "fr", "image").when(F.col("lang") == "de", "pdf").otherwise("txt")
+    layer = F.when(F.col("doc_id") % 2 == 0, F.lit("  ")).otherwise(F.col("text"))
+    page = F.array(F.struct(F.lit(1).alias("page_number"), layer.alias("text")))
+    return docs.select("doc_id", T.needs_ocr(kind, page).alias("needs_ocr"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS micros FROM events")
+def typed_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"))
+    return texts.select("event_id", F.unix_micros(T.iso_timestamp(F.col("at"))).alias("micros"))
 
 
 @query("SELECT event_id, ts, event_type FROM events WHERE user_id = 7")

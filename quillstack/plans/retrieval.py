@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieval
+from ..operators import guard, retrieval
 from ..session import table
+from ..sources import ingest
 from .registry import query
 
 K = 5
@@ -45,16 +46,23 @@ def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.sanitize_name(F.col("p_name")).alias("filename"))
 
 
-@query("SELECT doc_id, sha256(text) AS checksum, true AS intact FROM documents")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS checksum, doc_id % 97 <> 0 AS intact FROM documents WHERE doc_id % 89 <> 0
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), sha256(text), false FROM documents WHERE doc_id % 89 = 0""")
 def checksum(spark: SparkSession, d: str) -> DataFrame:
-    stored = table(spark, d, "documents").withColumn("checksum", T.checksum(F.col("text")))
-    return stored.select("doc_id", "checksum", (T.checksum(F.col("text")) == F.col("checksum")).alias("intact"))
+    """Stored bytes against the catalog's checksums; every 97th file was altered after its upload, every 89th was lost."""
+    docs = table(spark, d, "documents")
+    catalog = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("local://files/"), "doc_id").alias("storage_path"), T.checksum(F.col("text")).alias("checksum"))
+    altered = F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    store = docs.where("doc_id % 89 <> 0").select(F.concat(F.lit("local://files/"), "doc_id").alias("storage_path"), altered.cast("binary").alias("content"))
+    return ingest.verify(catalog, store).join(catalog.select("id", "checksum"), "id").select("id", "checksum", "intact")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 10000 THEN 'too_long' ELSE 'ok' END AS verdict FROM documents""")
+@query("""SELECT doc_id, CASE WHEN lang = 'es' THEN 'type' WHEN n_chars > 10000 THEN 'too_large' WHEN n_chars < 200 THEN 'too_small' ELSE 'ok' END AS verdict FROM documents""")
 def upload_validation(spark: SparkSession, d: str) -> DataFrame:
-    verdict = F.when(F.col("n_chars") < 200, "too_short").when(F.col("n_chars") > 10_000, "too_long").otherwise("ok")
-    return table(spark, d, "documents").select("doc_id", verdict.alias("verdict"))
+    """Documents as uploads of a size and a type by their language; one type is not known."""
+    kinds = F.create_map(*(F.lit(x) for pair in (("en", "txt"), ("de", "html"), ("fr", "docx"), ("es", "exe")) for x in pair))
+    uploads = table(spark, d, "documents").select("doc_id", F.concat_ws(".", "doc_id", kinds[F.col("lang")]).alias("filename"), F.col("n_chars").alias("size_bytes"))
+    return ingest.validate(uploads, max_bytes=10_000, min_bytes=200).select("doc_id", F.coalesce("reason", F.lit("ok")).alias("verdict"))
 
 
 @query("""SELECT 'page' AS kind, page_id AS id, CASE WHEN html LIKE '%<%>%' THEN 'semi' ELSE 'unstructured' END AS class FROM pages
@@ -68,8 +76,9 @@ def structure_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Queries, every row whose id is divisible by 100, and the corpus: all rows, so that a query's own row is a hit."""
     vectors = table(spark, d, "embeddings")
-    return vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.where("vec_id >= 20")
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
@@ -78,18 +87,29 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guarded_hits(spark: SparkSession, d: str) -> DataFrame:
-    """The permission filter stands before the rank: a hidden chunk never takes a place among the k."""
+    """The permission filter stands before the rank: a hidden chunk never takes a place among the k.
+
+    A vector's label names its folder; the reader's role holds a grant on folders 0 to 4, which lie below one root.
+    """
     queries, corpus = _vectors(spark, d)
-    return retrieval.top_k(queries, corpus.where("label <= 4"), K)
+    folders = spark.createDataFrame([("all", None), *((f"l{k}", "all") for k in range(10))], "id string, parent_folder_id string")
+    roles = spark.createDataFrame([("reader", "r"), ("other", "x")], "user_id string, role_id string")
+    grants = spark.createDataFrame([*(("r", f"l{k}", "read") for k in range(5)), ("x", "all", "admin")], "role_id string, folder_id string, access_level string")
+    mine = guard.effective_folders(roles.where("user_id = 'reader'"), grants, folders)
+    return retrieval.top_k(queries, guard.visible(corpus.withColumn("folder_id", F.concat(F.lit("l"), "label")), mine), K)
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).cast("long").alias("page_number"), "text")
 
 
+def on_page_one(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", "score", F.col("vec_id").alias("document_id"), F.lit(1).cast("long").alias("page_number"))
+
+
 _HITS = """scored AS (SELECT q.vec_id AS query_id, c.vec_id,
         list_reduce(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE), lambda x, y: x + y, 0.0::DOUBLE) AS score
-      FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.vec_id >= 20{0}),
+      FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0{0}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored),
     hits AS (SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 5)"""
 _ALL, _GUARDED = _HITS.format(""), _HITS.format(" AND c.label <= 4")
@@ -97,22 +117,45 @@ _ALL, _GUARDED = _HITS.format(""), _HITS.format(" AND c.label <= 4")
 
 @query(f"WITH {_ALL} SELECT query_id, vec_id, score, rank FROM hits")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d).select("query_id", "vec_id", "score", "rank")
+    return hits(spark, d)
+
+
+@query()
+def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries through centroid cells; tests measure its recall."""
+    queries, corpus = _vectors(spark, d)
+    return retrieval.approximate_top_k(queries, corpus, K)
 
 
 @query(f"WITH {_GUARDED} SELECT query_id, vec_id, score, rank FROM hits")
 def rbac_vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return guarded_hits(spark, d).select("query_id", "vec_id", "score", "rank")
+    return guarded_hits(spark, d)
 
 
 @query(f"WITH {_ALL} SELECT query_id, rank, doc_id AS document_id, CAST(1 AS BIGINT) AS page_number, substr(text, 1, 80) AS excerpt FROM hits JOIN documents ON vec_id = doc_id")
 def citation_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.citations(hits(spark, d), pages(spark, d))
+    return retrieval.citations(on_page_one(hits(spark, d)), pages(spark, d))
+
+
+@query(f"""WITH {_ALL} SELECT query_id, rank, conv_id AS document_id, turn AS page_number, substr(text, 1, 80) AS excerpt
+    FROM hits JOIN conversations ON vec_id = conv_id AND turn = rank - 1""")
+def citation_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents, turns as pages: the hit of rank r cites turn r - 1."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), "text")
+    return retrieval.citations(on_page_one(hits(spark, d)).withColumn("page_number", F.col("rank") - 1), turns)
 
 
 @query(f"WITH {_ALL} SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON vec_id = doc_id GROUP BY query_id")
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.context(hits(spark, d), pages(spark, d))
+    return retrieval.context(on_page_one(hits(spark, d)), pages(spark, d))
+
+
+@query(rf"""WITH {_ALL}, best AS (SELECT query_id, min_by(text, rank) AS t, string_agg(vec_id || ':1', ' ' ORDER BY rank) AS cited FROM hits JOIN documents ON vec_id = doc_id GROUP BY query_id),
+    cut AS (SELECT *, regexp_extract(t, '(?s)^(.*?[.!?])\s+(.*)$', 1) AS one, regexp_extract(t, '(?s)^.*?[.!?]\s+(.*)$', 1) AS rest FROM best)
+    SELECT query_id, cited, CASE WHEN one = '' THEN t WHEN regexp_matches(rest, '(?s)[.!?]\s') THEN one || ' ' || regexp_extract(rest, '(?s)^(.*?[.!?])\s', 1) ELSE one || ' ' || rest END AS answer FROM cut""")
+def rag_answer(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.answers(on_page_one(hits(spark, d)), pages(spark, d))
+    return found.select("query_id", "answer", F.array_join(F.transform("cited", lambda x: F.concat_ws(":", x["document_id"], x["page_number"])), " ").alias("cited"))
 
 
 @query("""SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u

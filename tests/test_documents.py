@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstack import api
 from quillstack.functions import text as T
 from quillstack.functions.embedding import hashing_encoder
-from quillstack.operators import catalog, extraction, fraud, guard, ops
+from quillstack.operators import actions, catalog, extraction, fraud, guard, ops
 from quillstack.schema import struct
 from quillstack.sources import ingest, parsers, sinks
 
@@ -158,3 +158,51 @@ def test_contract_reader(spark, tmp_path):
 def test_encoder_is_unit_norm():
     out = hashing_encoder()(["a b c", ""])
     assert abs(float((out[0] ** 2).sum()) - 1) < 1e-6 and float((out[1] ** 2).sum()) == 0
+
+
+def test_actions_leave_audit_rows(spark, tmp_path):
+    docs, root = documents(spark), str(tmp_path / "lake")
+    at = F.lit("2026-07-01").cast("timestamp")
+    folders, grants = spark.createDataFrame([("u-9", "f-4")], "user_id string, folder_id string"), spark.createDataFrame([("r-1", "f-4", "read"), ("r-1", "f-4", "own")], "role_id string, folder_id string, access_level string")
+    shown, seen = actions.view(guard.not_deleted(docs), folders, "u-9", at)
+    store = spark.createDataFrame([("local://b/d-2", b"x"), ("local://b/d-1", b"y")], "storage_path string, content binary")
+    files, taken = actions.download(guard.not_deleted(docs), store, folders, "u-9", at)
+    gone, deleted = actions.delete(docs, folders, "u-9", at)
+    rows, changed = actions.change_permissions(grants, "u-1", at)
+    for log in (seen, taken, deleted, changed, ingest.upload_audit(docs), seen):
+        actions.record(log, root)
+    assert {r["id"] for r in shown.collect()} == {"d-2"} and [tuple(r) for r in files.collect()] == [("d-2", b"x")]
+    assert {r["id"] for r in gone.collect()} == {"d-2", "d-3"} and rows.count() == 1
+    counts = {r["action"]: r["count"] for r in sinks.read(spark, root, "audit_logs").groupBy("action").count().collect()}
+    assert counts == {"view": 1, "download": 1, "delete": 2, "permission_change": 1, "upload": 4}
+
+
+def test_answerers_are_pluggable(spark):
+    hits = spark.createDataFrame([(1, 1, "d", 1, 0.9), (1, 2, "d", 2, 0.5)], "query_id long, rank long, document_id string, page_number int, score double")
+    pages = spark.createDataFrame([("d", 1, "First. Second. Third."), ("d", 2, "Other page."), ("d", 3, "Never cited.")], "document_id string, page_number int, text string")
+    questions = spark.createDataFrame([(1, "what?")], "query_id long, text string")
+    from quillstack.operators import retrieval
+
+    plain = retrieval.answers(hits, pages).first()
+    assert plain["answer"] == "First. Second." and [tuple(c) for c in plain["cited"]] == [("d", 1, 0.9), ("d", 2, 0.5)]
+    said = retrieval.answers(hits, pages, questions, lambda: lambda qs, cs: [f"{q} {len(c.splitlines())} pages" for q, c in zip(qs, cs, strict=True)]).first()
+    assert said["answer"] == "what? 2 pages" and said["cited"] == plain["cited"]
+    assert {(r["page_number"], r["excerpt"]) for r in retrieval.citations(hits, pages, 5).collect()} == {(1, "First"), (2, "Other")}
+
+
+def test_ocr_and_timestamps(spark):
+    rows = spark.createDataFrame([("image", [(1, "x")]), ("pdf", [(1, " "), (2, None)]), ("pdf", [(1, ""), (2, "y")]), ("pdf", []), ("pdf", None), ("txt", []), (None, [])], "kind string, pages array<struct<page_number:int,text:string>>")
+    assert [r[0] for r in rows.select(T.needs_ocr(F.col("kind"), F.col("pages"))).collect()] == [True, True, False, True, True, False, False]
+    at = spark.createDataFrame([("2026-07-09T10:00:00Z",), ("2026-07-09T12:00:00.5+02:00",), ("9.7.2026",), ("2026-07-09",), (None,)], "t string")
+    micros = [r[0] for r in at.select(F.unix_micros(T.iso_timestamp(F.col("t")))).collect()]
+    assert micros == [1783591200000000, 1783591200500000, None, None, None]
+    results = spark.createDataFrame([("d", 0.5), ("d", 1.0), ("e", None)], "document_id string, confidence_score double")
+    assert {tuple(r) for r in extraction.ocr_confidence(results).collect()} == {("d", 2, 0.5, 0.75), ("e", 1, None, None)}
+
+
+def test_known_passages(spark):
+    passage = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"x{passage}y"), (2, f"a {passage} b {passage}"), (3, "one two three four five six seven nine"), (4, None), (5, "short bit"), (6, "")], "id long, text string")
+    items = spark.createDataFrame([(10, passage), (11, "ort b"), (12, ""), (13, None), (14, "two three  four five six seven eight")], "item long, passage string")
+    found = fraud.known_passages(docs, items, "id", "text", "item", "passage").distinct().collect()
+    assert {tuple(r) for r in found} == {(1, 10), (2, 10), (5, 11)}

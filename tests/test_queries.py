@@ -41,7 +41,7 @@ def test_same_as_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 100
+    assert e.entry(spark).count() == 25  # 5 queries of 500 rows, 5 hits each
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
@@ -49,3 +49,31 @@ def test_approximate_users_are_near(spark):
     exact = {r[0]: r[1] for r in registry.queries()["distinct_users"](spark, DATA).collect()}
     for r in registry.queries()["approx_users"](spark, DATA).collect():
         assert abs(r["n_users"] - exact[r["event_type"]]) <= 0.1 * exact[r["event_type"]] + 1
+
+
+def test_every_query_block_meets_every_row(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillstack.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    asked = vectors.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = {r[0]: np.array(r[1], np.float64) for r in vectors.select("vec_id", "embedding").collect()}
+    ids = sorted(rows)
+    for limit in (retrieval.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", limit)
+        found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in retrieval.top_k(asked, vectors, 3).collect()}
+        assert len(found) == 3 * len([i for i in ids if i % 9 == 0])
+        for (q, rank), (v, score) in found.items():
+            best = sorted(ids, key=lambda i: (-round(float(rows[q] @ rows[i]), 9), i))
+            assert abs(rows[q] @ rows[best[rank - 1]] - score) < 1e-9 and abs(rows[q] @ rows[v] - score) < 1e-9
+    assert retrieval.top_k(asked.where("false"), vectors, 3).count() == 0 == retrieval.top_k(asked, vectors.where("false"), 3).count()
+
+
+def test_approximate_search_finds_nearly_all(spark):
+    d = "/root/testdata/sf0.1"
+    exact = {(r["query_id"], r["vec_id"]) for r in registry.queries()["vector_topk"](spark, d).collect()}
+    near = {(r["query_id"], r["vec_id"]) for r in registry.queries()["vector_topk_approximate"](spark, d).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
