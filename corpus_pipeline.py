@@ -32,7 +32,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(common.fold_of("doc_id", 5) != 0))
     plain, back = _apart(docs)
-    return toxicity.toxicity(plain, model, keep=tuple(plain.columns)).where("predicted = 0").withColumnsRenamed(back).select(*docs.columns)
+    return toxicity.toxicity(plain, model, keep=tuple(plain.columns)).where("predicted = 0").select(*plain.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
