@@ -1,8 +1,8 @@
 """LM scoring by a probabilistic suffix tree.
 
 States are contexts of 0 to `depth` tokens. A context is considered from
-`least` training occurrences on; it holds the continuations that follow it `keep` times
-or more, and is retained if these diverge from its suffix's: the log likelihood
+`least` training occurrences on; it holds the continuations that follow it (`keep` times
+or more, if it has several tokens), and is retained if these diverge from its suffix's: the log likelihood
 ratio of its held continuations against the suffix state's, less half the log of its
 count for each of them, is not negative. A token is scored in the state of the longest
 retained suffix of what stands before it; a state's held counts are discounted, and
@@ -10,7 +10,7 @@ all that is not held goes to its suffix state's distribution, down to the root's
 add-one distribution.
 
 Counts are sums over the whole training corpus. The tree is never in
-one place: documents are read once, in chunks of some megabytes, which are kept as
+one place: documents are read in chunks of some megabytes, which are kept as
 packed numbers. Level by level a chunk tells its distinct n-grams and their counts
 to buckets of hashes and is answered with the corpus' counts for just these, so
 that what a chunk holds is bounded by its own text. An n-gram is told only if the
@@ -41,12 +41,12 @@ from .common import cut
 #: The token after a text's last word.
 END = np.uint64(0x5EED5EED5EED5EED)
 #: Bytes of text in a chunk, and in what a bucket stands for, about.
-CHUNK, BUCKET = 14 << 20, 4 << 20
+CHUNK, BUCKET = 12 << 20, 4 << 20
 #: Buckets that chunks tell directly; beyond, they tell so many districts.
 DIRECT, DISTRICTS = 4096, 256
-STATE = "chunk long, ids array<long>, sizes binary, train binary, kinds binary, codes binary, told long"
+STATE = "chunk long, ids array<long>, sizes binary, train binary, kinds binary, codes binary"
 TOLD = "bucket int, chunk long, level int, keys binary, counts binary"
-ANSWERED = "chunk long, level int, bucket int, totals binary, owned binary, kinds long"
+ANSWERED = "chunk long, level int, bucket int, totals binary, owned binary, tokens long, kinds long"
 #: Of a context: its held continuations' part of the test, their number and the sum of their counts.
 TALLY = np.dtype([("part", np.float32), ("kinds", np.uint32), ("held", np.uint64)])
 #: Of a retained context; zeros for others.
@@ -86,7 +86,7 @@ def encode(chunk: int, ids: list, texts: list[bytes | None], train: list[bool])
     kinds, codes = distinct(tokens)
     return {
         "chunk": [chunk], "ids": [ids], "sizes": [squeeze(sizes.astype(np.uint32))], "train": [np.packbits(train).tobytes()],
-        "kinds": [squeeze(kinds, ascending=True)], "codes": [squeeze(codes.astype(np.uint32))], "told": [int(sizes[np.array(train, bool)].sum())],
+        "kinds": [squeeze(kinds, ascending=True)], "codes": [squeeze(codes.astype(np.uint32))],
     }
 
 
@@ -110,12 +110,11 @@ class Chunk:
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         train = np.unpackbits(np.frombuffer(state["train"][0].as_py(), np.uint8), count=len(sizes)).astype(bool)
         self.train = np.repeat(train, sizes)
-        place = np.arange(self.offsets[-1]) - np.repeat(self.offsets[:-1], sizes)
+        place = (np.arange(self.offsets[-1]) - np.repeat(self.offsets[:-1], sizes)).astype(np.int32)
         self.keys = {1: stretch(state["kinds"][0].as_py(), np.uint64, ascending=True)}
         self.kind = {1: stretch(state["codes"][0].as_py(), np.uint32).astype(np.int32)}
         self.total: dict[int, np.ndarray] = {}
-        self.at: dict[int, np.ndarray] = {}
-        self.context_at = {2: np.flatnonzero(place >= 1)}  # tokens that have a context of n - 1 tokens
+        self.context_at = {2: np.flatnonzero(place >= 1).astype(np.int32)}  # tokens that have a context of n - 1 tokens
         self.hash = self.keys[1][self.kind[1]]  # of the n-gram of the last level that ends at each token
         if upto >= 1:
             self.total[1] = self._totals(1, np.int64)
@@ -125,6 +124,10 @@ class Chunk:
             if upto <= tree.depth:
                 self._level(upto + 1)
 
+    def _keep(self, n: int) -> int:
+        """Occurrences from which a context of n - 1 tokens holds a continuation."""
+        return 1 if n == 2 else self.tree.keep
+
     def _totals(self, level: int, dtype) -> np.ndarray:
         parts = [stretch(x, dtype) for x in self.got[level]["totals"].to_pylist()] if level in self.got else []
         return np.concatenate(parts) if parts else np.zeros(0, dtype)
@@ -138,27 +141,26 @@ class Chunk:
     def _level(self, n: int) -> None:
         """Finds the n-grams to ask for: their context is considered, and its last n - 1 tokens are held by some state."""
         before = self.kind[n - 1]
-        often = np.append(self.total[n - 1], 0)[before]  # of the (n - 1)-gram that ends at each token; the last one is for what was not asked for
+        # of the (n - 1)-gram that ends at each token, as far as it matters; the last one is for what was not asked for
+        often = np.append(np.minimum(self.total[n - 1], self.tree.least), 0).astype(np.int32)[before]
         at = self.context_at[n]
         self.context_at[n] = at = at[often[at - 1] >= self.tree.least]
         here = np.zeros(len(before), bool)
         here[at] = True
         self.context_at[n + 1] = at[here[at - 1]]
-        at = at[often[at] >= self.tree.keep]
+        at = at[often[at] >= self._keep(n)]
         hashes = wh.mix(self.hash[at - 1] * np.uint64(wh.FIRST) + self.keys[1][self.kind[1][at]])
         # the bucket's bits and 32 more tell n-grams apart
         self.keys[n], kind = distinct(hashes & ~np.uint64((1 << (32 - self.tree.bits)) - 1))
         self.kind[n] = np.full(len(before), -1, np.int32)
         self.kind[n][at] = kind
-        self.at[n] = at
-        self.hash = np.zeros(len(before), np.uint64)
-        self.hash[at] = hashes
+        if n <= self.tree.depth:
+            self.hash = np.zeros(len(before), np.uint64)
+            self.hash[at] = hashes
 
     def counts(self, n: int) -> np.ndarray:
         """Training occurrences in this chunk of each n-gram."""
-        at = self.at[n] if n > 1 else np.arange(len(self.train))
-        at = at[self.train[at]]
-        return np.bincount(self.kind[n][at], minlength=len(self.keys[n])).astype(np.uint64)
+        return np.bincount(self.kind[n][self.train & (self.kind[n] >= 0)], minlength=len(self.keys[n])).astype(np.uint64)
 
     def bounds(self, keys: np.ndarray) -> np.ndarray:
         """Bounds of the buckets, or of the districts, in ascending keys."""
@@ -171,9 +173,9 @@ class Chunk:
 
     def tallies(self, n: int) -> np.ndarray:
         """TALLY of each of contexts(n), from the held n-grams that this chunk answers for."""
-        first = np.empty(len(self.keys[n]), np.int64)
-        first[self.kind[n][self.at[n]]] = self.at[n]
-        held = self._owned(n) & (self.total[n] >= self.tree.keep)
+        first, places = np.empty(len(self.keys[n]), np.int32), np.flatnonzero(self.kind[n] >= 0)
+        first[self.kind[n][places]] = places
+        held = self._owned(n) & (self.total[n] >= self._keep(n))
         at, count = first[held], self.total[n][held].astype(float)
         context = self.kind[n - 1][at - 1]
         whole = self.total[n - 1][context]
@@ -205,7 +207,7 @@ class Chunk:
             at, context = at[use], context[use]
             kind = self.kind[n][at]
             count = np.where(kind >= 0, self.total[n][kind], 0) if len(self.keys[n]) else np.zeros(len(at))
-            count = np.where(count >= self.tree.keep, count - discount, 0.0)
+            count = np.where(count >= self._keep(n), count - discount, 0.0)
             whole, own = self.total[n - 1][context].astype(float), standing[context]
             p[at] = (count + (whole - own["held"] + discount * own["kinds"]) * p[at]) / whole
             length[at] = n - 1
@@ -262,7 +264,7 @@ def _by_level(rows: pa.Table) -> Iterator[tuple[int, pa.Table]]:
 
 def _answer(rows: pa.Table) -> dict:
     """A bucket's answers: each asker's keys get their totals over all, in the order in which they were told; one asker owns each."""
-    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "kinds": []}
+    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "tokens": [], "kinds": []}
     for level, own in _by_level(rows):
         sizes, _, counts, order, first, which = _merged(own, TALLY if level < 0 else np.uint64)
         total = _sums(counts, order, first)
@@ -281,6 +283,8 @@ def _answer(rows: pa.Table) -> dict:
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
         out["level"] += [level] * len(own)
+        # the bucket's part of the corpus' sizes goes to one asker
+        out["tokens"] += [int(answers.sum()) if level == 1 else 0] + [0] * (len(own) - 1)
         out["kinds"] += [int((answers > 0).sum()) if level == 1 else 0] + [0] * (len(own) - 1)
     return out
 
@@ -304,7 +308,7 @@ def _relay_asks(rows: pa.Table, bits: int) -> dict:
 
 def _relay_answers(rows: pa.Table, got: pa.Table) -> dict:
     """What the buckets told a relay, dealt out to its chunks."""
-    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "kinds": []}
+    out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "tokens": [], "kinds": []}
     if not len(rows):
         return out
     answered = dict(_by_level(got))
@@ -323,27 +327,26 @@ def _relay_answers(rows: pa.Table, got: pa.Table) -> dict:
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
         out["level"] += [level] * len(own)
-        out["kinds"] += [sum(answered[level]["kinds"].to_pylist())] + [0] * (len(own) - 1)
+        for size in ("tokens", "kinds"):
+            out[size] += [sum(answered[level][size].to_pylist())] + [0] * (len(own) - 1)
     return out
 
 
-def exchange(told: DataFrame, tree: Tree, count: int, parts: int) -> DataFrame:
-    """What the corpus answers to what chunks told: rows of ANSWERED, dealt by chunk."""
+def exchange(told: DataFrame, tree: Tree, groups: int) -> DataFrame:
+    """What the corpus answers to what chunks told: rows of ANSWERED. groups: of chunks, for the relays."""
     answered = arrow_schema(told, ANSWERED)
 
     def asked(rows: DataFrame) -> DataFrame:
         return rows.groupBy("bucket").applyInArrow(lambda t: pa.table(_answer(t), schema=answered), ANSWERED)
 
     if not tree.district_bits:
-        return asked(told).repartition(parts, "chunk")
-    groups = max(1, count >> (tree.bits - tree.district_bits))
-    relays = told.withColumn("relay", F.col("bucket").cast("long") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups))).repartition(parts, "relay")
+        return asked(told)
+    relays = told.withColumn("relay", F.col("bucket").cast("long") * groups + F.pmod(F.xxhash64("chunk"), F.lit(groups)))
     telling = arrow_schema(told, TOLD)
     bits = tree.bits
     asks = relays.groupBy("relay").applyInArrow(lambda t: pa.table(_relay_asks(t, bits), schema=telling), TOLD)
-    answers = asked(asks).withColumnRenamed("chunk", "relay").withColumn("chunk", F.col("relay")).repartition(parts, "relay")
-    found = relays.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(lambda t, got: pa.table(_relay_answers(t, got), schema=answered), ANSWERED)
-    return found.repartition(parts, "chunk")
+    answers = asked(asks).withColumn("relay", F.col("chunk"))
+    return relays.groupBy("relay").cogroup(answers.groupBy("relay")).applyInArrow(lambda t, got: pa.table(_relay_answers(t, got), schema=answered), ANSWERED)
 
 
 def states(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -377,7 +380,7 @@ def states(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_byt
     return rows.mapInArrow(run, STATE)
 
 
-def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: int = 8, keep: int = 1, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, direct: int = DIRECT, districts: int = DISTRICTS) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: int = 4, keep: int = 2, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, direct: int = DIRECT, districts: int = DISTRICTS) -> DataFrame:
     """Scores every whole text with a tree learned from the rows for which `train` holds.
 
     A-Z are lower-cased; tokens are the runs of anything but ASCII white space
@@ -386,7 +389,8 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: in
     the tree) and mean_context (tokens of context used, on average). Null and
     empty texts are one end token. Equal texts score alike; rows that share an
     id are separate texts. Without training rows every token has the root's
-    probability 1 / (0 + 0 + 1). Other columns are not read.
+    probability 1 / (0 + 0 + 1). Other columns are not read. Documents are read twice, and
+    again where an executor is lost; they must then come in the same order, as from files or a checkpoint.
 
     Tokens are told apart by 64-bit hashes, longer n-grams by 32 bits and as
     many more as there are bits in the number of buckets, which grows with the corpus (40 at least).
@@ -394,12 +398,12 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: in
     """
     if not 1 <= depth or keep > least:
         raise ValueError("depth must be 1 or more, and keep at most least")
-    state = cut(states(docs, train, id_col, text_col, chunk_bytes))
-    sizes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    sums = state.agg(F.count("*"), F.sum("told")).first()
-    bits = min(32, max(8, (-(-sizes // bucket_bytes)).bit_length()))
+    state = states(docs, train, id_col, text_col, chunk_bytes)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(32, max(8, (-(-total // bucket_bytes)).bit_length()))
     via = (districts - 1).bit_length() if 1 << bits > direct else 0
-    return scores_of(state, Tree(depth, least, keep, discount, bits, via, sums[1] or 0), sums[0]).withColumnRenamed("id", id_col)
+    groups = max(1, -(-total // chunk_bytes) >> (bits - via)) if via else 1
+    return scores_of(state, Tree(depth, least, keep, discount, bits, via), groups).withColumnRenamed("id", id_col)
 
 
 def tell_words(state: DataFrame, tree: Tree) -> DataFrame:
@@ -425,15 +429,16 @@ def tell(state: DataFrame, answers: DataFrame, tree: Tree, n: int) -> DataFrame:
     return state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, TOLD)
 
 
-def scores_of(state: DataFrame, tree: Tree, count: int) -> DataFrame:
+def scores_of(state: DataFrame, tree: Tree, groups: int) -> DataFrame:
     """The texts' scores from the chunks' states."""
+    words = cut(exchange(tell_words(state, tree), tree, groups))
+    sums = words.agg(F.sum("tokens"), F.sum("kinds"), F.countDistinct("chunk")).first()
+    tree = replace(tree, tokens=sums[0] or 0, kinds=sums[1] or 0)
     # so many chunks a partition; chunks and answers are dealt alike, each once
-    parts = max(1, min(count, 20_000))
-    words = cut(exchange(tell_words(state, tree), tree, count, parts))
-    tree = replace(tree, kinds=words.agg(F.sum("kinds")).first()[0] or 0)
+    parts = max(1, min(sums[2], 20_000))
     state, answers = state.repartition(parts, "chunk"), words.repartition(parts, "chunk")
     for n in range(2, tree.depth + 3):
-        answers = answers.union(exchange(tell(state, answers, tree, n), tree, count, parts))
+        answers = answers.union(exchange(tell(state, answers, tree, n), tree, groups).repartition(parts, "chunk"))
     out = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_context double"
     schema = arrow_schema(state, out)
 
