@@ -44,18 +44,23 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[0][:n], kept[1][:n]
 
 
+def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each start to its end."""
+    up, down = powers(BYTES, len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word."""
     b = np.frombuffer(buffer, np.uint8)
     edge = np.diff(np.concatenate([[True], _IS_SPACE[b], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = powers(BYTES, len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return hash_spans(b, starts, ends), starts
 
 
-def _parts(text: bytes) -> Iterator[bytes]:
+def parts(text: bytes) -> Iterator[bytes]:
     """A long text, cut at white space."""
     at = 0
     while len(text) - at > PIECE:
@@ -85,7 +90,7 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
         text = text or b""
         if len(text) > PIECE:
             flush()
-            own = [_hash_buffer(p.lower() if lower else p)[0] for p in _parts(text)]
+            own = [_hash_buffer(p.lower() if lower else p)[0] for p in parts(text)]
             hashes.extend(own)
             counts.append(np.array([sum(map(len, own))]))
             continue

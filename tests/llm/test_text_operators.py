@@ -40,15 +40,30 @@ VOCABULARY = st.lists(st.text("abc", min_size=1, max_size=4), max_size=12)
 @given(VOCABULARY, VOCABULARY, st.text("abcd", max_size=12))
 def test_automaton_is_greedy(inner, final, word):
     vocabulary = [tuple(w.encode()) for w in inner] + [(*w.encode(), 256) for w in final]
-    assert token_counts.Automaton(vocabulary).count(word.encode()) == token_counts.greedy_count(word.encode(), set(vocabulary))
+    a, words = token_counts.Automaton(vocabulary), [word.encode()[k:] for k in range(len(word) + 1)]
+    want = [token_counts.greedy_count(w, set(vocabulary)) for w in words]
+    assert [a.count(w) for w in words] == want
+    ends = np.cumsum([len(w) for w in words])
+    assert a.counts(np.frombuffer(b"".join(words) or b"x", np.uint8), ends - [len(w) for w in words], ends).tolist() == want
+
+
+SPLIT = re.compile(rb"[0-9]+|[A-Za-z\x80-\xff]+|[^\x00-\x20A-Za-z0-9\x7f-\xff]+")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=30))
+def test_pretokens(text):
+    starts, ends = token_counts.pretokens(text)
+    assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == SPLIT.findall(text)
 
 
 def test_token_counts(frame, awkward):
+    awkward = [*awkward, (900, "ab12 !!ab é-ab\x7fab " * 3), (901, ("abh 7 " * 400_000))]
     vocabulary = [(b,) for b in b"abcdefgh"] + [tuple(b"ab"), (*b"ab", 256), (*b"h", 256)]
     known = set(vocabulary)
     found = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in token_counts.token_counts(frame(awkward), vocabulary).collect()}
     for i, t in awkward:
-        parts = token_counts.SPLIT.findall((t or "").encode().lower())
+        parts = SPLIT.findall((t or "").encode().lower())
         assert found[i] == (len(parts), sum(token_counts.greedy_count(p, known) for p in parts))
     assert token_counts.token_counts(frame([]), vocabulary).count() == 0
 
