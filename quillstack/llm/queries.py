@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, suffix_tree, token_counts, toxicity
-from .common import fold_of, table
+from .common import cut, fold_of, numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Production parameter: a public byte-level vocabulary with word ends.
@@ -30,10 +30,17 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.text_of(F.col("signatures")).alias("fingerprint"), spotsigs.text_of(F.col("edited_signatures")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), "near_next", "class_id", "n_links", "near_id",
+        spotsigs.likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), "near_next", "class_id",
     )
 
 
+def spotsigs_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3's join of all fingerprints: each document's class of equal ones and how many classes are near to it."""
+    texts, row = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = cut(texts.select(F.col(row).alias("row"), F.col("doc_id"), spotsigs.signatures(F.col("text")).alias("signatures")))
+    return spotsigs.near_copies(prints).join(prints.select("row", "doc_id"), "row").select("doc_id", "class_id", "n_links", "near_id")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents")).groups
 
@@ -64,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_tree, op3_spotsigs, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_tree, op3_spotsigs, spotsigs_near_copies, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

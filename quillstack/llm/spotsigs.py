@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, numbered
+from .common import cut, lookup, numbered
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -42,8 +42,14 @@ def segments(text: Column) -> Column:
     return F.trim(F.array_join(ended, ""), F.lit(f" {_JOINT}"))
 
 
+def coded(hash_: Column, letters: Column) -> Column:
+    """27 bits of a hash below 4 bits that are smaller the more letters the content words have: longer words are rarer, and stand first in a sorted set."""
+    short = F.lit(15) - F.greatest(F.lit(0), F.least(F.lit(15), letters - 8))
+    return (F.shiftleft(short.cast("int"), 27) + hash_.bitwiseAND(F.lit((1 << 27) - 1))).cast("int")
+
+
 def signatures(text: Column) -> Column:
-    """The sorted set of a text's signature hashes (array<int>).
+    """The sorted set of a text's signatures, as coded hashes (array<int>).
 
     A text with words but without a whole chain has one signature, of all its
     words; a null text or one without a letter or digit has none.
@@ -51,14 +57,15 @@ def signatures(text: Column) -> Column:
 
     def chains(words: Column) -> Column:
         def chain(x: Column, i: Column) -> Column:
-            after = F.get(words, i + 1)
-            return F.when(F.contains(x, F.lit(_JOINT)) & after.isNotNull(), F.hash(x, F.substring_index(after, _JOINT, -1)))
+            after = F.substring_index(F.get(words, i + 1), _JOINT, -1)
+            long = F.length(F.substring_index(x, _JOINT, -1)) + F.length(after)
+            return F.when(F.contains(x, F.lit(_JOINT)) & after.isNotNull(), coded(F.hash(x, after), long))
 
         return F.array_distinct(F.filter(F.transform(words, chain), lambda h: h.isNotNull()))
 
     def found(joined: Column) -> Column:
         some = F.transform(F.array(F.split(joined, " ")), chains)[0]
-        whole = F.when(joined == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(joined)))
+        whole = F.when(joined == "", F.array().cast("array<int>")).otherwise(F.array(coded(F.hash(joined), F.length(joined))))
         return F.transform(F.array(some), lambda s: F.when(F.size(s) > 0, F.array_sort(s)).otherwise(whole))[0]
 
     # one-element arrays bind a value to a lambda's variable: it is made once, not for each access
@@ -115,11 +122,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col)).alias("signatures"))
 
 
-def edited_likeness(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's signatures against those of its edited text, of the next document, and of all documents.
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text's signatures against those of its edited text and of the next document.
 
     doc_id, n_chars, edited, signatures, edited_signatures, near_next (likeness to the
-    next document), and of near_copies: class_id, n_links, near_id. The edited text has the last half of the code points (rounded down)
+    next document) and class_id (the smallest id with an equal set). The edited text has the last half of the code points (rounded down)
     replaced by as many, or all, of the next document's first ones. Next is
     by ascending id; null ids come last, and rows that share an id follow each other by their texts; a
     sole document is its own next. Null texts count as empty; every row is kept; other columns are not read.
@@ -129,24 +136,31 @@ def edited_likeness(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     texts = texts.select(F.col(row).alias("row"), "doc_id", "text")
     prints = cut(texts.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), signatures(F.col("text")).alias("signatures")))
     order = cut(neighbours(prints.select(F.col("row").alias("doc_id"), "n_chars"))).withColumnRenamed("doc_id", "row")
-    near = near_copies(prints.select("row", "doc_id", "signatures"), threshold)
+    members, _ = classes(prints)
 
     known = texts.drop("doc_id").join(order, "row")
-    half = F.floor(F.col("n_chars") / 2)
     heads = known.select(F.col("previous_id").alias("row"), F.expr("substring(text, 1, cast(floor(previous_chars / 2) as int))").alias("head"))
-    kept = known.select("row", "next_id", half.alias("half"), F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("start"))
-    edited = kept.join(heads, "row").select("row", "next_id", F.concat("start", "head").alias("edited"))
-    edited = edited.join(prints.drop("doc_id"), "row").join(near, "row")
+    # the signatures are made again where the text is, as moving them would take more than making them
+    kept = known.select("row", "n_chars", F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("start"), signatures(F.col("text")).alias("signatures"))
+    edited = kept.join(heads, "row").select("row", "n_chars", F.concat("start", "head").alias("edited"), "signatures").join(members.select("row", "class_id"), "row")
     following = prints.join(order.select("row", F.col("previous_id").alias("before")), "row").select(F.col("before").alias("row"), F.col("signatures").alias("next_signatures"))
     found = edited.join(following, "row").select(
         "row", "n_chars", "edited", "signatures", signatures(F.col("edited")).alias("edited_signatures"),
-        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), "class_id", "n_links", "near_id",
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"), "class_id",
     )
     if row == "doc_id":
         return found.withColumnRenamed("row", "doc_id")
     return found.join(prints.select("row", "doc_id"), "row").drop("row")
 
 
+def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, class_id, c; class_id, c) of prints (row, doc_id, signatures): each row's class of equal sets, its smallest id and the row that stands for it. Sets are told apart by 128 bits."""
+    keyed = prints.select("row", "doc_id", F.xxhash64("signatures").alias("h1"), F.xxhash64(F.lit(1), F.reverse("signatures")).alias("h2"))
+    # written, so that the join is one of two plain shuffles, in which a hot class can be split
+    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("c")))
+    return keyed.join(firsts, ["h1", "h2"]).select("row", "class_id", "c"), firsts.select("class_id", "c")
+
+
 def near_copies(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """row, class_id, n_links, near_id of each row of prints (row, doc_id, signatures; rows are distinct).
 
@@ -154,27 +168,29 @@ def near_copies(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes have a Jaccard measure of `threshold` (over 0) or more to it; near_id: the smallest of their ids.
     Sets are partitioned by length; a set is at home in its own
     partition and a guest in those after it that the threshold lets its length reach. Two sets meet at
-    the first signature that both have among their smallest: of n, n - ceil(threshold * n) + 1.
-    What meets at a signature is compared in blocks, so that no pair becomes a row.
+    the first signature that both have among their first (rare ones, as a sorted set begins with these): of n, n - ceil(threshold * n) + 1.
+    What meets at a signature is compared in blocks, so that no pair becomes a row; sets that have begun with the same common
+    signature have met there already, and signatures at which only such sets meet are left out.
     """
-    key = [F.xxhash64("signatures").alias("h1"), F.xxhash64(F.lit(1), F.reverse("signatures")).alias("h2")]
-    keyed = prints.select("row", "doc_id", *key)
-    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("lead"), F.count("*").alias("n")))
-    members = keyed.join(firsts, ["h1", "h2"]).select("row", "class_id", "lead")
-    sets = cut(prints.join(firsts.select(F.col("lead").alias("row"), "class_id"), "row").where(F.size("signatures") > 0).select(F.col("row").alias("c"), "class_id", F.size("signatures").alias("size"), "signatures"))
+    members, firsts = classes(prints)
+    starts = prints.where(F.size("signatures") > 0).select(F.col("row").alias("c"), F.size("signatures").alias("size"), F.slice("signatures", 1, F.size("signatures") - F.ceil(threshold * F.size("signatures") - 1e-9).cast("int") + 1).alias("first"))
+    entry = starts.join(firsts.select("c"), "c", "left_semi").select("c", "size", F.explode("first").alias("signature"))
 
     def part(size: Column) -> Column:
         return F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / threshold))).cast("int") if threshold < 1 else size.cast("int")
 
-    length = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1
-    entry = sets.select("c", "size", F.explode(F.slice("signatures", 1, length)).alias("signature"))
     common = entry.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     reach = F.sequence(part(F.col("size")), part(F.floor(F.col("size") / threshold + 1e-9)))
-    placed = cut(entry.join(common, "signature", "left_semi").select("c", "signature", F.posexplode(reach).alias("guest", "part")))
-    cells = cut(placed.groupBy("signature", "part").agg(F.count("*").alias("n"), F.count_if(F.col("guest") == 0).alias("home")).where("n > 1 and home > 0").select("signature", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    placed = entry.join(common, "signature", "left_semi").select("c", "signature", F.posexplode(reach).alias("guest", "part"))
+    placed = cut(placed.withColumn("begin", F.min("signature").over(W.partitionBy("c", "part"))))
+    counted = placed.groupBy("signature", "part").agg(F.count("*").alias("n"), F.count_if(F.col("guest") == 0).alias("home"), F.min("begin").alias("low"), F.max("begin").alias("high"))
+    cells = cut(counted.where("n > 1 and home > 0 and (low < high or low = signature)").select("signature", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     dealt = placed.join(cells, ["signature", "part"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    # few sets have neighbours at all; only theirs are moved
+    some = lookup(cut(dealt.select("c").distinct()))
+    sets = prints.withColumnRenamed("row", "c").join(some, "c", "left_semi").join(firsts.select("c", "class_id"), "c").select("c", "class_id", F.size("signatures").alias("size"), "signatures")
     dealt = dealt.join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    item = F.struct("c", "class_id", "size", "own", (F.col("guest") > 0).alias("guest"), "signatures")
+    item = F.struct("c", "class_id", "size", "own", "begin", (F.col("guest") > 0).alias("guest"), "signatures")
     groups = dealt.groupBy("signature", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(item).alias("items")).where(F.size("items") > 1)
 
     def first(a: Column) -> Column:
@@ -187,13 +203,13 @@ def near_copies(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
             shared = F.size(F.array_intersect(a["signatures"], b["signatures"]))
             return (
                 (a["c"] != b["c"]) & ~(a["guest"] & b["guest"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
-                & (small >= threshold * large - 1e-9) & (F.get(F.array_intersect(first(a), first(b)), F.lit(0)) == F.col("signature"))
+                & ((a["begin"] != b["begin"]) | (a["begin"] == F.col("signature"))) & (small >= threshold * large - 1e-9) & (F.get(F.array_intersect(first(a), first(b)), F.lit(0)) == F.col("signature"))
                 & F.transform(F.array(shared), lambda n: n >= threshold * (small + large - n) - 1e-9)[0]
             )
 
         close = F.transform(F.filter("items", near), lambda b: b["class_id"])
-        return F.transform(F.array(close), lambda ids: F.struct(a["c"].alias("lead"), F.size(ids).cast("long").alias("n"), F.array_min(ids).alias("near")))[0]
+        return F.transform(F.array(close), lambda ids: F.struct(a["c"].alias("c"), F.size(ids).cast("long").alias("n"), F.array_min(ids).alias("near")))[0]
 
-    some = groups.select(F.inline(F.filter(F.transform("items", linked), lambda r: r["n"] > 0)))
-    links = some.groupBy("lead").agg(F.sum("n").alias("n_links"), F.min("near").alias("near_id"))
-    return members.join(cut(links), "lead", "left").select("row", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "near_id")
+    found = groups.select(F.inline(F.filter(F.transform("items", linked), lambda r: r["n"] > 0)))
+    links = found.groupBy("c").agg(F.sum("n").alias("n_links"), F.min("near").alias("near_id"))
+    return members.join(cut(links), "c", "left").select("row", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "near_id")
