@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,12 +85,13 @@ def remove(spark: SparkSession, folder: str) -> None:
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(docs, the column that tells its rows apart and sorts as the ids do).
 
-    That is the id itself, unless some id is null or repeated: then rows are
+    That is the id itself, unless some id is null or repeated or ids are no whole numbers: then rows are
     numbered in the order of the ids, null ones last, and of the texts, and written so that the
     numbers stay.
     """
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
     odd = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(id_col).isNull())
-    if odd.isEmpty():
+    if whole and odd.isEmpty():
         return docs, id_col
     return cut(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn("__row", F.monotonically_increasing_id())), "__row"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, suffix_tree, token_counts, toxicity
+from . import decontamination, language_id, license_scan, mixing, ngram_join, spotsigs, substring_dedup, suffix_tree, token_counts, toxicity, vector_queries
 from .common import cut, fold_of, numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_tree, op3_spotsigs, spotsigs_near_copies, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_suffix_tree, op3_spotsigs, spotsigs_near_copies, op4_ngram_join, op5_toxicity, op6_token_counts, op7_mixing, op8_license_scan, op9_language_id, op10_decontamination)} | vector_queries.queries()
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,4 +178,4 @@ FROM kept
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op7_mixing": OP7_SQL} | vector_queries.oracle_sql()
