@@ -2,89 +2,92 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.answering import Answerer, answer, extract
-from ..functions.text import dot
+#: Query vectors in one block, vectors in one block, and bytes of query vectors up to which all blocks are broadcast.
+QUERY_BLOCK, BLOCK, BROADCAST_BYTES = 1000, 4096, 64 << 20
 
-#: Query vectors in one block, and bytes of query vectors up to which all blocks are broadcast.
-QUERY_BLOCK, BROADCAST_BYTES = 1000, 64 << 20
-#: Vectors from which centroids are learned, at most about.
-SAMPLE = 20_000
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of vectors of one length: their ids ascending, and the vectors in that order."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            some = batch.slice(at, BLOCK)
+            some = some.take(pc.sort_indices(some.column(0)))
+            sizes = pc.list_value_length(some.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes):
+                own = some.filter(pa.array(sizes == dim))
+                flat = np.asarray(own.column(1).flatten(), np.float64)
+                ids = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([int(dim)], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["ids", "dim", "vectors"])
+
+
+def best_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of each query; ties go to the earlier row.
+
+    A matrix product finds what may be among them, with room for its rounding; their
+    scores are then summed from the first component on, as functions.text.dot does.
+    """
+    product = q @ x.T
+    if len(x) > k:
+        room = 4 * (q.shape[1] + 1) * 2.0**-53 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+        least = np.partition(product, len(x) - k, axis=1)[:, len(x) - k] - room
+        query, row = np.nonzero(product >= least[:, None])
+    else:
+        query, row = (v.ravel() for v in np.indices(product.shape))
+    score = np.zeros(len(query))
+    for j in range(q.shape[1]):
+        score += q[query, j] * x[row, j]
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    start = np.flatnonzero(np.diff(query, prepend=-1))
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return query[rank < k], row[rank < k], score[rank < k]
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest by dot product; ties go to the smaller id.
 
-    queries: query_id, embedding; corpus: vec_id, embedding. Queries are packed
-    into blocks of about QUERY_BLOCK; each row of the corpus meets each block once, in one plan,
-    and each task drops what can't be among its k best before anything is
-    shuffled. The blocks are broadcast if their counted size allows it; else
-    both sides are dealt to pairs of partitions. The work is queries times rows;
-    approximate_top_k is for query sets that grow with the corpus.
+    queries: query_id, embedding; corpus: vec_id, embedding. Vectors are packed
+    into blocks where they are read; each block of the corpus meets each block of queries, in one plan, and only
+    its k best for each query leave the task. The queries' blocks are broadcast if their counted size allows it; else
+    both sides' blocks are dealt to pairs of partitions. Vectors of another length, and
+    those that are null or hold nulls or NaN, have no product. The work is queries times rows;
+    vector_index is for query sets that grow with the corpus.
     """
+    fine = lambda df, key: df.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select(F.col(key), "embedding")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    kinds = {key: df.schema[key].dataType.simpleString() for key, df in (("query_id", queries), ("vec_id", corpus))}
     blocks = -(-size["n"] // QUERY_BLOCK) or 1
-    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("asked")).select("asked")
+    dealt = fine(queries, "query_id").repartition(blocks, F.xxhash64("query_id"))
+    asked = dealt.mapInArrow(_packed, f"ids array<{kinds['query_id']}>, dim int, vectors binary").select(F.col("ids").alias("asking"), F.col("dim").alias("of"), F.col("vectors").alias("questions"))
+    rows = fine(corpus, "vec_id").mapInArrow(_packed, f"ids array<{kinds['vec_id']}>, dim int, vectors binary")
     small = size["n"] * (size["dim"] or 0) * 8 <= BROADCAST_BYTES
-    met = corpus.crossJoin(F.broadcast(packed) if small else packed)
-    scored = met.select("vec_id", F.inline(F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), dot(x["q"], F.col("embedding")).alias("score")))))
-    return _ranked(scored, k)
+    met = rows.crossJoin(F.broadcast(asked) if small else asked).where("dim = of").drop("of")
+    out = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double"
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column(1)[i].as_py()
+                x, q = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dim) if dim else np.zeros((len(batch.column(j)[i]), 0)) for c, j in ((2, 0), (4, 3)))
+                query, row, found = best_of(q, x, k)
+                yield pa.RecordBatch.from_arrays([batch.column(3)[i].values.take(pa.array(query)), batch.column(0)[i].values.take(pa.array(row)), pa.array(found)], names=["query_id", "vec_id", "score"])
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return ranked(met.mapInArrow(score, out), k)
 
 
-def centroids(corpus: DataFrame, cells: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """Unit centroids by spherical k-means on about SAMPLE vectors at most; that bound is what the driver holds."""
-    n = corpus.count()
-    spread = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    rows = corpus.where(spread < min(1.0, SAMPLE / max(1, n))).orderBy("vec_id").select("embedding").collect()
-    x = np.array([r[0] for r in rows], np.float64)
-    if not len(x):
-        return np.zeros((1, 1))
-    c = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        for j in np.unique(own):
-            mean = x[own == j].mean(axis=0)
-            c[j] = mean / (np.linalg.norm(mean) or 1.0)
-    return c
-
-
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, share: float = 0.5) -> DataFrame:
-    """top_k among the rows of a `share` of the cells, those whose centroids are nearest to each query.
-
-    Every row of the corpus is in the cell of its nearest centroid; by default
-    there are as many cells as the root of the row count. Scores and ranks of what is met are exact.
-    Half of the cells finds 0.95 of the hits among vectors without any clusters (the test tables'); a small share does
-    where vectors are clustered.
-    Cells meet queries in a join, which Spark splits where a cell is hot.
-    """
-    rows = corpus.count()
-    c = centroids(corpus, cells or max(1, round(rows**0.5)))
-
-    def nearest(many: int):
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                near = np.stack(batch.to_list()) @ c.T if len(batch) else np.zeros((0, len(c)))
-                yield pd.Series(list(np.argsort(-near, axis=1)[:, :many].astype(np.int32)))
-
-        return run
-
-    placed = corpus.select("vec_id", "embedding", F.get(nearest(1)("embedding"), F.lit(0)).alias("cell"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(nearest(math.ceil(share * len(c)))("embedding")).alias("cell"))
-    return _ranked(placed.join(asked, "cell").select("query_id", "vec_id", dot(F.col("q"), F.col("embedding")).alias("score")), k)
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def citations(hits: DataFrame, pages: DataFrame, chars: int = 80) -> DataFrame:

@@ -59,6 +59,11 @@ def rebuild_vectors(chunks: DataFrame, root: str) -> None:
     chunks.select("document_id", "page_number", "chunk_index", "embedding").write.mode("overwrite").parquet(f"{root}/vectors")
 
 
+def read_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """The derived vector table: document_id, page_number, chunk_index, embedding."""
+    return spark.read.parquet(f"{root}/vectors")
+
+
 def index_rows(chunks: DataFrame, at: str) -> DataFrame:
     """Pointer rows for embedding_index; the vector's key is its reference."""
     key = F.concat_ws("/", "document_id", "page_number", "chunk_index")

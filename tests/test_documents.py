@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillstack import api
 from quillstack.functions import text as T
-from quillstack.functions.embedding import hashing_encoder
-from quillstack.operators import actions, catalog, extraction, fraud, guard, ops
+from quillstack.functions.embedding import embed, hashing_encoder
+from quillstack.operators import actions, catalog, extraction, fraud, guard, ops, vector_index
 from quillstack.schema import struct
 from quillstack.sources import ingest, parsers, sinks
 
@@ -142,10 +142,15 @@ def test_ingest_to_answer(spark, tmp_path):
     effective = spark.createDataFrame([("u-9", "f-1")], "user_id string, folder_id string")
     questions = spark.createDataFrame([(1, "when is the invoice total due")], "query_id long, text string")
     stored = sinks.read(spark, root, "documents")
-    found = api.ask(questions, chunks, stored, effective, "u-9", k=1).collect()
-    assert found[0]["answer"].startswith("The invoice total is due in June.")
+    sinks.rebuild_vectors(chunks.withColumn("embedding", embed(F.col("chunk"))), root)
+    vectors = sinks.read_vectors(spark, root)
+    codec = vector_index.learn(api.vector_keys(vectors))
+    vector_index.save(codec, vector_index.encoded(api.vector_keys(vectors), codec), f"{root}/index")
     hidden = spark.createDataFrame([], "user_id string, folder_id string")
-    assert api.ask(questions, chunks, stored, hidden, "u-9", k=1).count() == 0
+    for index in (None, vector_index.load(spark, f"{root}/index")):
+        found = api.ask(questions, vectors, chunks, stored, effective, "u-9", k=1, index=index).collect()
+        assert found[0]["answer"].startswith("The invoice total is due in June.") and found[0]["cited"][0]["page_number"] == 1
+        assert api.ask(questions, vectors, chunks, stored, hidden, "u-9", k=1, index=index).count() == 0
 
 
 def test_contract_reader(spark, tmp_path):

@@ -72,8 +72,57 @@ def test_every_query_block_meets_every_row(spark, monkeypatch):
     assert retrieval.top_k(asked.where("false"), vectors, 3).count() == 0 == retrieval.top_k(asked, vectors.where("false"), 3).count()
 
 
+def recall_of(spark, vectors, k=5):
+    """(share of the exact hits found, share of the vectors that are scored exactly for a query)."""
+    from pyspark.sql import functions as F
+
+    from quillstack.operators import retrieval, vector_index
+
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    codec = vector_index.learn(vectors)
+    index = vector_index.encoded(vectors, codec).persist()
+    exact = {(r["query_id"], r["vec_id"]): r["score"] for r in retrieval.top_k(asked, vectors, k).collect()}
+    near = vector_index.search(asked, vectors, index, codec, k).collect()
+    assert all(abs(exact[r["query_id"], r["vec_id"]] - r["score"]) == 0 for r in near if (r["query_id"], r["vec_id"]) in exact)
+    scored = vector_index.candidates(asked, index, codec, codec.probes, 160).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    return len(exact.keys() & {(r["query_id"], r["vec_id"]) for r in near}) / len(exact), scored / vectors.count(), codec
+
+
 def test_approximate_search_finds_nearly_all(spark):
     d = "/root/testdata/sf0.1"
+    recall, scored, _ = recall_of(spark, spark.read.parquet(f"{d}/embeddings.parquet"))
+    assert recall >= 0.9 and scored < 0.1, (recall, scored)
     exact = {(r["query_id"], r["vec_id"]) for r in registry.queries()["vector_topk"](spark, d).collect()}
     near = {(r["query_id"], r["vec_id"]) for r in registry.queries()["vector_topk_approximate"](spark, d).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_clustered_vectors_need_few_lists(spark, monkeypatch):
+    import numpy as np
+
+    from quillstack.operators import vector_index
+
+    rng = np.random.default_rng(0)
+    centers = rng.standard_normal((40, 30))
+    rows = [(k, (centers[k % 40] + 0.2 * rng.standard_normal(30)).tolist()) for k in range(4000)]
+    rows += [(4001, None), (4003, [1.0]), (4005, [None] * 30), (4007, [float("nan")] * 30)]
+    monkeypatch.setattr(vector_index, "LIST", 100)
+    monkeypatch.setattr(vector_index, "PIECE", 50)  # lists in several pieces
+    recall, scored, codec = recall_of(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert recall >= 0.9 and scored < 0.1 and len(codec.centroids) == 40 and codec.probes <= 10, (recall, scored, codec.probes)
+    vectors = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    for corpus in (vectors, vectors.where("false")):
+        codec = vector_index.learn(corpus)
+        asked = vectors.selectExpr("vec_id as query_id", "embedding")
+        assert vector_index.search(asked, corpus, vector_index.encoded(corpus, codec), codec, 5).count() == (9 if corpus is vectors else 0)
+        assert vector_index.search(asked.where("false"), corpus, vector_index.encoded(corpus, codec), codec, 5).count() == 0
+
+
+def test_top_k_ties_and_odd_vectors(spark):
+    from quillstack.operators import retrieval
+
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.5, 0.0]), ("d", None), ("e", [1.0]), ("f", [None, 1.0]), ("g", [float("nan"), 1.0]), ("h", [])]
+    corpus = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [3.0]), (4, [])], "query_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in retrieval.top_k(asked, corpus, 2).collect())
+    assert found == [(1, "a", 2.0, 1), (1, "b", 2.0, 2), (3, "e", 3.0, 1), (4, "h", 0.0, 1)]
