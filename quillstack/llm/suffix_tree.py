@@ -380,7 +380,7 @@ def states(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_byt
     return rows.mapInArrow(run, STATE)
 
 
-def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: int = 4, keep: int = 2, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, direct: int = DIRECT, districts: int = DISTRICTS) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: int = 4, keep: int = 1, discount: float = 0.7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, direct: int = DIRECT, districts: int = DISTRICTS) -> DataFrame:
     """Scores every whole text with a tree learned from the rows for which `train` holds.
 
     A-Z are lower-cased; tokens are the runs of anything but ASCII white space
