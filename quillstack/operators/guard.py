@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACCESS_LEVELS
+from . import folders as tree
 
 
 def level_rank(level: Column) -> Column:
@@ -16,37 +17,31 @@ def level_rank(level: Column) -> Column:
     return found
 
 
-def folder_tree(folders: DataFrame, max_depth: int = 100) -> DataFrame:
-    """root, id, depth for every folder and each of its ancestors' roots; roots have a null parent.
+def labelled(folders: DataFrame) -> DataFrame:
+    """folders.labels of a folder table, or the table itself if it has them already."""
+    return folders if {"low", "high"} <= set(folders.columns) else tree.labels(folders)
 
-    A folder tree is small beside the documents; the recursion runs in Spark.
-    """
-    return folders.sparkSession.sql(f"""
-        WITH RECURSIVE tree(root, id, depth) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT id, id, 0 FROM {{folders}} WHERE parent_folder_id IS NULL
-            UNION ALL
-            SELECT t.root, f.id, t.depth + 1 FROM tree t JOIN {{folders}} f ON f.parent_folder_id = t.id)
-        SELECT root, id, CAST(depth AS BIGINT) AS depth FROM tree""", folders=folders.select("id", "parent_folder_id"))
+
+def folder_tree(folders: DataFrame) -> DataFrame:
+    """root, id, depth for every folder that hangs from a root; roots have a null parent. folders: the table, or its labels."""
+    return labelled(folders).where(~F.col("orphan")).select("root", "id", "depth")
 
 
-def descendants(folders: DataFrame, max_depth: int = 100) -> DataFrame:
-    """ancestor, id: every folder under each folder, itself included."""
-    return folders.sparkSession.sql(f"""
-        WITH RECURSIVE below(ancestor, id) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT id, id FROM {{folders}}
-            UNION ALL
-            SELECT b.ancestor, f.id FROM below b JOIN {{folders}} f ON f.parent_folder_id = b.id)
-        SELECT ancestor, id FROM below""", folders=folders.select("id", "parent_folder_id"))
+def granted_ranges(user_roles: DataFrame, grants: DataFrame, labels: DataFrame, required: str = "read") -> DataFrame:
+    """user_id, low, high: the disjoint ranges of the folder tree that each user's roles grant at `required` or above."""
+    enough = grants.where(level_rank(F.col("access_level")) >= ACCESS_LEVELS.index(required))
+    direct = user_roles.join(enough, "role_id").select("user_id", F.col("folder_id").alias("id")).distinct()
+    return tree.outermost(direct.join(labels.select("id", "low", "high"), "id").drop("id"), ["user_id"])
 
 
 def effective_folders(user_roles: DataFrame, grants: DataFrame, folders: DataFrame, required: str = "read") -> DataFrame:
     """user_id, folder_id: what each user's roles grant at `required` or above, sub-folders included.
 
     user_roles: user_id, role_id. grants: role_id, folder_id, access_level.
+    folders: the table, or better its labels, which are made once for many queries. Folders on or below a cycle are in nobody's.
     """
-    enough = grants.where(level_rank(F.col("access_level")) >= ACCESS_LEVELS.index(required))
-    direct = user_roles.join(enough, "role_id").select("user_id", "folder_id").distinct()
-    return direct.join(descendants(folders), F.col("folder_id") == F.col("ancestor")).select("user_id", F.col("id").alias("folder_id")).distinct()
+    labels = labelled(folders)
+    return tree.at_or_below(granted_ranges(user_roles, grants, labels, required), labels).select("user_id", F.col("id").alias("folder_id"))
 
 
 def visible(docs: DataFrame, folders: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators import folders as tree
 from ..operators import guard
 from ..session import table
 from .registry import query
@@ -32,6 +33,17 @@ def folders(spark: SparkSession, d: str) -> DataFrame:
     return roots.union(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
 
 
+#: The folder trees' labels by session and tables: like an index they are made when folders are, not for each query.
+_LABELS: dict[tuple[str, str], DataFrame] = {}
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    key = spark.sparkContext.applicationId, d
+    if key not in _LABELS:
+        _LABELS[key] = tree.labels(folders(spark, d))
+    return _LABELS[key]
+
+
 def grants(spark: SparkSession, d: str) -> DataFrame:
     """role_id, folder_id, access_level by the rule above."""
     level = F.element_at(F.array(*map(F.lit, ("read", "write", "admin"))), F.col("n_nationkey") % 3 + 1)
@@ -47,7 +59,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mine(spark: SparkSession, d: str) -> DataFrame:
-    return guard.effective_folders(memberships(spark, d).where(F.col("user_id") == USER), grants(spark, d), folders(spark, d))
+    return guard.effective_folders(memberships(spark, d).where(F.col("user_id") == USER), grants(spark, d), labels(spark, d))
 
 
 _ROLES = """roles AS (SELECT role, row_number() OVER (ORDER BY role) - 1 AS role_id FROM (SELECT DISTINCT c_mktsegment AS role FROM customer)),
@@ -72,7 +84,7 @@ def role_grants(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, CAST(0 AS BIGINT) AS depth FROM region
     UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1 FROM nation""")
 def folder_tree(spark: SparkSession, d: str) -> DataFrame:
-    return guard.folder_tree(folders(spark, d))
+    return guard.folder_tree(labels(spark, d))
 
 
 @query(f"WITH {_ROLES} SELECT folder_id FROM effective")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,14 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a result to the folder that spark.checkpoint.dir names, which the driver and all executors share, and goes on from there. A local session without the name gets a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
