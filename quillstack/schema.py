@@ -31,6 +31,7 @@ TABLES: dict[str, str] = {
 #: Tables of the engine's own beside the model's: the unit of citation, and files that made no document.
 OWN: dict[str, str] = {
     "pages": "document_id string, page_number int, text string",
+    "raw": "storage_path string, content binary",
     "rejects": "storage_path string, reason string, detail string",
 }
 

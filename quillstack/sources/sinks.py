@@ -1,4 +1,4 @@
-"""Tables on a shared file system: append-only logs, derived tables, raw bytes."""
+"""Tables on a shared file system: append-only logs, derived tables, raw bytes. All but the derived vectors are committed by manifests (commits.Store)."""
 
 from __future__ import annotations
 
@@ -6,52 +6,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import struct
+from .commits import Batch, Conflict, Store, declared, fresh
 
+#: The table of raw files, and how often a batch is tried again after others'.
+RAW, ATTEMPTS = "raw", 5
 
-def append(df: DataFrame, root: str, table: str, partition: str | None = None) -> None:
-    """Adds rows to one of the declared tables; columns are put in the declared order and types. Nothing here rewrites a log."""
-    declared = struct(table)
-    rows = df.select(*(F.col(f.name).cast(f.dataType) for f in declared.fields), *([partition] if partition else []))
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/{table}")
 
+def append(df: DataFrame, root: str, table: str) -> None:
+    """Adds rows to one of the declared tables, in a batch of their own. Nothing here rewrites a log."""
+    batch = Store(df.sparkSession, root).batch()
+    stage(batch, df, table)
+    batch.commit()
 
-def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A declared table, with its declared schema; nothing is inferred."""
-    return spark.read.schema(struct(table)).parquet(f"{root}/{table}")
+
+def stage(batch: Batch, df: DataFrame, table: str) -> None:
+    """Rows of a declared table as a part of a batch; columns are put in the declared order and types."""
+    batch.stage(declared(df, struct(table)), table)
 
 
-def present(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """A declared table, or None if nothing was ever appended to it."""
-    try:
-        return read(spark, root, table)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The committed rows of a declared table, with its declared schema; nothing is inferred."""
+    return Store(spark, root).snapshot().read(table, struct(table))
 
 
 def append_new(df: DataFrame, root: str, table: str, keys: list[str]) -> None:
-    """Appends the rows whose keys are not in the table, one for each key: a batch that is tried again adds nothing twice."""
-    there = present(df.sparkSession, root, table)
-    rows = df.dropDuplicates(keys)
-    append(rows if there is None else rows.join(there.select(*keys), keys, "left_anti"), root, table)
+    """Appends the rows whose keys are not in the table, one for each key. Of two at once the later one is tried again, so that no key gets in twice."""
+    store = Store(df.sparkSession, root)
+    for _ in range(ATTEMPTS):
+        batch = store.batch()
+        stage(batch, fresh(df, batch.seen.read(table, struct(table)), keys), table)
+        try:
+            batch.commit(relies_on=(table,))
+            return
+        except Conflict:
+            continue
+    raise Conflict(f"{table} was changed by others {ATTEMPTS} times")
+
+
+def stage_bytes(batch: Batch, files: DataFrame) -> None:
+    """Raw files as a part of a batch, keyed by storage_path."""
+    batch.stage(files.select("storage_path", "content").dropDuplicates(["storage_path"]), RAW)
 
 
 def put_bytes(files: DataFrame, root: str) -> None:
     """Adds raw files, keyed by storage_path; a path that is there already is not written again."""
-    spark, target = files.sparkSession, f"{root}/raw"
-    rows = files.select("storage_path", "content").dropDuplicates(["storage_path"])
-    try:
-        rows = rows.join(spark.read.parquet(target).select("storage_path"), "storage_path", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("append").parquet(target)
+    store = Store(files.sparkSession, root)
+    for _ in range(ATTEMPTS):
+        batch = store.batch()
+        stage_bytes(batch, fresh(files.select("storage_path", "content"), batch.seen.read(RAW, struct(RAW)), ["storage_path"]))
+        try:
+            batch.commit(relies_on=(RAW,))
+            return
+        except Conflict:
+            continue
+    raise Conflict(f"{RAW} was changed by others {ATTEMPTS} times")
 
 
 def get_bytes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/raw")
+    return Store(spark, root).snapshot().read(RAW, struct(RAW))
 
 
 def rebuild_vectors(chunks: DataFrame, root: str) -> None:

@@ -1,16 +1,16 @@
-"""Structured Streaming: uploads, jobs, and windows over event time."""
+"""Structured Streaming: uploads and windows over event time; live.py follows jobs and workflows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..schema import struct
 from ..sources import ingest, sinks
+from ..sources.commits import Store, fresh
 from ..sources.parsers import Parser
 
 
@@ -37,60 +37,46 @@ def fresh_uploads(uploads: DataFrame, late: str = "1 day") -> DataFrame:
     return uploads.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["checksum"])
 
 
-#: Steps that a job may take.
-NEXT = {None: ("pending",), "pending": ("running", "failed"), "running": ("done", "failed"), "failed": ("pending",), "done": ()}
-
-
-def job_states(log: DataFrame) -> DataFrame:
-    """document_id, job_type, status, attempts, rejected of each job after each micro-batch.
-
-    log: document_id, job_type, status, at (seconds). State is a status and two counts for each job.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, rejected = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        for new in rows["status"]:
-            if new in NEXT[status or None]:
-                attempts += new == "pending"
-                status = new
-            else:
-                rejected += 1
-        state.update((status or "", attempts, rejected))
-        yield pd.DataFrame({"document_id": [key[0]], "job_type": [key[1]], "status": [status], "attempts": [attempts], "rejected": [rejected]})
-
-    out = "document_id string, job_type string, status string, attempts long, rejected long"
-    return log.groupBy("document_id", "job_type").applyInPandasWithState(step, out, "status string, attempts long, rejected long", "update", GroupStateTimeout.NoTimeout)
+def stream_name(checkpoint: str) -> str:
+    """A name for a stream's batches: what their numbers count within."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
 def ingest_stream(spark: SparkSession, incoming: str, root: str, folders: DataFrame, checkpoint: str, uploaded_by: str, folder: str, parsers: dict[str, Parser] | None = None) -> StreamingQuery:
     """Takes in all new files once and ends: bytes, pages, OCR results, metadata, audit rows, rejects and catalog rows of each micro-batch.
 
-    Ids follow from the content, and each sink takes only rows whose keys it
-    lacks, so that a batch which broke off between two of them can be tried
-    again. The catalog's row comes last: a document is there when all else is.
+    A micro-batch is one batch of the store (commits.Batch): its rows are in all tables or
+    in none, and if it is tried again after it was committed, nothing is written. Ids follow from the content; files
+    whose path and bytes are in the catalog already, or were rejected before, are left out at the start. If another
+    stream commits uploads meanwhile, the micro-batch fails with Conflict and is tried again.
     """
+    store = Store(spark, root)
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(incoming)
 
-    def batch(rows: DataFrame, number: int) -> None:
+    def take(rows: DataFrame, number: int) -> None:
         uploads = rows.select(
             F.col("path").alias("storage_path"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("created_at"), "content", F.lit(uploaded_by).alias("uploaded_by"), F.lit(folder).alias("folder"),
         )
-        checked = ingest.validate(uploads).persist()
+        batch = store.batch(stream_name(checkpoint), number)
+        if batch.done:
+            return
+        there = batch.seen.read("documents", struct("documents")).select("storage_path", "checksum")
+        unseen = uploads.withColumn("checksum", F.sha2("content", 256)).join(there, ["storage_path", "checksum"], "left_anti").drop("checksum")
+        checked = ingest.validate(unseen).persist()
         accepted = checked.where("reason is null").drop("reason")
         parsed = ingest.parse(accepted, parsers).persist()
-        docs, meta, homeless = ingest.catalog_rows(ingest.normalize(parsed), folders)
-        housed = ingest.normalize(parsed).join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-        sinks.put_bytes(accepted, root)
-        sinks.append_new(ingest.page_rows(housed), root, "pages", ["document_id", "page_number"])
-        sinks.append_new(ingest.ocr_rows(housed), root, "ocr_results", ["id"])
-        sinks.append_new(meta, root, "document_metadata", ["id"])
-        sinks.append_new(ingest.upload_audit(docs), root, "audit_logs", ["id"])
-        sinks.append_new(ingest.rejects(checked, parsed, homeless), root, "rejects", ["storage_path", "reason"])
-        sinks.append_new(docs, root, "documents", ["id"])
+        records = ingest.normalize(parsed)
+        docs, meta, homeless = ingest.catalog_rows(records, folders)
+        housed = records.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        rejected = fresh(ingest.rejects(checked, parsed, homeless), batch.seen.read("rejects", struct("rejects")), ["storage_path", "reason"])
+        sinks.stage_bytes(batch, fresh(accepted.select("storage_path", "content"), batch.seen.read(sinks.RAW, struct(sinks.RAW)), ["storage_path"]))
+        parts = {"pages": ingest.page_rows(housed), "ocr_results": ingest.ocr_rows(housed), "document_metadata": meta, "audit_logs": ingest.upload_audit(docs), "rejects": rejected, "documents": docs}
+        for table, rows in parts.items():
+            sinks.stage(batch, rows, table)
+        batch.commit(relies_on=("documents", "rejects", sinks.RAW))
         for df in (parsed, checked):
             df.unpersist()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
