@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import Ordered
+
 
 def recent(docs: DataFrame, when: str, key: str, limit: int) -> DataFrame:
     """The latest documents; ties go to the smaller key."""
@@ -56,6 +58,22 @@ def drift(expected: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias(key), status.alias("status"))
 
 
+def in_force(rows: DataFrame, versions: DataFrame, key: str, at: str, since: str, name: str = "version") -> DataFrame:
+    """rows with `name`: the struct of the version of their key that was in force at their time, the last that began no later; null if there was none.
+
+    An as-of join without a window for each key: rows and versions are put in one order by key and time, a
+    version before the rows of its moment, and the last version seen is carried on, across the ranges of a key with very many rows. Of versions
+    that began at once the one whose other columns sort last counts. A row without key or time has no version.
+    """
+    payload = [c for c in versions.columns if c not in (key, since)]
+    old = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("__key"), F.col(since).alias("__at"), F.lit(0).alias("__side"), F.struct(key, since, *payload).alias("__version"))
+    old = old.groupBy("__key", "__at", "__side").agg(F.max("__version").alias("__version")).withColumn("__row", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType))
+    new = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(old.schema["__version"].dataType).alias("__version"), F.struct("*").alias("__row"))
+    line = Ordered(old.unionByName(new), ["__key", "__at", "__side"]).with_last(F.when(F.col("__side") == 0, F.struct("__key", "__version")), "__last")
+    fits = (F.col("__last")["__key"] == F.col("__key")) & F.col("__at").isNotNull()
+    return line.where("__side = 1").select("__row.*", F.when(fits, F.col("__last")["__version"]).alias(name))
+
+
 def soft_deleted(docs: DataFrame, tombstones: DataFrame, key: str, when: str) -> DataFrame:
     """Latest of each document's rows and tombstones wins: is_deleted is appended, never updated."""
     rows = docs.select(key, when, F.lit(False).alias("is_deleted")).union(tombstones.select(key, when, F.lit(True)))

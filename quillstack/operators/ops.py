@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schema import TRANSITIONS
+from .ordered import Ordered
 
 
 def latest_job(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -28,6 +29,28 @@ def durations(log: DataFrame, keys: list[str], when: str, key: str) -> DataFrame
     return log.withColumn("micros", F.timestamp_diff("MICROSECOND", F.col(when), after))
 
 
+def concurrency(jobs: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """The key, at, running: how many jobs of the key run from each moment on at which that number changes.
+
+    A sweep line: starts and ends, counted by moment before they are moved, are put in one order by key and time, and
+    summed over ranges of it with what each range has to know of those before. A job runs from its start until before its
+    end; one without an end runs on; one without a start, or that ends before it starts, does not count. At one moment ends and starts are one step.
+    """
+    fine = jobs.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
+    step = lambda at, open_, by: F.struct(at.alias("at"), F.lit(open_).alias("open"), F.lit(by).cast("long").alias("by"))
+    closing = F.when(F.col(end).isNotNull(), step(F.col(end), 0, -1)).otherwise(step(F.lit(None).cast(fine.schema[end].dataType), 1, -1))
+    steps = fine.select(key, F.inline(F.array(step(F.col(start), 0, 1), closing))).groupBy(key, "open", "at").agg(F.sum("by").alias("by")).where("by <> 0")
+    # what never ends is closed after all moments, so that every key sums up to nothing and the next one begins at zero
+    line = Ordered(steps, [key, "open", "at"]).with_running_sum(F.col("by"), "running")
+    return line.where("open = 0").select(key, "at", "running")
+
+
+def peaks(running: DataFrame, key: str) -> DataFrame:
+    """The key, peak, at: the most jobs that ran at once, and since when first."""
+    most = F.max_by(F.struct("running", "at"), F.struct("running", -F.unix_micros(F.col("at").cast("timestamp"))))
+    return running.groupBy(key).agg(most.alias("m")).select(key, F.col("m.running").alias("peak"), F.col("m.at").alias("at"))
+
+
 def gaps(log: DataFrame, keys: list[str], when: str, key: str) -> DataFrame:
     """Microseconds since the previous row of the same keys; null for the first."""
     before = F.lag(when).over(W.partitionBy(*keys).orderBy(when, key))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import access, catalog, files, records, retrieval  # noqa: F401  they register themselves
+    from . import access, catalog, files, insights, records, retrieval  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

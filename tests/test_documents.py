@@ -205,9 +205,16 @@ def test_ocr_and_timestamps(spark):
     assert {tuple(r) for r in extraction.ocr_confidence(results).collect()} == {("d", 2, 0.5, 0.75), ("e", 1, None, None)}
 
 
-def test_known_passages(spark):
+def test_known_passages(spark, monkeypatch):
     passage = "one two three four five six seven eight"
-    docs = spark.createDataFrame([(1, f"x{passage}y"), (2, f"a {passage} b {passage}"), (3, "one two three four five six seven nine"), (4, None), (5, "short bit"), (6, "")], "id long, text string")
-    items = spark.createDataFrame([(10, passage), (11, "ort b"), (12, ""), (13, None), (14, "two three  four five six seven eight")], "item long, passage string")
-    found = fraud.known_passages(docs, items, "id", "text", "item", "passage").distinct().collect()
-    assert {tuple(r) for r in found} == {(1, 10), (2, 10), (5, 11)}
+    docs = spark.createDataFrame([(1, f"x{passage}y"), (2, f"a {passage} b {passage}"), (3, "one two three four five six seven nine"), (4, None), (5, "short bit"), (6, ""), (7, "a b c"), (2, "another row of two")], "id long, text string")
+    items = spark.createDataFrame([(10, passage), (11, "ort b"), (12, ""), (13, None), (14, "two three  four five six seven eight"), (15, "wo three fou"), (16, "hort bi"), (17, "b c"), (18, "our f"), (19, "c"), (20, " row of "), (21, "c"), (22, "  ")], "item long, passage string")
+    texts, known = [r for r in docs.collect() if r["text"]], [r for r in items.collect() if r["passage"]]
+    want = {(d["id"], i["item"]) for d in texts for i in known if i["passage"] in d["text"]}
+    assert {(1, 10), (2, 10), (5, 11), (1, 15), (5, 16), (7, 17), (1, 18), (7, 19), (7, 21), (2, 20)} <= want and (3, 10) not in want
+    for limit in (fraud.PASSAGE_BYTES, 0):  # broadcast, and by shuffle
+        monkeypatch.setattr(fraud, "PASSAGE_BYTES", limit)
+        assert {tuple(r) for r in fraud.known_passages(docs, items, "id", "text", "item", "passage").distinct().collect()} == want
+    long = items.where("item = 10")
+    assert {tuple(r) for r in fraud.known_passages(docs, long, "id", "text", "item", "passage").distinct().collect()} == {(1, 10), (2, 10)}
+    assert fraud.known_passages(docs, items.where("false"), "id", "text", "item", "passage").count() == 0 == fraud.known_passages(docs.where("false"), items, "id", "text", "item", "passage").count()
