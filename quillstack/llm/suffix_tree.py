@@ -67,9 +67,29 @@ class Tree:
     kinds: int = 0
 
 
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """A stable sorting order. Keys are sorted with their places in the lowest bits, which is faster than sorting places; should keys differ only in bits that this takes, places are sorted."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    s = keys[order]
+    return order if (s[1:] >= s[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def shrink(counts: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes, squeezed."""
+    most = int(counts.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + squeeze(counts.astype(kind))
+
+
+def grow(data: bytes) -> np.ndarray:
+    return stretch(data[1:], np.dtype(f"u{data[0]}")).astype(np.int64)
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys ascending, and each place's among them."""
-    order = np.argsort(keys)
+    order = ascending(keys)
     s = keys[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
     kind = np.empty(len(keys), np.int32)
@@ -117,10 +137,10 @@ class Chunk:
         self.context_at = {2: np.flatnonzero(place >= 1).astype(np.int32)}  # tokens that have a context of n - 1 tokens
         self.hash = self.keys[1][self.kind[1]]  # of the n-gram of the last level that ends at each token
         if upto >= 1:
-            self.total[1] = self._totals(1, np.int64)
+            self.total[1] = self._totals(1)
             for n in range(2, upto + 1):
                 self._level(n)
-                self.total[n] = self._totals(n, np.int64)
+                self.total[n] = self._totals(n)
             if upto <= tree.depth:
                 self._level(upto + 1)
 
@@ -128,9 +148,10 @@ class Chunk:
         """Occurrences from which a context of n - 1 tokens holds a continuation."""
         return 1 if n == 2 else self.tree.keep
 
-    def _totals(self, level: int, dtype) -> np.ndarray:
-        parts = [stretch(x, dtype) for x in self.got[level]["totals"].to_pylist()] if level in self.got else []
-        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+    def _totals(self, level: int) -> np.ndarray:
+        """Of n-grams (level n): counts; of contexts (level -n): STANDING."""
+        parts = [unpacked(x, level, STANDING) for x in self.got[level]["totals"].to_pylist()] if level in self.got else []
+        return np.concatenate(parts) if parts else np.zeros(0, STANDING if level < 0 else np.int64)
 
     def _owned(self, n: int) -> np.ndarray:
         sizes = np.diff(self.bounds(self.keys[n]))
@@ -142,13 +163,14 @@ class Chunk:
         """Finds the n-grams to ask for: their context is considered, and its last n - 1 tokens are held by some state."""
         before = self.kind[n - 1]
         # of the (n - 1)-gram that ends at each token, as far as it matters; the last one is for what was not asked for
-        often = np.append(np.minimum(self.total[n - 1], self.tree.least), 0).astype(np.int32)[before]
+        often = np.append(self.total[n - 1], 0)
+        considered, held = often >= self.tree.least, often >= self._keep(n)
         at = self.context_at[n]
-        self.context_at[n] = at = at[often[at - 1] >= self.tree.least]
+        self.context_at[n] = at = at[considered[before[at - 1]]]
         here = np.zeros(len(before), bool)
         here[at] = True
         self.context_at[n + 1] = at[here[at - 1]]
-        at = at[often[at] >= self._keep(n)]
+        at = at[held[before[at]]]
         hashes = wh.mix(self.hash[at - 1] * np.uint64(wh.FIRST) + self.keys[1][self.kind[1][at]])
         # the bucket's bits and 32 more tell n-grams apart
         self.keys[n], kind = distinct(hashes & ~np.uint64((1 << (32 - self.tree.bits)) - 1))
@@ -169,7 +191,9 @@ class Chunk:
 
     def contexts(self, n: int) -> np.ndarray:
         """Kinds of (n - 1)-grams that are considered contexts here."""
-        return np.unique(self.kind[n - 1][self.context_at[n] - 1])
+        seen = np.zeros(len(self.keys[n - 1]), bool)
+        seen[self.kind[n - 1][self.context_at[n] - 1]] = True
+        return np.flatnonzero(seen)
 
     def tallies(self, n: int) -> np.ndarray:
         """TALLY of each of contexts(n), from the held n-grams that this chunk answers for."""
@@ -200,7 +224,7 @@ class Chunk:
         length, discount = np.zeros(len(p), np.int32), self.tree.discount
         for n in range(2, self.tree.depth + 2):
             standing = np.zeros(len(self.keys[n - 1]), STANDING)
-            standing[self.contexts(n)] = self._totals(-n, STANDING)
+            standing[self.contexts(n)] = self._totals(-n)
             at = self.context_at[n]
             context = self.kind[n - 1][at - 1]
             use = standing["kinds"][context] > 0
@@ -221,7 +245,7 @@ class Chunk:
             used = np.flatnonzero(np.diff(bounds)).tolist()
             out["bucket"] += used
             out["keys"] += [squeeze(keys[bounds[b] : bounds[b + 1]], ascending=True) for b in used]
-            out["counts"] += [squeeze(counts[bounds[b] : bounds[b + 1]]) for b in used]
+            out["counts"] += [packed(counts[bounds[b] : bounds[b + 1]], level) for b in used]
             out["level"] += [level] * len(used)
         out["chunk"] = [self.id] * len(out["bucket"])
         return out
@@ -234,13 +258,24 @@ class Chunk:
         return self.told(levels)
 
 
-def _merged(rows: pa.Table, kind: np.dtype | type) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def packed(values: np.ndarray, level: int) -> bytes:
+    """Counts of n-grams, or TALLY or STANDING of contexts (levels under 0)."""
+    return squeeze(values) if level < 0 else shrink(values)
+
+
+def unpacked(data: bytes, level: int, kind: np.dtype) -> np.ndarray:
+    return stretch(data, kind) if level < 0 else grow(data)
+
+
+def _merged(rows: pa.Table, level: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lengths of the rows' arrays, all keys and counts, an order that sorts the keys, starts of equal ones in it, and each one's key's place among the distinct."""
     keys = [stretch(x, np.uint64, ascending=True) for x in rows["keys"].to_pylist()]
     sizes = [len(x) for x in keys]
     keys = np.concatenate(keys)
-    counts = np.concatenate([stretch(x, kind) for x in rows["counts"].to_pylist()])
-    order, first = wh.groups(keys)
+    counts = np.concatenate([unpacked(x, level, TALLY) for x in rows["counts"].to_pylist()])
+    order = ascending(keys)
+    s = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     which = np.empty(len(keys), np.int64)
     which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     return sizes, keys, counts, order, first, which
@@ -266,7 +301,7 @@ def _answer(rows: pa.Table) -> dict:
     """A bucket's answers: each asker's keys get their totals over all, in the order in which they were told; one asker owns each."""
     out: dict = {"chunk": [], "level": [], "bucket": [], "totals": [], "owned": [], "tokens": [], "kinds": []}
     for level, own in _by_level(rows):
-        sizes, _, counts, order, first, which = _merged(own, TALLY if level < 0 else np.uint64)
+        sizes, _, counts, order, first, which = _merged(own, level)
         total = _sums(counts, order, first)
         if level < 0:
             good = total["part"] >= 0
@@ -278,7 +313,7 @@ def _answer(rows: pa.Table) -> dict:
         owner[order[first]] = True
         ends = np.cumsum(sizes)
         for a, b in zip(ends - sizes, ends, strict=True):
-            out["totals"].append(squeeze(answers[which[a:b]]))
+            out["totals"].append(packed(answers[which[a:b]], level))
             out["owned"].append(squeeze(np.packbits(owner[a:b])) if level > 1 else b"")
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
@@ -293,14 +328,14 @@ def _relay_asks(rows: pa.Table, bits: int) -> dict:
     """A relay's own rows of TOLD: its chunks' keys and sums, to the buckets of its district."""
     out: dict = {"bucket": [], "chunk": [], "level": [], "keys": [], "counts": []}
     for level, own in _by_level(rows):
-        _, keys, counts, order, first, _ = _merged(own, TALLY if level < 0 else np.uint64)
+        _, keys, counts, order, first, _ = _merged(own, level)
         keys, counts = keys[order][first], _sums(counts, order, first)
         bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
         start = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(start[1:], len(bucket))
         out["bucket"] += bucket[start].tolist()
         out["keys"] += [squeeze(keys[a:b], ascending=True) for a, b in zip(start, ends, strict=True)]
-        out["counts"] += [squeeze(counts[a:b]) for a, b in zip(start, ends, strict=True)]
+        out["counts"] += [packed(counts[a:b], level) for a, b in zip(start, ends, strict=True)]
         out["level"] += [level] * len(start)
     out["chunk"] = [rows["relay"][0].as_py()] * len(out["bucket"])
     return out
@@ -313,8 +348,8 @@ def _relay_answers(rows: pa.Table, got: pa.Table) -> dict:
         return out
     answered = dict(_by_level(got))
     for level, own in _by_level(rows):
-        sizes, _, _, order, first, which = _merged(own, TALLY if level < 0 else np.uint64)
-        answers = [stretch(x, STANDING if level < 0 else np.int64) for x in answered[level]["totals"].to_pylist()]
+        sizes, _, _, order, first, which = _merged(own, level)
+        answers = [unpacked(x, level, STANDING) for x in answered[level]["totals"].to_pylist()]
         lengths, answers = [len(x) for x in answers], np.concatenate(answers)
         owner = np.zeros(len(which), bool)
         if level > 1:  # what the relay owns, the first of its chunks does
@@ -322,7 +357,7 @@ def _relay_answers(rows: pa.Table, got: pa.Table) -> dict:
             owner[order[first]] = np.concatenate(owned).astype(bool)
         ends = np.cumsum(sizes)
         for a, b in zip(ends - sizes, ends, strict=True):
-            out["totals"].append(squeeze(answers[which[a:b]]))
+            out["totals"].append(packed(answers[which[a:b]], level))
             out["owned"].append(squeeze(np.packbits(owner[a:b])) if level > 1 else b"")
         out["chunk"] += own["chunk"].to_pylist()
         out["bucket"] += own["bucket"].to_pylist()
