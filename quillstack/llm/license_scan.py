@@ -200,6 +200,15 @@ class TokenAutomaton:
         return kept
 
 
+def mandatory(template: str) -> str:
+    """A template without its optional parts, however nested and however many lines they have, and without its marks."""
+    inner = re.compile(r"<<opt>>((?!<<opt>>|<<end>>).)*<<end>>", re.DOTALL)
+    before = None
+    while before != template:
+        before, template = template, inner.sub(" ", template)
+    return re.sub(r"<<.*?>>", " ", template, flags=re.DOTALL)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, phrases: dict[str, str] | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_words, the base phrases' places and labels, and the accepted template spans.
 
@@ -216,8 +225,10 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None =
         base = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
         # texts without the last word of any phrase or a telling word of a template need no closer look
         last = {p[-1] for p, _ in base}
-        tell = {max(re.sub(r"<<opt>>.*?<<end>>|<<.*?>>", " ", t).encode().translate(TABLE).split(), key=len) for forms in templates.values() for t in forms}
-        probe = re.compile(b"|".join(sorted(map(re.escape, last | tell))))
+        must = [mandatory(t).encode().translate(TABLE).split() for forms in templates.values() for t in forms]
+        tell = {max(words, key=len) for words in must if words}
+        # a template without a mandatory word may stand in any text
+        probe = re.compile(b"|".join(sorted(map(re.escape, last | tell))) if all(must) else b"")
 
         def rows(texts: list) -> list:
             out = []

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .chunks import arrow_schema, squeeze, stretch
-from .common import cut, lookup, pieces
+from .common import cut, lookup, numbered, pieces
 
 #: Documents in a block of such a comparison.
 BLOCK = 512
@@ -409,3 +409,19 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     groups = everyone.join(labels.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     groups = groups.select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return Join(members, links, groups)
+
+
+def row_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, class_id, group_id, n_links of every row, whatever its id.
+
+    Rows that share an id, or have none, are separate documents: their class and group are the id of
+    the first row there, by id (null ones last) and then by text, and null if that has no id. Ids may be of any type.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, row = numbered(plain, "id", "text")
+    groups = ngram_join(rows, n, threshold, recall, row, "text").groups
+    if row != "id":
+        ids = rows.select(F.col(row).alias("row"), "id")
+        for c in ("class_id", "group_id", "doc_id"):
+            groups = groups.join(ids.select(F.col("row").alias(c), F.col("id").alias(f"own_{c}")), c).drop(c).withColumnRenamed(f"own_{c}", c)
+    return groups.select(F.col("doc_id").alias(id_col), "class_id", "group_id", "n_links")

@@ -303,6 +303,20 @@ def test_ngram_join_of_nothing(frame):
     assert [r["group_id"] for r in ngram_join.ngram_join(frame([(3, None)])).groups.collect()] == [3]
 
 
+def test_ngram_join_of_odd_ids(spark, frame, words):
+    """Repeated ids of unequal texts, null ids and ids that are no numbers: each row counts for itself."""
+    rng = random.Random(14)
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    base = make(200)
+    near = base.replace(base.split()[50], "edited", 1)
+    rows = [(1, base), (1, make(90)), (2, near), (None, base), (None, make(40)), (3, None), (1, base)]
+    found = Counter(tuple(r) for r in ngram_join.row_groups(frame(rows)).collect())
+    assert found == Counter({(1, 1, 1, 1): 2, (1, 1, 1, 0): 1, (2, 2, 1, 1): 1, (None, 1, 1, 1): 1, (None, None, None, 0): 1, (3, 3, 3, 0): 1})
+    named = spark.createDataFrame([("x", base), ("b", near), ("a", "other words here")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in ngram_join.row_groups(named).collect()) == [("a", "a", "a", 0), ("b", "b", "b", 1), ("x", "x", "b", 1)]
+    assert ngram_join.row_groups(frame([])).count() == 0
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9995), (0.8, 0.9), (0.5, 0.9)):
         bands, rows = ngram_join.bands_for(threshold, recall)

@@ -144,6 +144,17 @@ WORDINGS = [
 ]
 
 
+def test_license_templates_of_several_lines(frame):
+    templates = {"own": ("alpha beta <<opt>>a very\nlongwordinside line\nor two<<end>> gamma",), "nested": ("delta <<opt>>one <<opt>>twentytwo<<end>>\nthree<<end>> epsilon",)}
+    docs = frame([(1, "alpha beta gamma"), (2, "alpha beta a very longwordinside line or two gamma"), (3, "alpha gamma"), (4, "delta epsilon"), (5, None)])
+    found = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs, templates=templates).collect()}
+    assert found == {1: "own", 2: "own", 3: "", 4: "nested", 5: ""}
+    assert license_scan.mandatory(templates["nested"][0]).split() == ["delta", "epsilon"]
+    # no mandatory word: any text may hold it, and those that do are looked at
+    free = license_scan.license_scan(docs, templates={"free": ("<<opt>>alpha<<end>> <<opt>>beta<<end>>",)})
+    assert {r["doc_id"]: r["n_words"] for r in free.collect()} == {1: 3, 2: 9, 3: 2, 4: 2, 5: 0}
+
+
 def test_license_wordings(frame):
     found = {r["doc_id"]: r for r in license_scan.license_scan(frame(list(enumerate(t for t, _ in WORDINGS)))).collect()}
     for k, (text, labels) in enumerate(WORDINGS):
