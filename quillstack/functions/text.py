@@ -28,6 +28,28 @@ def storage_uri(uri: Column) -> Column:
     return F.struct(*(F.when(known, F.regexp_extract(uri, parts, i)).alias(n) for i, n in ((1, "scheme"), (2, "bucket"), (3, "key"))))
 
 
+def hadoop_path(uri: Column, local_root: str) -> Column:
+    """Where Spark finds what a storage URI names: minio:// and s3:// in the S3 file system, local:// under a root; other paths as they are."""
+    parts = storage_uri(uri)
+    key = F.concat(parts["bucket"], F.lit("/"), parts["key"])
+    return F.when(parts["scheme"].isin("minio", "s3"), F.concat(F.lit("s3a://"), key)).when(parts["scheme"] == "local", F.concat(F.lit(local_root.rstrip("/") + "/"), key)).otherwise(uri)
+
+
+def structure(text: Column) -> Column:
+    """'structured', 'semi' or 'unstructured', by what stands in a text.
+
+    Tags make it semi-structured. Two lines or more that all hold the same number of tabs, semicolons or bars, one at least, are a
+    table. A text half of whose lines begin with a name and a colon is semi-structured. Blank lines don't count; null and blank texts are unstructured.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    count = lambda x, d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
+    table = lambda ls, d: (count(F.get(ls, F.lit(0)), d) > 0) & F.forall(ls, lambda x: count(x, d) == count(F.get(ls, F.lit(0)), d))
+    named = lambda ls: F.size(F.filter(ls, lambda x: F.regexp_like(x, F.lit("^[A-Za-z][^:\n]{0,40}: "))))
+    kind = lambda ls: F.when((F.size(ls) > 1) & (table(ls, "\t") | table(ls, ";") | table(ls, "|")), "structured").when((F.size(ls) > 0) & (2 * named(ls) >= F.size(ls)), "semi")
+    found = F.transform(F.array(lines), kind)[0]
+    return F.coalesce(F.when(F.regexp_like(text, F.lit("<[A-Za-z!/][^>]*>")), "semi"), found, F.lit("unstructured"))
+
+
 def words(text: Column) -> Column:
     """Words between runs of white space; an empty text has none."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -79,6 +79,16 @@ def audit(df: DataFrame, action: str, user: Column, document: Column, details: C
     return rows.select(F.sha2(F.concat_ws("|", "document_id", "user_id", "action", "details", F.col("logged_at").cast("string")), 256).alias("id"), "*")
 
 
+def progress(log: DataFrame, doc: str, job: str, status: str, order: list[str], wanted: list[str]) -> DataFrame:
+    """doc, n_done, n_failed, processing: how far each document is, from the last row of each of its jobs.
+
+    processing is 'failed' if some wanted job's last row is, 'indexed' if all wanted jobs are done, else 'processing'.
+    """
+    last = latest_job(log.where(F.col(job).isin(wanted)), [doc, job], order)
+    counts = last.groupBy(doc).agg(F.count_if(F.col(status) == "done").alias("n_done"), F.count_if(F.col(status) == "failed").alias("n_failed"))
+    return counts.withColumn("processing", F.when(F.col("n_failed") > 0, "failed").when(F.col("n_done") == len(set(wanted)), "indexed").otherwise("processing"))
+
+
 def complete(jobs: DataFrame, doc: str, state: str, wanted: list[str]) -> DataFrame:
     """doc, is_complete: whether every wanted state has been seen."""
     seen = F.size(F.collect_set(F.when(F.col(state).isin(wanted), F.col(state))))

@@ -106,6 +106,18 @@ def context(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("context"))
 
 
+def prompts(hits: DataFrame, pages: DataFrame, questions: DataFrame, chars: int = 1000, instruction: str = "Answer from the sources, and name them by their numbers.") -> DataFrame:
+    """query_id, prompt: the instruction, the sources in rank order, numbered, each with its document and page and the start of its text, and the question.
+
+    questions: query_id, text. At most k sources meet in a group; a hit whose page is not there is no source.
+    """
+    found = hits.join(pages, ["document_id", "page_number"]).select("query_id", F.struct("rank", "document_id", "page_number", F.substring("text", 1, chars).alias("text")).alias("source"))
+    ordered = found.groupBy("query_id").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    line = lambda x, k: F.concat(F.lit("["), k + 1, F.lit("] document "), x["document_id"], F.lit(", page "), x["page_number"], F.lit(": "), x["text"])
+    asked = ordered.join(questions.select("query_id", "text"), "query_id")
+    return asked.select("query_id", F.concat_ws("\n", F.lit(instruction), F.array_join(F.transform("sources", line), "\n"), F.concat(F.lit("Question: "), "text")).alias("prompt"))
+
+
 def answers(hits: DataFrame, pages: DataFrame, questions: DataFrame | None = None, answerer: Callable[[], Answerer] | None = None) -> DataFrame:
     """query_id, answer, cited: what the answerer makes of the question and the hits' texts, with (document, page, score) of all hits.
 

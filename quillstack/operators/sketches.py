@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: log2 of the HLL registers (error about 1.04 / root of them), size of the KLL sketches, counters kept a row.
-HLL_BITS, KLL_K, COUNTERS = 12, 400, 64
+HLL_BITS, KLL_K, COUNTERS = 14, 400, 64
 
 
 def _most(pairs: Column, keep: int) -> Column:

@@ -72,11 +72,15 @@ def docs_with_folder(spark: SparkSession, d: str) -> DataFrame:
     return with_folder(spark, d).select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query(r"""SELECT doc_id, n_chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_words, CAST(1 AS BIGINT) AS page_count FROM documents""")
+@query(r"""SELECT doc_id, n_chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS n_words, coalesce(n, 1) AS page_count, coalesce(bytes, n_chars) AS page_chars
+    FROM documents LEFT JOIN (SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS bytes FROM conversations GROUP BY 1) ON doc_id = conv_id""")
 def docs_with_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their pages' metadata, added up of page rows. Conversations' turns stand for pages of the documents with their ids; the others have one page."""
     from ..functions.text import words
 
-    return table(spark, d, "documents").select("doc_id", "n_chars", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(1).cast("long").alias("page_count"))
+    meta = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    joined = table(spark, d, "documents").join(meta, "doc_id", "left")
+    return joined.select("doc_id", "n_chars", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce("n", F.lit(1)).cast("long").alias("page_count"), F.coalesce("chars", "n_chars").cast("long").alias("page_chars"))
 
 
 @query("""SELECT o_orderkey, c_name, n_name, coalesce(f.n, 0) AS n_fields, f.least / 100.0::DOUBLE AS min_confidence FROM orders

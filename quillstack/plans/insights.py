@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, extraction, ops, sketches
+from ..operators import catalog, extraction, hashtree, near, ops, sketches
+from ..schema import JOB_TYPES
 from ..session import table
 from .registry import query
 
@@ -104,3 +105,44 @@ def _reviewed(spark: SparkSession, d: str) -> DataFrame:
 def calibrated_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Isotonic confidences for each rule from reviews. Labels stand for reviews, the text's length for the rules' raw score, languages for rules."""
     return extraction.calibration(_reviewed(spark, d), "rule", "hundredths", "right").select("rule", "hundredths", "confidence")
+
+
+@query()
+def near_duplicate_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose visible texts have SimHashes within 3 bits; tests hold it against all pairs."""
+    pages = table(spark, d, "pages").select("page_id", near.visible_text(F.col("html")).alias("text"))
+    return near.near_duplicates(pages, "page_id", "text")
+
+
+@query("""WITH jobs AS (SELECT user_id, event_id, ts, ['ocr', 'embedding', 'extraction', 'fraud_check'][CAST(event_id % 4 AS INTEGER) + 1] AS job,
+        CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' ELSE 'done' END AS status FROM events),
+    last AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY user_id, job ORDER BY ts DESC, event_id DESC) = 1),
+    counts AS (SELECT user_id, count(*) FILTER (WHERE status = 'done') AS n_done, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM last GROUP BY 1)
+    SELECT *, CASE WHEN n_failed > 0 THEN 'failed' WHEN n_done = 4 THEN 'indexed' ELSE 'processing' END AS processing FROM counts""")
+def processing_status(spark: SparkSession, d: str) -> DataFrame:
+    """How far each document is. Users stand for documents, event ids and types for jobs and their statuses."""
+    kinds = F.create_map(*(F.lit(x) for pair in (("error", "failed"), ("signup", "pending"), ("click", "running")) for x in pair))
+    job = F.element_at(F.array(*map(F.lit, JOB_TYPES)), (F.col("event_id") % 4 + 1).cast("int"))
+    log = table(spark, d, "events").select("user_id", "event_id", "ts", job.alias("job"), F.coalesce(kinds[F.col("event_type")], F.lit("done")).alias("status"))
+    return ops.progress(log, "user_id", "job", "status", ["ts", "event_id"], list(JOB_TYPES))
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id AS id FROM documents), b AS (SELECT DISTINCT vec_id AS id FROM embeddings)
+    SELECT coalesce(a.id, b.id) // 64 AS node, count(a.id) AS n_expected, count(b.id) AS n_indexed FROM a FULL OUTER JOIN b ON a.id = b.id
+    GROUP BY 1 HAVING count(*) FILTER (WHERE a.id IS NULL OR b.id IS NULL) > 0""")
+def drift_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The ranges of 64 ids in which catalog and index differ, by their hash trees."""
+    leaf = F.floor(F.col("id") / 64)
+    a = hashtree.tree(table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct(), leaf, F.col("id"))
+    b = hashtree.tree(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")).distinct(), leaf, F.col("id"))
+    return hashtree.differing(a, b).select("node", F.col("n_a").alias("n_expected"), F.col("n_b").alias("n_indexed"))
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id AS id FROM documents), b AS (SELECT DISTINCT vec_id AS id FROM embeddings)
+    SELECT id, 'missing' AS status FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'orphan' FROM b WHERE id NOT IN (SELECT id FROM a)""")
+def drift_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The ids that only the catalog or only the index has; ranges that agree are left out before the join."""
+    leaf = F.floor(F.col("id") / 64)
+    expected, indexed = table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    trees = [hashtree.tree(x.distinct(), leaf, F.col("id")) for x in (expected, indexed)]
+    return hashtree.drift(expected, indexed, "id", leaf, hashtree.differing(*trees))

@@ -65,16 +65,36 @@ def upload_validation(spark: SparkSession, d: str) -> DataFrame:
     return ingest.validate(uploads, max_bytes=10_000, min_bytes=200).select("doc_id", F.coalesce("reason", F.lit("ok")).alias("verdict"))
 
 
-@query("""SELECT 'page' AS kind, page_id AS id, CASE WHEN html LIKE '%<%>%' THEN 'semi' ELSE 'unstructured' END AS class FROM pages
-    UNION ALL SELECT 'document', doc_id, 'unstructured' FROM documents
+_LINES = "list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')"
+_SAME = " OR ".join(f"(len(list_distinct(list_transform(ls, lambda x: len(x) - len(replace(x, {d}, ''))))) = 1 AND len(ls[1]) > len(replace(ls[1], {d}, '')))" for d in ("chr(9)", "';'", "'|'"))
+
+
+@query(f"""WITH texts AS (SELECT 'page' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
+    cut AS (SELECT *, {_LINES} AS ls FROM texts)
+    SELECT kind, id, CASE WHEN regexp_matches(t, '<[A-Za-z!/][^>]*>') THEN 'semi' WHEN len(ls) > 1 AND ({_SAME}) THEN 'structured'
+        WHEN len(ls) > 0 AND 2 * len(list_filter(ls, lambda x: regexp_matches(x, '^[A-Za-z][^:\n]{{0,40}}: '))) >= len(ls) THEN 'semi' ELSE 'unstructured' END AS class FROM cut
     UNION ALL SELECT 'conversation', conv_id, 'structured' FROM (SELECT DISTINCT conv_id FROM conversations WHERE role IS NOT NULL)""")
 def structure_class(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.when(F.col("html").like("%<%>%"), "semi").otherwise("unstructured").alias("class"))
-    docs = table(spark, d, "documents").select(F.lit("document"), "doc_id", F.lit("unstructured"))
+    """Pages and documents by what stands in them; conversations are rows of roles and turns."""
+    pages = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), T.structure(F.col("html")).alias("class"))
+    docs = table(spark, d, "documents").select(F.lit("document"), "doc_id", T.structure(F.col("text")))
     turns = table(spark, d, "conversations").where("role is not null").select("conv_id").distinct()
     return pages.union(docs).union(turns.select(F.lit("conversation"), "conv_id", F.lit("structured")))
 
 
+_SCHEMES = {"en": "minio", "de": "local", "fr": "s3", "es": "ftp"}
+
+
+@query("""WITH made AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'minio' WHEN 'de' THEN 'local' WHEN 'fr' THEN 's3' ELSE 'ftp' END AS scheme, source AS bucket, 'texts/' || doc_id || '.txt' AS key FROM documents)
+    SELECT doc_id, scheme, bucket, key, CASE WHEN scheme IN ('minio', 's3') THEN 's3a://' || bucket || '/' || key WHEN scheme = 'local' THEN '/store/' || bucket || '/' || key
+        ELSE scheme || '://' || bucket || '/' || key END AS path FROM made""")
+def storage_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Storage URIs, made of documents' sources and ids, in their parts, and where Spark finds them."""
+    scheme = F.coalesce(F.create_map(*(F.lit(x) for pair in _SCHEMES.items() for x in pair))[F.col("lang")], F.lit("ftp"))
+    made = table(spark, d, "documents").select("doc_id", F.concat(scheme, F.lit("://"), "source", F.lit("/texts/"), "doc_id", F.lit(".txt")).alias("uri"))
+    return made.select("doc_id", T.storage_uri(F.col("uri")).alias("p"), T.hadoop_path(F.col("uri"), "/store").alias("path")).select("doc_id", "p.*", "path")
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Queries, every row whose id is divisible by 100, and the corpus: all rows, so that a query's own row is a hit."""
     vectors = table(spark, d, "embeddings")
@@ -159,6 +179,16 @@ def rag_answer(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "answer", F.array_join(F.transform("cited", lambda x: F.concat_ws(":", x["document_id"], x["page_number"])), " ").alias("cited"))
 
 
+@query(f"""WITH {_ALL}, cited AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, vec_id, text FROM hits JOIN documents ON vec_id = doc_id)
+    SELECT query_id, 'Answer from the sources, and name them by their numbers.' || chr(10) || string_agg('[' || n || '] document ' || vec_id || ', page 1: ' || substr(cited.text, 1, 200), chr(10) ORDER BY n)
+        || chr(10) || 'Question: ' || any_value(substr(q.text, 1, 80)) AS prompt
+    FROM cited JOIN documents q ON cited.query_id = q.doc_id GROUP BY query_id""")
+def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each question with its numbered sources; the start of a query's own document stands for the question."""
+    questions = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+    return retrieval.prompts(on_page_one(hits(spark, d)), pages(spark, d), questions, chars=200)
+
+
 @query("""SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u
     JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = (SELECT min(turn) FROM conversations n WHERE n.conv_id = u.conv_id AND n.turn > u.turn)
     WHERE u.role = 'user' AND a.role = 'assistant'""")

@@ -218,3 +218,55 @@ def test_known_passages(spark, monkeypatch):
     long = items.where("item = 10")
     assert {tuple(r) for r in fraud.known_passages(docs, long, "id", "text", "item", "passage").distinct().collect()} == {(1, 10), (2, 10)}
     assert fraud.known_passages(docs, items.where("false"), "id", "text", "item", "passage").count() == 0 == fraud.known_passages(docs.where("false"), items, "id", "text", "item", "passage").count()
+
+
+def test_vectors_are_rebuilt_where_chunks_changed(spark, tmp_path):
+    from quillstack.sources import vectors
+    from quillstack.sources.commits import Store
+
+    store, seen = Store(spark, str(tmp_path / "lake")), spark.sparkContext.accumulator(0)
+
+    def counting():
+        plain = hashing_encoder()
+
+        def encode(texts):
+            seen.add(len(texts))
+            return plain(texts)
+
+        return encode
+
+    rows = [(f"d{k}", 1 + k % 3, k % 5, f"text of chunk {k}") for k in range(2000)]
+    frame_of = lambda rows: spark.createDataFrame(rows, "document_id string, page_number int, chunk_index int, chunk string").repartition(3)
+    stored = lambda: {tuple(r)[:3]: r["embedding"] for r in vectors.read(store).collect()}
+
+    def embedded(rows):
+        before = seen.value
+        parts = vectors.rebuild(store, frame_of(rows), counting)
+        assert stored() == {r[:3]: hashing_encoder()([r[3] or ""])[0].tolist() for r in rows}
+        return len(parts), seen.value - before
+
+    assert embedded(rows) == (vectors.PARTS, 2000)
+    number = store.last()
+    assert embedded(rows[::-1]) == (0, 0) and store.last() == number  # the same chunks in another order
+    rows[7] = (*rows[7][:3], "changed")
+    parts, n = embedded(rows)
+    assert parts == 1 and n < 100
+    parts, n = embedded(rows[:-1])  # one has vanished
+    assert parts == 1 and n < 100
+    parts, n = embedded([*rows[:-1], ("new", 1, 0, None), ("new", 1, 1, "x")])
+    assert parts <= 2 and n < 200
+    assert embedded([]) == (vectors.PARTS, 0) and embedded([]) == (0, 0)
+
+
+def test_hash_trees(spark):
+    import random as r
+
+    from quillstack.operators import hashtree
+
+    rng = r.Random(1)
+    a = [(k, rng.randrange(5)) for k in range(3000)]
+    b = [(k, v + (k == 17)) for k, v in a if k != 2900] + [(5000, 1)]
+    make = lambda rows: hashtree.tree(spark.createDataFrame(rows, "id long, v long"), F.floor(F.col("id") / 10), F.col("id"), F.col("v"))
+    got = {tuple(x) for x in hashtree.differing(make(a), make(b)).collect()}
+    assert got == {(1, 10, 10), (290, 10, 9), (500, 0, 1)}
+    assert hashtree.differing(make(a), make(a[::-1])).count() == 0 and hashtree.differing(make([]), make([])).count() == 0
