@@ -16,8 +16,8 @@ from .sources.parsers import Parser
 
 
 def ingest(spark: SparkSession, path: str, uploaded_by: str, folder: str, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected files with their reason) of all files under a path."""
-    uploads = source.files(spark, path).withColumns({"uploaded_by": F.lit(uploaded_by), "folder": F.lit(folder)})
+    """(records, rejected files with their reason) of all files under a path, and of the files in its containers."""
+    uploads = source.unpack(source.files(spark, path)).withColumns({"uploaded_by": F.lit(uploaded_by), "folder": F.lit(folder)})
     checked = source.validate(uploads)
     parsed = source.parse(checked.where("reason is null"), parsers)
     refused = checked.where("reason is not null").select("storage_path", "reason")

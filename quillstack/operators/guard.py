@@ -65,3 +65,9 @@ def guarded(docs: DataFrame, user_roles: DataFrame, grants: DataFrame, folders:
     mine = effective_folders(user_roles.where(F.col("user_id") == user_id), grants, folders)
     shown = visible_or_owned(not_deleted(docs), mine, F.lit(user_id))
     return shown if tenant is None else shown.where(F.col("organization_id") == tenant)
+
+
+def register(views: dict[str, DataFrame]) -> None:
+    """Makes guarded views known to SQL under their names in this session; what is registered is the guarded plan, not the table."""
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import chunks, extension, sanitize_name
 from ..operators.ops import audit
 from ..schema import struct
-from .parsers import FORMATS, PARSERS, Parser, Unsupported
+from .parsers import FORMATS, PARSERS, Parser, Unsupported, members
 
 #: Largest file that is accepted (our choice; the model gives no number).
 MAX_BYTES = 50 << 20
@@ -23,6 +23,32 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("path").alias("storage_path"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("created_at"), "content")
 
 
+def unpack(uploads: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """uploads with what containers hold in their place: files of .zip archives, messages of .mbox files; and next to an .eml message its attachments.
+
+    A member's path is its container's, "!" and its name; other columns are the container's. Containers in containers
+    stay as they are. A member over max_bytes has no content, for validate() to refuse; a broken container stays one file. Containers are
+    independent, so each task streams its own.
+    """
+    kind = uploads.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.iloc[[k]]
+                try:
+                    found = list(members(row["filename"].iloc[0] or "", bytes(row["content"].iloc[0] or b""), max_bytes))
+                except Exception:  # a broken container is a file that no parser knows
+                    found = [(None, None, None, None)]
+                for path, name, size, content in found:
+                    one = row.copy()
+                    if path is not None:
+                        one["storage_path"], one["filename"], one["size_bytes"], one["content"] = f"{row['storage_path'].iloc[0]}!{path}", name, size, [content]
+                    yield one
+
+    return uploads.mapInPandas(run, kind)
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Normalized records kept as JSON lines."""
     return spark.read.schema(struct("contract")).json(path)

@@ -14,7 +14,8 @@ import email.policy
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, time, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -75,6 +76,29 @@ def docx_pages(content: bytes) -> Pages:
         return [(1, _paragraphs(_xml(z, "word/document.xml")))]
 
 
+def members(filename: str, content: bytes, most: int) -> Iterator[tuple[str | None, str | None, int | None, bytes | None]]:
+    """(path within the container, filename, size, content) of each file in a container; (None, ...) for a file that stands for itself."""
+    kind = filename.rpartition(".")[2].lower()
+    if kind == "zip":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for entry in z.infolist():
+                if not entry.is_dir():
+                    yield entry.filename, entry.filename.rpartition("/")[2], entry.file_size, z.read(entry) if entry.file_size <= most else None
+    elif kind == "mbox":
+        starts = [m.start() for m in re.finditer(rb"(?m)^From [^\n]*\n", content)]
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(content)], strict=True)):
+            body = re.sub(rb"(?m)^>(>*From )", rb"\1", content[a:b].partition(b"\n")[2].rstrip(b"\n") + b"\n")
+            yield f"{k}", f"message-{k}.eml", len(body), body if len(body) <= most else None
+    else:
+        yield None, None, None, None
+        if kind == "eml":
+            message = email.message_from_bytes(content, policy=email.policy.default)
+            for k, part in enumerate(message.iter_attachments()):
+                body = part.get_payload(decode=True) or b""
+                name = part.get_filename() or f"attachment-{k}"
+                yield f"{k}/{name}", name, len(body), body if len(body) <= most else None
+
+
 def _numbered(z: zipfile.ZipFile, pattern: str) -> list[str]:
     found = [(int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(pattern, n))]
     return [n for _, n in sorted(found)]
@@ -86,12 +110,34 @@ def pptx_pages(content: bytes) -> Pages:
         return [(k, _paragraphs(_xml(z, n))) for k, n in enumerate(_numbered(z, r"ppt/slides/slide(\d+)\.xml"), 1)]
 
 
+#: Numbers of the built-in formats of dates and times.
+DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date: a built-in format, or one of its own with a year, day or hour."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = _xml(z, "xl/styles.xml")
+    own = {int(n.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", "")).lower() for n in root.iter() if _local(n) == "numFmt"}
+    dated = DATE_FORMATS | {k for k, code in own.items() if re.search("[ydh]", code)}
+    styles = next((x for x in root if _local(x) == "cellXfs"), [])
+    return {k for k, x in enumerate(styles) if int(x.get("numFmtId", "0")) in dated}
+
+
+def _day(value: str) -> str:
+    """A spreadsheet's day number as an ISO date, with the time if there is one."""
+    at = datetime(1899, 12, 30) + timedelta(seconds=round(float(value) * 86_400))
+    return at.date().isoformat() if at.time() == time() else at.isoformat()
+
+
 def xlsx_pages(content: bytes) -> Pages:
-    """One page a sheet, a line a row, tabs between cells."""
+    """One page a sheet, a line a row, tabs between cells; dates as ISO dates."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in _xml(z, "xl/sharedStrings.xml") if _local(si) == "si"]
+        dates = _date_styles(z)
         pages = []
         for k, name in enumerate(_numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), 1):
             lines = []
@@ -99,6 +145,8 @@ def xlsx_pages(content: bytes) -> Pages:
                 cells = []
                 for c in row:
                     value = "".join(v.text or "" for v in c.iter() if _local(v) in ("v", "t"))
+                    if value and c.get("t", "n") == "n" and int(c.get("s", "0")) in dates:
+                        value = _day(value)
                     cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
                 lines.append("\t".join(cells))
             pages.append((k, "\n".join(lines)))

@@ -270,3 +270,37 @@ def test_hash_trees(spark):
     got = {tuple(x) for x in hashtree.differing(make(a), make(b)).collect()}
     assert got == {(1, 10, 10), (290, 10, 9), (500, 0, 1)}
     assert hashtree.differing(make(a), make(a[::-1])).count() == 0 and hashtree.differing(make([]), make([])).count() == 0
+
+
+MBOX = b"From a@x Mon\nSubject: One\n\nFirst body\n>From here on\n\nFrom b@x Tue\nSubject: Two\n\nSecond body\n"
+MAIL = b'Subject: With files\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\nGr=FC=DFe\n--b\nContent-Type: text/csv\nContent-Disposition: attachment; filename="t.csv"\nContent-Transfer-Encoding: base64\n\nYSxiCjEsMgo=\n--b--\n'
+
+
+def test_containers_are_unpacked(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    files = {"mails.mbox": MBOX, "m.eml": MAIL, "a.zip": zipped({"x/one.txt": "inside", "two.csv": "c,d", "big.txt": "y" * 5000}), "bad.zip": b"no zip", "plain.txt": b"plain"}
+    for name, body in files.items():
+        (tmp_path / "in" / name).write_bytes(body)
+    found = ingest.unpack(ingest.files(spark, str(tmp_path / "in")), max_bytes=1000).collect()
+    got = {r["storage_path"].rpartition("/in/")[2]: (r["filename"], r["size_bytes"], r["content"] is None) for r in found}
+    assert got.keys() == {"mails.mbox!0", "mails.mbox!1", "m.eml", "m.eml!0/t.csv", "a.zip!x/one.txt", "a.zip!two.csv", "a.zip!big.txt", "bad.zip", "plain.txt"}
+    assert got["a.zip!big.txt"] == ("big.txt", 5000, True) and got["m.eml!0/t.csv"] == ("t.csv", 8, False)
+    records, rejected = api.ingest(spark, str(tmp_path / "in"), "u-1", "Inbox")
+    texts = {r["storage_path"].rpartition("/in/")[2]: r["pages"][0]["text"] for r in records.collect()}
+    assert texts["mails.mbox!0"] == "One\nFirst body\nFrom here on" and texts["mails.mbox!1"] == "Two\nSecond body" and texts["m.eml"] == "With files\nGr\u00fc\u00dfe"
+    assert texts["m.eml!0/t.csv"] == "a\tb\n1\t2" and texts["a.zip!x/one.txt"] == "inside"
+    assert {r["storage_path"].rpartition("/in/")[2]: r["reason"] for r in rejected.collect()} == {"bad.zip": "type"}
+
+
+def test_dates_in_sheets():
+    styles = '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.00&quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    sheet = '<s><row><c><v>46187</v></c><c s="1"><v>46187</v></c><c s="2"><v>46187.5</v></c><c s="3"><v>2.5</v></c><c s="1"/><c s="1" t="str"><v>text</v></c></row></s>'
+    assert parsers.xlsx_pages(zipped({"xl/styles.xml": styles, "xl/worksheets/sheet1.xml": sheet})) == [(1, "46187\t2026-06-14\t2026-06-14T12:00:00\t2.5\t\ttext")]
+
+
+def test_registered_views_are_guarded(spark):
+    docs = documents(spark)
+    labels = guard.labelled(frame(spark, "folders", FOLDERS))
+    mine = guard.guarded(docs, frame(spark, "user_roles", USER_ROLES), frame(spark, "permissions", GRANTS), labels, "u-2")
+    guard.register({"my_documents": mine})
+    assert {r["id"] for r in spark.sql("SELECT id FROM my_documents WHERE file_type = 'pdf'").collect()} == {"d-1", "d-2"}
