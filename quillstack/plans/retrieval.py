@@ -106,16 +106,27 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(queries, corpus, K)
 
 
+#: The labels of the folders below, made once a session.
+_LABELS: dict[str, DataFrame] = {}
+
+
+def _label_folders(spark: SparkSession) -> DataFrame:
+    """Labels of one root with a folder for each of the vectors' ten labels."""
+    key = spark.sparkContext.applicationId
+    if key not in _LABELS:
+        _LABELS[key] = guard.labelled(spark.createDataFrame([("all", None), *((f"l{k}", "all") for k in range(10))], "id string, parent_folder_id string"))
+    return _LABELS[key]
+
+
 def guarded_hits(spark: SparkSession, d: str) -> DataFrame:
     """The permission filter stands before the rank: a hidden chunk never takes a place among the k.
 
     A vector's label names its folder; the reader's role holds a grant on folders 0 to 4, which lie below one root.
     """
     queries, corpus = _vectors(spark, d)
-    folders = spark.createDataFrame([("all", None), *((f"l{k}", "all") for k in range(10))], "id string, parent_folder_id string")
     roles = spark.createDataFrame([("reader", "r"), ("other", "x")], "user_id string, role_id string")
     grants = spark.createDataFrame([*(("r", f"l{k}", "read") for k in range(5)), ("x", "all", "admin")], "role_id string, folder_id string, access_level string")
-    mine = guard.effective_folders(roles.where("user_id = 'reader'"), grants, folders)
+    mine = guard.effective_folders(roles.where("user_id = 'reader'"), grants, _label_folders(spark))
     return retrieval.top_k(queries, guard.visible(corpus.withColumn("folder_id", F.concat(F.lit("l"), "label")), mine), K)
 
 
