@@ -30,6 +30,8 @@ from .retrieval import ranked
 SAMPLE, WORDS, PARTS = 20_000, 256, 8
 #: Vectors of the sample that are asked for to see how many lists are needed.
 TRIALS = 256
+#: Of so many lists the nearest one is looked through first.
+FIRST = 16
 #: Codes in a piece of a list, and vectors to a centroid, about.
 PIECE, LIST = 8192, 1000
 
@@ -164,19 +166,22 @@ def encoded(vectors: DataFrame, codec: Codec) -> DataFrame:
 def candidates(queries: DataFrame, index: DataFrame, codec: Codec, probes: int, keep: int) -> DataFrame:
     """query_id, vec_id, about: the `keep` best of each query by code, in the lists of its `probes` nearest centroids.
 
-    Queries meet pieces of lists; a piece sends on `keep` rows for a query at most.
+    Queries meet pieces of lists; a piece sends on `keep` rows for a query at most. The nearest lists, one in FIRST, are looked
+    through before the others, which then send on only what is as good as the `keep` best there: what is sent for a query
+    doesn't grow with the number of lists.
     """
     dim = codec.centroids.shape[1]
     placed = index.withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
     pieces = placed.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))  # a row for each list
-    asked_kind = queries.select("query_id", F.lit(0).alias("cell"), F.lit(b"").alias("q")).schema
+    asked_kind = queries.select("query_id", F.lit(0).alias("cell"), F.lit(0).alias("nth"), F.lit(b"").alias("q")).schema
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, dim)
             cells = codec.lists(q, probes)
             at = pa.array(np.repeat(np.arange(len(q)), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cells.ravel().astype(np.int32)), pa.array([x.tobytes() for x in q], pa.binary()).take(at)], names=["query_id", "cell", "q"])
+            nth = np.tile(np.arange(cells.shape[1], dtype=np.int32), len(q))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cells.ravel().astype(np.int32)), pa.array(nth), pa.array([x.tobytes() for x in q], pa.binary()).take(at)], names=["query_id", "cell", "nth", "q"])
 
     asked = _usable(queries, dim).select("query_id", "embedding").mapInArrow(probe, asked_kind).join(F.broadcast(pieces), "cell")
     asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -197,14 +202,23 @@ def candidates(queries: DataFrame, index: DataFrame, codec: Codec, probes: int,
                 for p in range(codes.shape[1]):
                     about += table[:, p, codes[:, p]]
                 best = np.argpartition(-about, keep - 1, axis=1)[:, :keep] if len(rows) > keep else np.broadcast_to(np.arange(len(rows)), about.shape)
-                owner = np.repeat(np.arange(len(some)), best.shape[1])
-                found.append(pa.table({"query_id": some["query_id"].take(pa.array(owner)), "vec_id": rows["vec_id"].take(pa.array(best.ravel())), "about": np.take_along_axis(about, best, 1).ravel()}))
+                value = np.take_along_axis(about, best, 1)
+                owner, place = np.nonzero(value >= some["floor"].to_numpy()[:, None])
+                found.append(pa.table({"query_id": some["query_id"].take(pa.array(owner)), "vec_id": rows["vec_id"].take(pa.array(best[owner, place])), "about": value[owner, place]}))
         return pa.concat_tables(found) if found else pa.table({"query_id": asked["query_id"].slice(0, 0), "vec_id": rows["vec_id"].slice(0, 0), "about": pa.array([], pa.float64())})
 
     by = ("cell", "piece")
-    met = lists.select("cell", "piece", "vec_id", "code").groupBy(*by).cogroup(asked.select("cell", "piece", "query_id", "q").groupBy(*by)).applyInArrow(scan, out)
+    codes_of = lists.select("cell", "piece", "vec_id", "code")
     order = W.partitionBy("query_id").orderBy(F.col("about").desc(), "vec_id")
-    return met.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= keep).drop("__rank")
+
+    def best(questions: DataFrame) -> DataFrame:
+        met = codes_of.groupBy(*by).cogroup(questions.select("cell", "piece", "query_id", "q", "floor").groupBy(*by)).applyInArrow(scan, out)
+        return met.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= keep)
+
+    lowest = F.lit(float("-inf"))
+    nearest = best(asked.where(F.col("nth") < -(-probes // FIRST)).withColumn("floor", lowest))
+    floors = nearest.where(F.col("__rank") == keep).select("query_id", F.col("about").alias("floor"))
+    return best(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))).drop("__rank")
 
 
 def search(queries: DataFrame, vectors: DataFrame, index: DataFrame, codec: Codec, k: int, probes: int | None = None, keep: int = 160) -> DataFrame:
