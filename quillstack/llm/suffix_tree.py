@@ -218,9 +218,10 @@ class Chunk:
         """Each distinct token's probability in the root."""
         return (self.total[1] + 1.0) / (self.tree.tokens + self.tree.kinds + 1.0)
 
-    def log_probabilities(self) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's probability in its state, and the length of that state's context."""
+    def log_probabilities(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each text's log10 probability by the states of contexts of up to 0, 1, ... depth tokens, and the length of each token's state's context."""
         p = self.root()[self.kind[1]]
+        texts = [np.add.reduceat(np.log10(p), self.offsets[:-1])]
         length, discount = np.zeros(len(p), np.int32), self.tree.discount
         for n in range(2, self.tree.depth + 2):
             standing = np.zeros(len(self.keys[n - 1]), STANDING)
@@ -232,10 +233,13 @@ class Chunk:
             kind = self.kind[n][at]
             count = np.where(kind >= 0, self.total[n][kind], 0) if len(self.keys[n]) else np.zeros(len(at))
             count = np.where(count >= self._keep(n), count - discount, 0.0)
-            whole, own = self.total[n - 1][context].astype(float), standing[context]
-            p[at] = (count + (whole - own["held"] + discount * own["kinds"]) * p[at]) / whole
+            own = standing[context]
+            # n-grams that share a hash can hold more than their context occurs
+            whole = np.maximum(self.total[n - 1][context], own["held"].astype(np.int64)).astype(float)
+            p[at] = (np.minimum(count, whole) + (whole - own["held"] + discount * own["kinds"]) * p[at]) / whole
             length[at] = n - 1
-        return np.log10(p), length
+            texts.append(np.add.reduceat(np.log10(p), self.offsets[:-1]))
+        return texts, length
 
     def told(self, levels: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
         """Rows of TOLD from (level, keys, what is told of each)."""
@@ -258,6 +262,12 @@ class Chunk:
         return self.told(levels)
 
 
+def mixture(values: list[np.ndarray]) -> np.ndarray:
+    """log10 of the mean of probabilities that are given as log10."""
+    most = np.max(values, axis=0)
+    return most + np.log10(np.mean([10 ** (v - most) for v in values], axis=0))
+
+
 def packed(values: np.ndarray, level: int) -> bytes:
     """Counts of n-grams, or TALLY or STANDING of contexts (levels under 0)."""
     return squeeze(values) if level < 0 else shrink(values)
@@ -421,7 +431,10 @@ def suffix_tree_scores(docs: DataFrame, train: Column, depth: int = 3, least: in
     A-Z are lower-cased; tokens are the runs of anything but ASCII white space
     and one end. Returns the id, n_tokens, n_known (tokens of the training
     corpus), train_tokens, base_score (log10 by the root alone), score (log10 by
-    the tree) and mean_context (tokens of context used, on average). Null and
+    the tree), mean_context (tokens of context used, on average) and mixed_score: log10 of the mean of the text's
+    probabilities by the trees of 0, 1, ... depth tokens of context. The tree trusts contexts that training texts repeat, and so
+    gives a text that goes on otherwise after them much less than the root does; mixed_score is never
+    under base_score or score by more than log10(depth + 1). Null and
     empty texts are one end token. Equal texts score alike; rows that share an
     id are separate texts. Without training rows every token has the root's
     probability 1 / (0 + 0 + 1). Other columns are not read. Documents are read twice, and
@@ -474,19 +487,18 @@ def scores_of(state: DataFrame, tree: Tree, groups: int) -> DataFrame:
     state, answers = state.repartition(parts, "chunk"), words.repartition(parts, "chunk")
     for n in range(2, tree.depth + 3):
         answers = answers.union(exchange(tell(state, answers, tree, n), tree, groups).repartition(parts, "chunk"))
-    out = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_context double"
+    out = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_context double, mixed_score double"
     schema = arrow_schema(state, out)
 
     def score(rows: pa.Table, got: pa.Table) -> pa.Table:
         c = Chunk(rows, got, tree, tree.depth + 1)
-        value, length = c.log_probabilities()
+        values, length = c.log_probabilities()
         start, sizes = c.offsets[:-1], np.diff(c.offsets)
         return pa.table({
             "id": pa.array(c.ids, pa.int64()), "n_tokens": sizes,
             "n_known": np.add.reduceat((c.total[1][c.kind[1]] > 0).astype(np.int64), start),
             "train_tokens": np.full(len(start), tree.tokens, np.int64),
-            "base_score": np.add.reduceat(np.log10(c.root()[c.kind[1]]), start), "score": np.add.reduceat(value, start),
-            "mean_context": np.add.reduceat(length, start) / sizes,
+            "base_score": values[0], "score": values[-1], "mean_context": np.add.reduceat(length, start) / sizes, "mixed_score": mixture(values),
         }, schema=schema)
 
     return state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)

@@ -111,6 +111,37 @@ def test_suffix_tree(frame, awkward, learn, depth, keep, relayed):
         assert found[6][0][4] > found[6][0][3] and found[501][0][4] == found[6][0][4]
 
 
+def test_suffix_tree_of_texts_that_leave_repeated_contexts(frame, tmp_path):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words)) for i in range(300)] + [(i, " ".join(words[i % 3 :: 3])) for i in range(300, 330)]
+    rows += [(i, " ".join(x for w in words[:-1] for x in (w, f"new{i}"))) for i in range(330, 350)]
+    frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op2_suffix_tree(frame(rows).sparkSession, str(tmp_path)).collect()
+    held = [r for r in found if r["held_out"] and r["doc_id"] >= 300]
+    assert len(held) > 3 and min(r["score"] - r["base_score"] for r in found) >= -math.log10(4) - 1e-6
+    assert all(r["score"] > r["base_score"] + 30 for r in found if r["doc_id"] < 300)
+
+
+def test_suffix_tree_scores_are_finite_where_hashes_are_shared(monkeypatch):
+    mix = suffix_tree.wh.mix
+    monkeypatch.setattr(suffix_tree.wh, "mix", lambda x: mix(x) & np.uint64(0x3F << 58))
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(3)) for _ in range(30)).encode() for _ in range(60)] + [b"a0 a0 zz b1 b1 zz c2 c2 zz"] * 3
+    state = suffix_tree.pa.table(suffix_tree.encode(0, list(range(len(texts))), texts, [i % 3 != 2 for i in range(len(texts))]))
+    tree, got = suffix_tree.Tree(3, 4, 1, 0.7, 8, 0), None
+    for n in range(1, 6):
+        c = suffix_tree.Chunk(state, got, tree, n - 1)
+        told = c.told([(1, c.keys[1], c.counts(1))]) if n == 1 else c.asks(n)
+        told, answers = suffix_tree.pa.table(told), []
+        for b in sorted(set(told["bucket"].to_pylist())):
+            answers.append(suffix_tree.pa.table(suffix_tree._answer(told.filter(suffix_tree.pa.array([x == b for x in told["bucket"].to_pylist()])))))
+        got = suffix_tree.pa.concat_tables([*([] if got is None else [got]), *answers], promote_options="permissive")
+        if n == 1:
+            tree = suffix_tree.replace(tree, tokens=sum(got["tokens"].to_pylist()), kinds=sum(got["kinds"].to_pylist()))
+    values, _ = suffix_tree.Chunk(state, got, tree, 4).log_probabilities()
+    assert np.isfinite(values).all() and (np.array(values) <= 0).all()
+
+
 def test_suffix_tree_of_nothing(frame):
     assert suffix_tree.suffix_tree_scores(frame([]), F.lit(True)).count() == 0
 
