@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from email.message import EmailMessage
@@ -50,7 +51,12 @@ def comma(cells: list[str]) -> bytes:
     return out.getvalue().encode()
 
 
+_LINE = re.compile(r"[!-~](?:(?!=\?)[ -~]){0,64}[!-~]")
+
+
 def eml(cells: list[str]) -> bytes:
+    if all(map(_LINE.fullmatch, cells[:2])) and "=?" not in cells[0]:  # the bytes that the email package writes
+        return f'Subject: {cells[0]}\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 7bit\nMIME-Version: 1.0\n\n{cells[1]}\n'.encode()
     message = EmailMessage()
     message["Subject"] = cells[0]
     message.set_content(cells[1])
@@ -82,8 +88,13 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text <> ''").select("doc_id", F.array("text").alias("cells"))
 
 
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """Small rows that become a file each: a few megabytes of them, which Spark would read in one task, are much work, so that they are dealt to all cores."""
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type").repartition(8 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("cells"))
+    return _dealt(spark, d).select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("cells"))
 
 
 _TEXTS = "SELECT doc_id, CAST(1 AS BIGINT) AS page_number, text FROM documents WHERE text <> ''"
@@ -134,7 +145,7 @@ def _scan(content: bytes) -> list[tuple[int, str, float]]:
 @query("SELECT CAST(p_partkey AS VARCHAR) AS name, p_name AS extracted_text, (length(p_name) % 100)::DOUBLE / 100 AS confidence_score, true AS ocr_applied FROM part")
 def parse_ocr(spark: SparkSession, d: str) -> DataFrame:
     """Images through a registered OCR parser: its pages' texts and confidences, as rows for ocr_results."""
-    parts = table(spark, d, "part")
+    parts = _dealt(spark, d)
     uploads = parts.select(
         F.concat(F.lit("local://made/"), "p_partkey").alias("storage_path"), F.concat("p_partkey", F.lit(".png")).alias("filename"), F.length("p_name").cast("long").alias("size_bytes"),
         F.lit("2026-01-01").cast("timestamp").alias("created_at"), F.lit("u").alias("uploaded_by"), F.lit("f").alias("folder"), F.col("p_name").cast("binary").alias("content"),

@@ -1,8 +1,11 @@
 """Golden fixtures of the document model: permissions, ingestion, extraction, versions, jobs."""
 
+import email
+import email.policy
 import io
 import zipfile
 from datetime import datetime
+from email.message import EmailMessage
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,9 +15,12 @@ from quillstack import api
 from quillstack.functions import text as T
 from quillstack.functions.embedding import embed, hashing_encoder
 from quillstack.operators import actions, catalog, extraction, fraud, guard, ops, vector_index
+from quillstack.plans import files
 from quillstack.schema import struct
 from quillstack.sources import ingest, parsers, sinks
 
+DATA = "/root/testdata/sf0.001"
+
 FOLDERS = [("f-1", "Invoices", None, "invoices"), ("f-2", "Year", "f-1", "invoices"), ("f-3", "June", "f-2", "invoices"), ("f-4", "Contracts", None, "contracts")]
 USER_ROLES = [("x1", "u-1", "r-1"), ("x2", "u-1", "r-2"), ("x3", "u-2", "r-2")]
 GRANTS = [("p1", "r-1", "f-1", "read"), ("p2", "r-2", "f-4", "write")]
@@ -119,6 +125,28 @@ def test_parsers():
     assert parsers.html_pages(b"<p>a</p><script>x</script>") == [(1, "a")]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=32, max_codepoint=126), min_size=1, max_size=80), min_size=2, max_size=2), st.sampled_from(["text/plain", "text/html; charset=utf-8", "text/csv", "image/png"]), st.sampled_from(["7bit", "base64", "quoted-printable"]))
+def test_plain_messages_read_as_the_email_package_reads_them(cells, kind, coding):
+    made = EmailMessage()
+    made["Subject"] = cells[0]
+    made.set_content(cells[1])
+    assert files.eml(cells) == made.as_bytes()
+    for content in (made.as_bytes(), f"subject:{cells[0]}\nX-a: b\nContent-Type: {kind}\nContent-Transfer-Encoding: {coding}\n\n{cells[1]}\u00e4\n\nx".encode()):
+        message = email.message_from_bytes(content, policy=email.policy.default)
+        body = message.get_body(preferencelist=("plain", "html"))
+        assert parsers.eml_pages(content) == [(1, f"{message['subject'] or ''}\n{body.get_content() if body is not None else ''}".strip())]
+    assert parsers._plain_message(b"Subject: a b\n\nc\n") == ("a b", "c\n")
+
+
+def test_small_rows_are_parsed_on_all_cores(spark):
+    for query in (files.parse_eml, files.parse_pptx, files.parse_xlsx, files.parse_csv, files.parse_html, files.parse_ocr):
+        found = query(spark, DATA)
+        if query is not files.parse_ocr:
+            assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        assert found.count() > 0
+
+
 def test_ingest_to_answer(spark, tmp_path):
     for name, body in {"a.txt": b"The invoice total is due in June. More text.", "b.docx": DOCX, "c.pdf": b"%PDF", "d.exe": b"x", "e.eml": EML, "bad.docx": b"no zip"}.items():
         (tmp_path / "in").mkdir(exist_ok=True)
