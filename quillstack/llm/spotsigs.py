@@ -168,43 +168,47 @@ def near_copies(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes have a Jaccard measure of `threshold` (over 0) or more to it; near_id: the smallest of their ids.
     Sets are partitioned by length; a set is at home in its own
     partition and a guest in those after it that the threshold lets its length reach. Two sets meet at
-    the first signature that both have among their first (rare ones, as a sorted set begins with these): of n, n - ceil(threshold * n) + 1.
-    What meets at a signature is compared in blocks, so that no pair becomes a row; sets that have begun with the same common
+    the first signature that both have among their first, in the order of the number of sets that have a signature: of n, n - ceil(threshold * n) + 1.
+    Those that only one set has come first and meet nothing, so that few sets are left and each meets few. What meets at a signature is compared
+    in blocks, so that no pair becomes a row; sets that have begun with the same common
     signature have met there already, and signatures at which only such sets meet are left out.
     """
     members, firsts = classes(prints)
-    starts = prints.where(F.size("signatures") > 0).select(F.col("row").alias("c"), F.size("signatures").alias("size"), F.slice("signatures", 1, F.size("signatures") - F.ceil(threshold * F.size("signatures") - 1e-9).cast("int") + 1).alias("first"))
-    entry = starts.join(firsts.select("c"), "c", "left_semi").select("c", "size", F.explode("first").alias("signature"))
+    entry = prints.withColumnRenamed("row", "c").join(firsts.select("c"), "c", "left_semi").select("c", F.size("signatures").alias("size"), F.explode("signatures").alias("hash"))
 
     def part(size: Column) -> Column:
         return F.floor(F.log(size.cast("double")) / F.lit(math.log(1 / threshold))).cast("int") if threshold < 1 else size.cast("int")
 
-    common = entry.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    common = entry.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    # one number that sorts by how many sets have the signature, then by its hash
+    ranked = entry.join(common, "hash").select("c", "size", (F.shiftleft("n", 32) + F.col("hash").cast("long").bitwiseAND(0xFFFFFFFF)).alias("signature"))
+    own = ranked.groupBy("c", "size").agg(F.sort_array(F.collect_list("signature")).alias("some"))
+    # what only this set has stands before the others
+    left = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1 - (F.col("size") - F.size("some"))
+    starts = cut(own.where(left > 0).select("c", "size", F.slice("some", 1, left).alias("first"), (F.col("size") - F.size("some")).alias("alone")))
+    meeting = starts.select("c", "size", F.get("first", F.lit(0)).alias("begin"), "alone", F.posexplode("first").alias("place", "signature"))
     reach = F.sequence(part(F.col("size")), part(F.floor(F.col("size") / threshold + 1e-9)))
-    placed = entry.join(common, "signature", "left_semi").select("c", "signature", F.posexplode(reach).alias("guest", "part"))
-    placed = cut(placed.withColumn("begin", F.min("signature").over(W.partitionBy("c", "part"))))
+    placed = cut(meeting.select("c", "signature", "begin", (F.col("size") - F.col("alone") - F.col("place")).alias("after"), F.posexplode(reach).alias("guest", "part")))
     counted = placed.groupBy("signature", "part").agg(F.count("*").alias("n"), F.count_if(F.col("guest") == 0).alias("home"), F.min("begin").alias("low"), F.max("begin").alias("high"))
     cells = cut(counted.where("n > 1 and home > 0 and (low < high or low = signature)").select("signature", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     dealt = placed.join(cells, ["signature", "part"]).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # few sets have neighbours at all; only theirs are moved
     some = lookup(cut(dealt.select("c").distinct()))
-    sets = prints.withColumnRenamed("row", "c").join(some, "c", "left_semi").join(firsts.select("c", "class_id"), "c").select("c", "class_id", F.size("signatures").alias("size"), "signatures")
+    sets = prints.withColumnRenamed("row", "c").join(some, "c", "left_semi").join(firsts.select("c", "class_id"), "c").join(starts.select("c", "size", "first"), "c").select("c", "class_id", "size", "first", "signatures")
     dealt = dealt.join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    item = F.struct("c", "class_id", "size", "own", "begin", (F.col("guest") > 0).alias("guest"), "signatures")
+    item = F.struct("c", "class_id", "size", "own", "begin", (F.col("guest") > 0).alias("guest"), "after", "first", "signatures")
     groups = dealt.groupBy("signature", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(item).alias("items")).where(F.size("items") > 1)
 
-    def first(a: Column) -> Column:
-        n = a["size"]
-        return F.slice(a["signatures"], 1, n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
-
     def linked(a: Column) -> Column:
         def near(b: Column) -> Column:
             small, large = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
             shared = F.size(F.array_intersect(a["signatures"], b["signatures"]))
             return (
                 (a["c"] != b["c"]) & ~(a["guest"] & b["guest"]) & ((F.col("x") == F.col("y")) | (a["own"] != b["own"]))
-                & ((a["begin"] != b["begin"]) | (a["begin"] == F.col("signature"))) & (small >= threshold * large - 1e-9) & (F.get(F.array_intersect(first(a), first(b)), F.lit(0)) == F.col("signature"))
-                & F.transform(F.array(shared), lambda n: n >= threshold * (small + large - n) - 1e-9)[0]
+                & ((a["begin"] != b["begin"]) | (a["begin"] == F.col("signature"))) & (small >= threshold * large - 1e-9)
+                # no more can be shared than what follows in both sets
+                & ((1 + threshold) * F.least(a["after"], b["after"]) >= threshold * (small + large) - 1e-9)
+                & (F.get(F.array_intersect(a["first"], b["first"]), F.lit(0)) == F.col("signature")) & F.transform(F.array(shared), lambda n: n >= threshold * (small + large - n) - 1e-9)[0]
             )
 
         close = F.transform(F.filter("items", near), lambda b: b["class_id"])

@@ -253,6 +253,18 @@ def test_spotsigs_near_copies(frame, awkward, words, monkeypatch, threshold):
     assert got == want and (threshold == 1 or sum(n for _, n, _ in want.values()) > 60)
 
 
+def test_spotsigs_common_signatures_bring_no_sets_together(frame, monkeypatch):
+    written = []
+    cut = spotsigs.cut
+    monkeypatch.setattr(spotsigs, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = [(k, [1, 2, 3, *range(100 * k + 100, 100 * k + 110)]) for k in range(300)] + [(400, [1, 2, 3, *range(100, 109), 9])]
+    prints = frame([]).sparkSession.createDataFrame([(k, k, v) for k, v in rows], "row long, doc_id long, signatures array<int>")
+    found = {r["row"]: (r["n_links"], r["near_id"]) for r in spotsigs.near_copies(prints).collect()}
+    assert {k: v for k, v in found.items() if v[0]} == {0: (1, 400), 400: (1, 0)}
+    starts = next(df for df in written if "first" in df.columns)
+    assert {r["c"] for r in starts.collect()} == {0, 400}
+
+
 def shingles(text, n=5):
     w = split(text)
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
