@@ -17,10 +17,15 @@ HLL_BITS, KLL_K, COUNTERS = 14, 400, 64
 
 def _most(pairs: Column, keep: int) -> Column:
     """struct(items, least) of an array of (item, n) with distinct items: the `keep` largest counts, each lessened by the largest that goes; least adds that up."""
-    ordered = F.array_sort(pairs, lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0))
-    gone = F.when(F.size(ordered) > keep, F.get(ordered, F.lit(keep))["n"]).otherwise(F.lit(0).cast("long"))
-    kept = F.filter(F.transform(F.slice(ordered, 1, keep), lambda x: F.struct(x["item"].alias("item"), (x["n"] - gone).alias("n"))), lambda x: x["n"] > 0)
-    return F.struct(kept.alias("items"), gone.alias("missed"))
+    ordered = F.sort_array(F.transform(pairs, lambda x: F.struct((-x["n"]).alias("less"), x["item"].alias("item"))))
+
+    def most(o: Column) -> Column:
+        gone = F.when(F.size(o) > keep, -F.get(o, F.lit(keep))["less"]).otherwise(F.lit(0).cast("long"))
+        kept = lambda g: F.filter(F.transform(F.slice(o, 1, keep), lambda x: F.struct(x["item"].alias("item"), (-x["less"] - g).alias("n"))), lambda x: x["n"] > 0)
+        return F.transform(F.array(gone), lambda g: F.struct(kept(g).alias("items"), g.alias("missed")))[0]
+
+    # one-element arrays bind a value to a lambda's variable: it is sorted once, not for each item that is kept
+    return F.transform(F.array(ordered), most)[0]
 
 
 def daily(log: DataFrame, by: list[str], at: str, viewer: str, item: str, gap: str, pieces: int = 64) -> DataFrame:

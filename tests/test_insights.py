@@ -83,6 +83,16 @@ def test_sketches_roll_up(spark):
     assert sketches.daily(log.where("false"), ["action"], "ts", "user", "user", "gap").count() == 0
 
 
+def test_most_frequent_are_sorted_once(spark):
+    rows = [(k, [(f"i{j}", 1 + (7 * j + k) % 11) for j in range(k)]) for k in (0, 1, 3, 4, 9, 200)]
+    found = spark.createDataFrame(rows, "k long, pairs array<struct<item:string,n:long>>").select("k", sketches._most(F.col("pairs"), 4).alias("most"))
+    for (_, pairs), r in zip(rows, found.orderBy("k").collect(), strict=True):
+        ordered = sorted(pairs, key=lambda x: (-x[1], x[0]))
+        gone = ordered[4][1] if len(pairs) > 4 else 0
+        assert [tuple(x) for x in r["most"]["items"]] == [(i, n - gone) for i, n in ordered[:4] if n > gone] and r["most"]["missed"] == gone
+    assert found._jdf.queryExecution().analyzed().toString().count("sort") == 1
+
+
 def test_viewers_by_month(spark):
     found = {(r["month"], r["event_type"]): r for r in insights.viewers_by_month(spark, DATA).collect()}
     events = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("date_format(ts, 'yyyy-MM-01') as month", "event_type", "user_id").collect()
