@@ -20,13 +20,14 @@ PHONE = r"(\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,5})"
 
 @dataclass(frozen=True)
 class Rule:
-    """A field's name, its pattern, the confidence of a value (a function of the value's column), and which values are kept (all, without one)."""
+    """A field's name, its pattern, the confidence of a value (a function of the value's column), which values are kept (all, without one), and a character that every match has, without which a text is not searched."""
 
     name: str
     pattern: str
     confidence: Callable[[Column], Column]
     group: int = 0
     keep: Callable[[Column], Column] | None = None
+    has: str | None = None
 
 
 def email_confidence(value: Column) -> Column:
@@ -45,16 +46,16 @@ def _parts(value: Column) -> Column:
     return F.split(value, r"\.")
 
 
-RULES = (Rule("email", EMAIL, email_confidence),)
+RULES = (Rule("email", EMAIL, email_confidence, has="@"),)
 #: All rules; a value's own check digit, range or form decides on its confidence.
 FIELD_RULES = (
     *RULES,
     Rule("card", CARD, lambda v: F.when(luhn(v), 0.95).otherwise(0.4), 1, lambda v: F.length(v) == 16),
-    Rule("address", ADDRESS, lambda v: F.when(F.forall(_parts(v), lambda x: x.cast("int") <= 255), 0.9).otherwise(0.2), 1, lambda v: F.size(_parts(v)) == 4),
+    Rule("address", ADDRESS, lambda v: F.when(F.forall(_parts(v), lambda x: x.cast("int") <= 255), 0.9).otherwise(0.2), 1, lambda v: F.size(_parts(v)) == 4, "."),
     Rule("secret", SECRET, lambda v: F.when(F.length(v).isin(32, 40, 64), 0.95).otherwise(0.6), 1),
-    Rule("amount", AMOUNT, lambda v: F.when(F.contains(v, F.lit(",")), 0.9).otherwise(0.6), 1),
-    Rule("date", DATE, lambda v: F.when(F.try_to_date(v, "yyyy-MM-dd").isNotNull(), 0.95).otherwise(0.1), 1),
-    Rule("phone", PHONE, lambda v: F.lit(0.8), 1),
+    Rule("amount", AMOUNT, lambda v: F.when(F.contains(v, F.lit(",")), 0.9).otherwise(0.6), 1, has="."),
+    Rule("date", DATE, lambda v: F.when(F.try_to_date(v, "yyyy-MM-dd").isNotNull(), 0.95).otherwise(0.1), 1, has="-"),
+    Rule("phone", PHONE, lambda v: F.lit(0.8), 1, has="+"),
 )
 
 
@@ -63,10 +64,15 @@ def extract_fields(docs: DataFrame, key: str | list[str], text: str, rules: tupl
 
     def values(r: Rule) -> Column:
         matches = F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(r.group))
+        if r.has is not None:
+            matches = F.when(F.contains(F.col(text), F.lit(r.has)), matches).otherwise(F.array().cast("array<string>"))
         kept = matches if r.keep is None else F.filter(matches, r.keep)
         return F.transform(kept, lambda v: F.struct(F.lit(r.name).alias("field_name"), v.alias("field_value"), r.confidence(v).cast("double").alias("confidence_score")))
 
-    return docs.select(*([key] if isinstance(key, str) else key), F.inline(F.concat(*map(values, rules))))
+    keys = [key] if isinstance(key, str) else key
+    # a one-element array: of inline() itself the optimizer makes filters too, in which all is searched again
+    found = docs.select(*keys, F.explode(F.array(F.concat(*map(values, rules)))).alias("__found"))
+    return found.select(*keys, F.inline("__found"))
 
 
 def pool(points: Column) -> Column:

@@ -83,6 +83,13 @@ def test_sketches_roll_up(spark):
     assert sketches.daily(log.where("false"), ["action"], "ts", "user", "user", "gap").count() == 0
 
 
+def test_each_rule_searches_a_text_once(spark):
+    texts = spark.createDataFrame([(1, None), (2, "no field"), (3, "a@b.com 1,234.50 2024-02-30")], "id long, text string")
+    found = extraction.extract_fields(texts, "id", "text", extraction.FIELD_RULES)
+    assert sorted((r["id"], r["field_name"], r["field_value"]) for r in found.collect()) == [(3, "amount", "1,234.50"), (3, "date", "2024-02-30"), (3, "email", "a@b.com")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(extraction.FIELD_RULES)
+
+
 def test_most_frequent_are_sorted_once(spark):
     rows = [(k, [(f"i{j}", 1 + (7 * j + k) % 11) for j in range(k)]) for k in (0, 1, 3, 4, 9, 200)]
     found = spark.createDataFrame(rows, "k long, pairs array<struct<item:string,n:long>>").select("k", sketches._most(F.col("pairs"), 4).alias("most"))
